@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import leakage, markup, mojibake, packing, sentences, survivors, truncation
+from ledgerloom.llm import leakage, linkage, markup, mojibake, packing, sentences, survivors, truncation, variants
 from ledgerloom.session import read_table
 
 
@@ -17,6 +17,18 @@ def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markup.clean_markup(read_table(spark, sf_dir, "raw_text"))
 
 
+def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkage.link(*(read_table(spark, sf_dir, t) for t in ("fortune", "eto_core", "eto_ticker", "eto_alias", "fundamentals")))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _linked(spark, sf_dir).where("confidence >= 0.5").select("rank", "source", "entity_id").distinct()
+
+
+def p3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _linked(spark, sf_dir)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_ends(read_table(spark, sf_dir, "sections"), "section_id", "text").distinct()
 
@@ -25,6 +37,22 @@ def p4_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.split_sentences(read_table(spark, sf_dir, "sections"), "section_id", "text")
 
 
+def _all_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = (("fortune", "company"), ("eto_core", "eto_name"), ("eto_alias", "alias"), ("fundamentals", "conm"))
+    first, *rest = (read_table(spark, sf_dir, t).select(F.col(c).alias("name")) for t, c in tables)
+    for r in rest:
+        first = first.union(r)
+    return first
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.name_pairs(variants.name_clusters(_all_names(spark, sf_dir)))
+
+
+def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.name_clusters(_all_names(spark, sf_dir))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.truncated(read_table(spark, sf_dir, "sections")).where("cut").select("section_id").distinct()
 
