@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # --- fixed values -----------------------------------------------------------------------------------------------
 TRAILING_FORMS = "inc incorporated corp corporation co company ltd limited plc llc lp holdings group the".split()
@@ -25,7 +26,7 @@ def company_key(c: Column) -> Column:
     return F.coalesce(F.trim(F.regexp_replace(s, "\\s+", " ")), F.lit(""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _ascii(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode())
 
@@ -54,5 +55,5 @@ def padded_id(c: Column, width: int) -> Column:
 
 
 def plain_number(c: Column) -> Column:
-    """An id as a number, null if it is none."""
-    return F.try_to_number(F.trim(c), F.lit("99999999999999")).cast("long")
+    """An id as a number, with or without a decimal tail; null if it is none."""
+    return F.regexp_replace(F.trim(c), "[.]0+$", "").try_cast("long")
