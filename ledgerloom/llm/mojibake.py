@@ -95,52 +95,62 @@ def document_tokens(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def garbled_tokens(tokens: DataFrame, key: str) -> DataFrame:
-    """``(token, original, chain)``: the tokens that are garbled forms of more frequent ones. ``original`` is null
-    for a token with U+FFFD that no chain explains and for a form that spreads over several tokens."""
+    """``(token, original, chain, weak)``: the tokens that are garbled forms of more frequent ones. ``original`` is
+    null for a token with U+FFFD that no chain explains and for a form that spreads over several tokens. ``weak``
+    forms are too short to prove anything by themselves; they hold where the same chain is proven nearby."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            rows: dict[str, list] = {k: [] for k in ("form", "original", "chain", "whole", "n_original")}
+            rows: dict[str, list] = {k: [] for k in ("form", "original", "chain", "longer", "weak", "n_original")}
             for w, n in zip(b.column("token").to_pylist(), b.column("n").to_pylist()):
                 cjk = bool(_CJK.search(w))
                 if cjk and not _RUN.fullmatch(w) or "�" in w:
                     continue
                 done = set()
                 for g, chain in garbled_forms(w):
-                    if g in done:
+                    short = not cjk and len(g) < 3
+                    if (g, chain if short else "") in done:
                         continue
-                    done.add(g)
+                    done.add((g, chain if short else ""))
                     whole = bool(_WORD.fullmatch(g))
                     for f in [g] if whole else [x for x in _WORD.findall(g) if sum(c > "\x7f" for c in x) >= 3]:
                         beyond = sum(c > "\x7f" for c in f)
-                        longer = len(f) > len(w) or not whole
+                        longer = (len(f) > len(w) or not whole) and beyond >= 2
                         if cjk and len(f) < (6 if len(w) == 1 else 4):
                             continue  # too short to tell from a clean word
-                        if longer and beyond >= 2 or len(f) >= 3:
-                            for k, v in zip(rows, (f, w if whole else None, chain, longer and beyond >= 2, n)):
-                                rows[k].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(rows["form"], pa.string()), pa.array(rows["original"], pa.string()), pa.array(rows["chain"], pa.string()), pa.array(rows["whole"], pa.bool_()), pa.array(rows["n_original"], pa.int64())], list(rows))
+                        for k, v in zip(rows, (f, w if whole else None, chain, longer, not longer and len(f) < 3, n)):
+                            rows[k].append(v)
+            kinds = (pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), kinds)], list(rows))
 
     counts = cut(tokens.groupBy("token").agg(F.count("*").alias("n")))
-    forms = counts.mapInArrow(run, "form string, original string, chain string, whole boolean, n_original long")
-    hit = forms.join(counts, forms.form == counts.token).where(F.when(F.col("whole"), F.col("n_original") >= F.col("n")).otherwise(F.col("n_original") > 3 * F.col("n")))
-    best = hit.groupBy("token").agg(F.max(F.struct(F.col("original").isNotNull().alias("o"), "n_original", "original", "chain")).alias("b"))
+    forms = counts.mapInArrow(run, "form string, original string, chain string, longer boolean, weak boolean, n_original long")
+    hit = cut(forms.join(counts, forms.form == counts.token).where(F.when(F.col("longer") | F.col("weak"), F.col("n_original") >= F.col("n")).otherwise(F.col("n_original") > 3 * F.col("n"))))
+    best = hit.where("NOT weak").groupBy("token").agg(F.max(F.struct(F.col("original").isNotNull().alias("o"), "n_original", "original", "chain")).alias("b"))
+    weak = hit.where("weak").groupBy("token", "chain").agg(F.max_by("original", F.struct("n_original", "original")).alias("original"))
     lost = counts.where(F.col("token").contains("�")).select("token", F.lit(None).cast("string").alias("original"), F.lit("lost").alias("chain"))
-    return best.select("token", "b.original", "b.chain").unionByName(lost)
+    strong = best.select("token", "b.original", "b.chain").unionByName(lost).withColumn("weak", F.lit(False))
+    return strong.unionByName(weak.select("token", "original", "chain", F.lit(True).alias("weak")))
 
 
-def garbled_documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(key, token, original, chain)`` for each garbled token of each document. Null and ASCII texts give no
-    row; copies of a document give its rows once each."""
+def garbled_documents(df: DataFrame, key: str = "doc_id", text: str = "text", short: bool = False) -> DataFrame:
+    """``(key, token, original, chain)`` for each garbled token of each document; with ``short`` also the tokens of one
+    or two signs, where a longer one of the document proves their chain. Null and ASCII texts give no row; copies of
+    a document give its rows once each."""
     tokens = document_tokens(df, key, text)
+    if not short:
+        return tokens.join(cut(garbled_tokens(tokens, key).where("NOT weak")), "token").select(key, "token", "original", "chain")
     bad = cut(garbled_tokens(tokens, key))
-    return tokens.join(bad, "token").select(key, "token", "original", "chain")
+    sure = cut(tokens.join(bad.where("NOT weak"), "token").select(key, "token", "original", "chain"))
+    near = tokens.join(bad.where("weak"), "token").join(sure.select(key, "chain").distinct(), [key, "chain"], "left_semi")
+    near = near.groupBy(key, "token").agg(F.min(F.struct("chain", "original")).alias("b")).select(key, "token", "b.original", "b.chain")
+    return sure.unionByName(near.join(sure.select(key, "token"), [key, "token"], "left_anti"))
 
 
 def restore(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` with ``restored_text`` (garbled words replaced by their verified originals, longest first),
     ``is_garbled`` and ``n_unrestored`` (garbled words without a verified original)."""
-    bad = garbled_documents(df, key, text).distinct().groupBy(key).agg(
+    bad = garbled_documents(df, key, text, short=True).distinct().groupBy(key).agg(
         F.collect_list(F.when(F.col("original").isNotNull(), F.struct("token", "original"))).alias("_fix"),
         F.sum(F.col("original").isNull().cast("int")).alias("_lost"),
     )
@@ -153,7 +163,9 @@ def restore(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
             if t is None or fix is None or not len(fix):
                 return t
             m = {f["token"]: f["original"] for f in fix}
-            pat = re.compile("|".join(re.escape(x) for x in sorted(m, key=len, reverse=True)))
+            # what is no longer than its original could stand within a sound word: only whole words of it are replaced
+            edge = lambda x: re.escape(x) if len(x) > len(m[x]) else f"(?<![A-Za-z\x80-\U0010ffff]){re.escape(x)}(?![A-Za-z\x80-\U0010ffff])"
+            pat = re.compile("|".join(edge(x) for x in sorted(m, key=len, reverse=True)))
             return pat.sub(lambda x: m[x.group()], t)
 
         return pd.Series([one(t, f) for t, f in zip(texts, fixes)])
