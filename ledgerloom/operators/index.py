@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerloom.session import cut
+
 # --- fixed values ---
 DIMENSIONS = {
     "strategy": ("ai_sentence_share", "net_tone"), "operations": ("ai_sentence_share", "net_tone"), "governance": ("ai_sentence_share", "fls_score"),
@@ -58,6 +60,7 @@ def normalised(df: DataFrame, cols: list[str], how: str) -> DataFrame:
     """``zscore``, ``minmax`` or ``rankscore`` of the columns. A column without spread (or, for ranks, with at most
     one value) becomes 0 on every row, nulls included; otherwise nulls stay."""
     if how == "rankscore":
+        df = cut(df)  # every column's ranking reads it
         for c in cols:
             df = _rankscore(df, c)
         return df
@@ -74,12 +77,22 @@ def normalised(df: DataFrame, cols: list[str], how: str) -> DataFrame:
     return j.withColumns(out).select(*df.columns)
 
 
+def counted_before(per: DataFrame, value: str, n: str, descending: bool = False) -> DataFrame:
+    """``per`` with ``before``, the sum of ``n`` over all smaller (or larger) values. Values are range-partitioned,
+    each partition adds up its own, and the partitions' totals (one number each) give the offsets: no task sees all."""
+    key = F.desc(value) if descending else F.asc(value)
+    parts = cut(per.repartitionByRange(key).withColumn("_p", F.spark_partition_id()))
+    totals = parts.groupBy("_p").agg(F.sum(n).alias("_t")).withColumn("_one", F.lit(0))  # one row per partition
+    offset = totals.select("_p", F.coalesce(F.sum("_t").over(W.partitionBy("_one").orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
+    own = F.coalesce(F.sum(n).over(W.partitionBy("_p").orderBy(key).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return parts.withColumn("before", own).join(F.broadcast(offset), "_p").withColumn("before", F.col("before") + F.col("_o")).drop("_p", "_o")
+
+
 def average_ranks(df: DataFrame, c: str) -> DataFrame:
-    """``(value, rank, n)`` of the column's distinct values: ties share the mean rank. Counted per value first, so
-    the ordered pass sees each value once."""
+    """``(value, rank, n)`` of the column's distinct values: ties share the mean rank."""
     per = df.select(number(c).alias("value")).where(F.col("value").isNotNull()).groupBy("value").agg(F.count("*").alias("k"))
-    before = F.coalesce(F.sum("k").over(W.orderBy("value").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return per.withColumn("rank", before + (F.col("k") + 1) / 2.0).crossJoin(F.broadcast(per.agg(F.sum("k").alias("n")))).select("value", "rank", "n")
+    b = counted_before(per, "value", "k")
+    return b.crossJoin(F.broadcast(b.agg(F.sum("k").alias("n")))).select("value", (F.col("before") + (F.col("k") + 1) / 2.0).alias("rank"), "n")
 
 
 def _rankscore(df: DataFrame, c: str) -> DataFrame:
@@ -112,10 +125,11 @@ def geometric_composite(scores: list[Column], weights: list[Column], floor: floa
 
 
 def competition_rank(df: DataFrame, c: str, out: str = "rank") -> DataFrame:
-    """1, 1, 3 ...: largest first; missing values have no rank. Counted per value first."""
+    """1, 1, 3 ...: largest first; missing values have no rank."""
+    df = cut(df)
     per = df.select(number(c).alias("_v")).where(F.col("_v").isNotNull()).groupBy("_v").agg(F.count("*").alias("_k"))
-    above = F.coalesce(F.sum("_k").over(W.orderBy(F.desc("_v")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + 1
-    return df.join(per.select("_v", above.cast("int").alias(out)), number(c) == F.col("_v"), "left").drop("_v")
+    ranks = counted_before(per, "_v", "_k", descending=True).select("_v", (F.col("before") + 1).cast("int").alias(out))
+    return df.join(ranks, number(c) == F.col("_v"), "left").drop("_v")
 
 
 def is_passthrough(name: str, kind: str) -> bool:
@@ -126,8 +140,10 @@ def is_passthrough(name: str, kind: str) -> bool:
 def rank_shift(df: DataFrame, key: str, main: str, variant: str) -> DataFrame:
     """How far a variant's ranking is from the main one: firms in both, Spearman correlation over them, mean and
     largest shift of average ranks (over all of each)."""
+    df = cut(df.select(key, main, variant))
     a, b = (average_ranks(df.withColumn("_neg", -number(c)), "_neg").select(F.col("value").alias(f"_v{i}"), F.col("rank").alias(f"_r{i}")) for i, c in enumerate((main, variant)))
     j = df.select(key, (-number(main)).alias("_m"), (-number(variant)).alias("_x")).where("_m IS NOT NULL AND _x IS NOT NULL").join(a, F.col("_m") == F.col("_v0")).join(b, F.col("_x") == F.col("_v1"))
+    j = cut(j)
     shift = j.agg(F.count("*").alias("n_common"), F.avg(F.abs(F.col("_r0") - F.col("_r1"))).alias("mean_shift"), F.max(F.abs(F.col("_r0") - F.col("_r1"))).alias("max_shift"))
     r0, r1 = (average_ranks(j, f"_r{i}").select(F.col("value").alias(f"_q{i}"), F.col("rank").alias(f"_s{i}")) for i in (0, 1))
     rho = j.join(r0, F.col("_r0") == F.col("_q0")).join(r1, F.col("_r1") == F.col("_q1")).agg(F.corr("_s0", "_s1").alias("spearman"))

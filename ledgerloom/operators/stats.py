@@ -185,7 +185,7 @@ def classification(df: DataFrame, predicted: str, gold: str) -> DataFrame:
 
 def kmeans_scan(df: DataFrame, key: str, cols: list[str], ks: range = range(2, 11), seed: int = 42, starts: int = 10) -> list[dict]:
     """k-means of the standardised complete rows for each k, the best of ``starts`` seeds, with Euclidean silhouette
-    and cluster sizes. The silhouette compares all pairs and is meant for the firm matrix."""
+    and cluster sizes. The silhouette compares all pairs by definition."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
@@ -199,24 +199,36 @@ def kmeans_scan(df: DataFrame, key: str, cols: list[str], ks: range = range(2, 1
             break
         best = min((KMeans(k=k, seed=seed + s, maxIter=100).fit(data) for s in range(starts)), key=lambda f: f.summary.trainingCost)
         lab = best.transform(data).select(key, *cols, F.col("prediction").alias("cluster"))
-        pdf = lab.toPandas()  # the firm matrix
-        out.append({"k": k, "silhouette": _silhouette(pdf[cols].to_numpy(), pdf["cluster"].to_numpy()), "sizes": sorted(pdf["cluster"].value_counts().tolist(), reverse=True), "labels": lab})
+        sizes = [r["count"] for r in lab.groupBy("cluster").count().collect()]  # k rows
+        out.append({"k": k, "silhouette": silhouette(lab, key, cols), "sizes": sorted(sizes, reverse=True), "labels": lab})
     data.unpersist()
     return out
 
 
-def _silhouette(x: np.ndarray, lab: np.ndarray) -> float:
-    d = np.sqrt(np.maximum(((x[:, None] - x) ** 2).sum(-1), 0))
-    ids = np.unique(lab)
-    mean = np.stack([d[:, lab == i].sum(1) for i in ids], 1)
-    size = np.array([(lab == i).sum() for i in ids])
-    own = np.searchsorted(ids, lab)
-    r = np.arange(len(x))
-    a = mean[r, own] / np.maximum(size[own] - 1, 1)
-    other = mean / size
-    other[r, own] = np.inf
-    b = other.min(1)
-    return float(np.where(size[own] > 1, (b - a) / np.maximum(a, b), 0).mean())
+def silhouette(labels: DataFrame, key: str, cols: list[str], block: int = 2000) -> float | None:
+    """Mean Euclidean silhouette of (key, cols, cluster). Distances are summed per row and cluster by pairs of blocks
+    of bounded size, each one task; a cluster of one row counts 0."""
+    n = labels.count()
+    m = max(1, -(-n // block))
+    rows = labels.select(F.col(key).alias("key"), F.array(*cols).alias("x"), "cluster").withColumn("_b", (F.xxhash64("key") % m + m) % m)
+    left = rows.select("key", "x", F.col("cluster").alias("own"), F.lit(True).alias("left"), F.col("_b").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("j"))
+    right = rows.select("key", "x", F.col("cluster").alias("own"), F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("i"), F.col("_b").alias("j"))
+
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf["left"]], pdf[~pdf["left"]]
+        if not len(a) or not len(b):
+            return pd.DataFrame({"key": [], "own": [], "other": [], "d": []})
+        d = np.sqrt(((np.stack(a.x)[:, None] - np.stack(b.x)) ** 2).sum(-1))
+        return pd.concat([pd.DataFrame({"key": a.key.to_numpy(), "own": a.own.to_numpy(), "other": c, "d": d[:, (b.own == c).to_numpy()].sum(1)}) for c in b.own.unique()])
+
+    kind = labels.schema[key].dataType.simpleString()
+    per = left.unionByName(right).groupBy("i", "j").applyInPandas(sums, f"key {kind}, own int, other int, d double").groupBy("key", "own", "other").agg(F.sum("d").alias("d"))
+    size = labels.groupBy(F.col("cluster").alias("other")).agg(F.count("*").alias("n"))
+    j = per.join(F.broadcast(size), "other")  # one row per cluster
+    a = F.max(F.when(F.col("own") == F.col("other"), F.when(F.col("n") > 1, F.col("d") / (F.col("n") - 1))))
+    b = F.min(F.when(F.col("own") != F.col("other"), F.col("d") / F.col("n")))
+    s = j.groupBy("key").agg(a.alias("a"), b.alias("b"))
+    return s.agg(F.avg(F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")))).first()[0]
 
 
 def cluster_profiles(labels: DataFrame, cols: list[str]) -> DataFrame:

@@ -635,8 +635,11 @@ def event_windows(spark, d):
 def list_merge(spark, d):
     from ledgerloom.operators.fuzzy import merge_lists
 
-    base = _t(spark, d, "fortune").dropDuplicates(["rank"]).where("rank <= 1500").select(F.col("rank").cast("long").alias("row"), F.col("company").alias("name"))
-    other = _t(spark, d, "eto_core").dropDuplicates(["eto_id"]).where("eto_id < 2000").select(F.col("eto_id").alias("row"), F.col("eto_name").alias("name"))
+    # two short lists of whole tables: the universe's industries, and the indicators' with the customers' segments
+    base = _t(spark, d, "fortune").where("industry IS NOT NULL").groupBy(F.col("industry").alias("name")).agg(F.min("rank").cast("long").alias("row")).select("row", "name")
+    ind = _t(spark, d, "indicators").where("industry IS NOT NULL").groupBy(F.upper("industry").alias("name")).agg(F.min("record_id").alias("row"))
+    seg = _t(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("name")).agg((-F.min("c_custkey")).alias("row"))
+    other = ind.unionByName(seg).select("row", "name")
     return merge_lists(base, other)
 
 

@@ -121,3 +121,24 @@ def test_cluster_names():
     c = {"a": 1.0, "b": 1.0, "c": 1.0}
     assert stats.name_cluster({"a": 2.0, "b": 2.0, "c": 2.0}, c).startswith("above") and stats.name_cluster({"a": 0.0, "b": 1.0, "c": 0.5}, c).startswith("below")
     assert stats.name_cluster({"a": 3.0, "b": 0.0, "c": 2.0}, c) == "a and c led"
+
+
+def test_silhouette_equals_brute_force(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(0, 1, (30, 2)), rng.normal(3, 1, (25, 2)), [[20.0, 20.0]]])
+    lab = np.array([0] * 30 + [1] * 25 + [2])
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(-1))
+    want = []
+    for i in range(len(x)):
+        mates = lab == lab[i]
+        a = d[i, mates].sum() / max(mates.sum() - 1, 1)
+        b = min(d[i, lab == c].mean() for c in set(lab) - {lab[i]})
+        want.append((b - a) / max(a, b) if mates.sum() > 1 else 0.0)
+    df = spark.createDataFrame([(i, float(p[0]), float(p[1]), int(c)) for i, (p, c) in enumerate(zip(x, lab))], "id long, a double, b double, cluster int")
+    assert math.isclose(stats.silhouette(df, "id", ["a", "b"], block=10), np.mean(want), rel_tol=1e-9)
+
+
+def test_ranks_across_partitions(spark):
+    df = spark.range(1000).select((F.col("id") % 400).cast("double").alias("x")).repartition(8)
+    r = {x["value"]: x["rank"] for x in I.average_ranks(df, "x").collect()}
+    assert r[0.0] == 2.0 and r[199.0] == 599.0 and r[399.0] == 999.5 and len(r) == 400
