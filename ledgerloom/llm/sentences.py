@@ -29,6 +29,8 @@ NEVER_FINAL = (
 ).split()
 # The end of a sentence only if a new one visibly starts after it.
 MAYBE_FINAL = "Co Inc Ltd Corp Ltda GmbH etc usw al руб г гг млн млрд тыс др пр bn mn m".split()
+# A day's number and a period before one of these is a date.
+MONTHS = "Januar Jänner Februar März April Mai Juni Juli August September Oktober November Dezember januar februar mars april mai juni juli august september oktober november desember".split()
 # May be followed by another legal form, a capital that starts no sentence.
 FORM_AFTER = ("KG", "Ltd", "Ltda", "Inc", "KGaA", "AG", "UU")
 
@@ -258,15 +260,15 @@ def _events(a: np.ndarray, cls: np.ndarray, ends: np.ndarray) -> tuple[np.ndarra
     maybe = dot & (np.isin(key, _MAYBE) | ((wl >= 1) & (wl <= 2) & (before == C_TERM)))
     inner = dot & (wl == 1) & (before == C_TERM)
     small = inner & np.isin(a[np.clip(t - 1, 0, n - 1)], [ord(x) for x in "eg"])  # i.e. and e.g.
+    day = dot & (at(t - 1) == C_DIGIT) & ~((at(t - 2) == C_DIGIT) & (at(t - 3) == C_DIGIT)) & gap
     form = np.zeros(len(t), bool)
-    m = np.flatnonzero(maybe & (cn == C_UPPER))
-    for f in FORM_AFTER:
-        w = np.array([ord(x) for x in f])
-        ok = np.ones(len(m), bool)
-        for i, x in enumerate(w):
-            ok &= a[np.clip(nxt[m] + i, 0, n - 1)] == x
-        ok &= ~_WORD[at(nxt[m] + len(w))]
-        form[m[ok]] = True
+    for m, words in ((np.flatnonzero(maybe & (cn == C_UPPER)), FORM_AFTER), (np.flatnonzero(day), MONTHS)):
+        for f in words:
+            ok = np.ones(len(m), bool)
+            for i, x in enumerate(f):
+                ok &= a[np.clip(nxt[m] + i, 0, n - 1)] == ord(x)
+            ok &= ~_WORD[at(nxt[m] + len(f))]
+            form[m[ok]] = True
     dots = (code == ord("…")) & _BLANK[at(t - 1)]
     go = np.where(wide, True, gap & starts & ~never & ~initial & ~small & ~form & ~dots & (cn != C_LOWER) & ~(maybe & (cn == C_DIGIT)))
     # directly after the terminator (no closing mark): the terminator's own event

@@ -18,7 +18,7 @@ CASES = [
     ("Dr. Mirsk joined Rartrick Ltd. in 2016. It grew 7.2% vs. 2015. Yes!", 3), ("“Volumes fell. Prices held,” Ms. Lonsby noted. Next one.", 2), ("We sold it to Dracksath & Co. Our margin is 0.36.", 2),
     ("Line one\nwraps here. Second.", 2), ("Competition\n\nWe compete.\n\n• one item\n• two items\n\nTotal costs  12  34", 5), ("“我们会谨慎投资能源。”董事长在会上说。盈利！", 2), ("「投資は慎重に進める。」と社長は述べた。次。", 2),
     ("„Wir prüfen. Wir warten“, sagte Hr. Kalder. Es kostet 5 Mio. Euro.", 2), ("คณะกรรมการอนุมัติแผน ต้นทุนสูงกว่าที่คาด", 2), ("Выручка за 2022 г. составила 13 млн. руб. Завод № 7 работает.", 2), ("قال د. سالور شيئا. هل ستنخفض؟", 2),
-    ("कंपनी बढ़ी। डॉ. कल्देर ने कहा।", 2), ("cut off in the mid", 1), ("  \n ", 0), ("", 0), ("Really?! Yes... Done.", 3),
+    ("कंपनी बढ़ी। डॉ. कल्देर ने कहा।", 2), ("Am 5. März 2018 begann es. Im Jahr 2019. Danach mehr.", 3), ("cut off in the mid", 1), ("  \n ", 0), ("", 0), ("Really?! Yes... Done.", 3),
 ]
 
 
