@@ -22,7 +22,7 @@ def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _linked(spark, sf_dir).where("confidence >= 0.5").select("rank", "source", "entity_id").distinct()
+    return _linked(spark, sf_dir).where("confidence >= 0.4").select("rank", "source", "entity_id").distinct()
 
 
 def p3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
