@@ -6,7 +6,8 @@ without them the trigrams of a corpus stay few). Counted over all texts: how oft
 line and how often at the end of one, by the line's kind. The final trigram of each text is joined to these counts.
 A text is cut if its final trigram is frequent inside but almost never terminal; where the trigram is too rare to
 say, the final bigram decides, then the last word, then the last word's form. A last word seen nowhere else, in a
-place where the corpus has only known words, is the stump of a word. A sign left in place of the rest (…) is a cut.
+place where the corpus has only known words, is the stump of a word; so is one that hardly ever stands inside a line but
+begins a word that follows the same two words elsewhere. A sign left in place of the rest (…) is a cut.
 """
 
 from __future__ import annotations
@@ -70,7 +71,7 @@ WITH wanted AS (
 ), uni AS (
   SELECT kind, c, f, sum(inside) AS inside, sum(terminal) AS terminal FROM form GROUP BY kind, c, f
 ), word AS (
-  SELECT c, sum(inside + terminal) AS seen FROM uni GROUP BY c
+  SELECT c, sum(inside + terminal) AS seen, sum(inside) AS within FROM uni GROUP BY c
 ), bi AS (
   SELECT kind, b, c, sum(inside) AS inside, sum(terminal) AS terminal FROM {counts} GROUP BY kind, b, c
 ), forms AS (
@@ -79,9 +80,13 @@ WITH wanted AS (
 ), place AS (
   SELECT kind, a, b, sum(inside + terminal) AS seen, sum(if(w.seen < {rare}, inside + terminal, 0)) AS unknown
   FROM {counts} JOIN word w USING (c) GROUP BY kind, a, b
+), stem AS (
+  SELECT w.kind, w.a, w.b, w.c, max(t.inside + t.terminal) AS whole
+  FROM wanted w JOIN word ON w.c = word.c AND word.within <= 0.3 * word.seen JOIN {counts} t ON w.kind = t.kind AND w.a = t.a AND w.b = t.b AND left(w.c, 1) = left(t.c, 1)
+  WHERE t.c <> w.c AND startswith(t.c, w.c) GROUP BY w.kind, w.a, w.b, w.c
 ), levels AS (
   SELECT w.kind, w.a, w.b, w.c, t.inside AS i3, t.terminal - 1 AS t3, bi.inside AS i2, bi.terminal - 1 AS t2, uni.inside AS i1, uni.terminal - 1 AS t1,
-    fo.inside AS i0, fo.terminal AS t0, word.seen - 1 AS seen, fo.unknown / (fo.inside + fo.terminal) AS form_unknown, place.seen AS place_seen, place.unknown AS place_unknown, t.f
+    fo.inside AS i0, fo.terminal AS t0, word.seen - 1 AS seen, fo.unknown / (fo.inside + fo.terminal) AS form_unknown, place.seen AS place_seen, place.unknown AS place_unknown, t.f, coalesce(stem.whole, 0) AS whole
   FROM wanted w
   JOIN form t ON w.kind = t.kind AND w.a = t.a AND w.b = t.b AND w.c = t.c
   JOIN bi ON w.kind = bi.kind AND w.b = bi.b AND w.c = bi.c
@@ -89,10 +94,11 @@ WITH wanted AS (
   JOIN word ON w.c = word.c
   JOIN forms fo ON w.kind = fo.kind AND t.f = fo.f
   JOIN place ON w.kind = place.kind AND w.a = place.a AND w.b = place.b
+  LEFT JOIN stem ON w.kind = stem.kind AND w.a = stem.a AND w.b = stem.b AND w.c = stem.c
 ), judged AS (
-  SELECT *, CASE WHEN i3 + t3 >= {least} THEN 'trigram'
+  SELECT *, CASE WHEN whole >= {rare} THEN 'stump' WHEN i3 + t3 >= {least} THEN 'trigram'
       WHEN seen < {rare} - 1 AND (f = 'thai' AND form_unknown < 0.1 OR kind <> 'text' AND place_seen >= {least} AND place_unknown < 0.1 * place_seen) THEN 'stump'
-      WHEN i2 + t2 >= {least} THEN 'bigram' WHEN i1 + t1 >= {least} THEN 'word' ELSE 'form' END AS level
+      WHEN i2 + t2 >= {least} AND i2 > 0 THEN 'bigram' WHEN i1 + t1 >= {least} AND i1 > 0 THEN 'word' ELSE 'form' END AS level
   FROM levels
 ), verdict AS (
   SELECT kind, a, b, c, level, CASE level WHEN 'trigram' THEN t3 < {share} * (i3 + t3) WHEN 'stump' THEN true WHEN 'bigram' THEN t2 < {share} * (i2 + t2)
