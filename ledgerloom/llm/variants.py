@@ -41,20 +41,21 @@ def similar_nodes(nodes: DataFrame, threshold: float = 0.25, n: int = 3, typos:
     or more and lie at most ``typos`` edits apart; ``s`` is the similarity that clustering uses. No pair is capped."""
     d = cut(nodes.select("node", "line", "family").distinct().withColumn("id", F.xxhash64("node")))
     padded = F.concat(F.lit("#"), "family", F.lit("#"))
-    grams = (
+    grams = cut(
         d.select("id", "line", F.length("family").alias("len"), padded.alias("p"))
-        .select("id", "line", "len", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("p") - (n - 1), F.lit(1))), lambda i: F.substring("p", i, n))).alias("g"))
-        .groupBy("id", "line", "len", "g").agg(F.count("*").alias("tf"))
+        .select("id", "line", "len", F.posexplode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("p") - (n - 1), F.lit(1))), lambda i: F.substring("p", i, n))).alias("pos", "g"))
     )
-    df = grams.groupBy("g").agg(F.count("*").alias("df"))
+    df = grams.groupBy("g").agg(F.count_distinct("id").alias("df"))
     # an n-gram that one node has alone is often a typo: rarity is smoothed so that it doesn't outweigh the rest
-    w = grams.join(df, "g").crossJoin(F.broadcast(d.agg(F.count("*").alias("N")))).withColumn("w", F.col("tf") * F.log(1 + F.col("N") / (F.col("df") + 5)))
+    w = grams.join(df, "g").crossJoin(F.broadcast(d.agg(F.count("*").alias("N")))).withColumn("w", F.log(1 + F.col("N") / (F.col("df") + 5)))
     norm = w.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     # n-grams of one node only meet no other; they count in the norm
-    v = cut(w.where("df > 1").join(norm, "id").select("id", "line", "len", "g", (F.col("w") / F.col("norm")).alias("w")))
-    a, b = (v.select("line", "g", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "len", "w"))) for x in "ab")
+    v = cut(w.where("df > 1").join(norm, "id").select("id", "line", "len", "pos", "g", (F.col("w") / F.col("norm")).alias("w")))
+    a, b = (v.select("line", "g", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "len", "pos", "w"))) for x in "ab")
+    # so few typos move an n-gram by so few places only, and change the length by no more
+    near = (F.abs(F.col("len_a") - F.col("len_b")) <= typos) & (F.abs(F.col("pos_a") - F.col("pos_b")) <= typos)
     pairs = (
-        a.join(b, ["line", "g"]).where((F.col("id_a") < F.col("id_b")) & (F.abs(F.col("len_a") - F.col("len_b")) <= typos))
+        a.join(b, ["line", "g"]).where((F.col("id_a") < F.col("id_b")) & near)
         .groupBy("id_a", "id_b").agg(F.sum(F.col("w_a") * F.col("w_b")).alias("cosine")).where(F.col("cosine") >= threshold)
     )
     who = d.select("id", "node", "family")
