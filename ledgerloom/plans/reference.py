@@ -305,12 +305,12 @@ def section_blocks(spark, d):
 
 @query()
 def section_sentences(spark, d):
-    return sections.sentences(sections.section_blocks(_sec(spark, d), ["section_id"]), ["section_id"])
+    return sections.section_sentences(_sec(spark, d), ["section_id"])
 
 
 @query()
 def sentence_gaps(spark, d):
-    s = sections.sentences(sections.section_blocks(_sec(spark, d), ["section_id"]), ["section_id"])
+    s = sections.section_sentences(_sec(spark, d), ["section_id"])
     return sections.sentence_gaps(s.where(T.mentions(F.col("sentence"))), ["section_id"])
 
 
