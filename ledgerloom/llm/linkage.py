@@ -24,8 +24,11 @@ def solve_hinge_admm(rules: DataFrame, rounds: int = 18, rho: float = 1.0, tol:
     ``rules``: one row per (rule, var) with ``coef``, ``offset`` and ``weight`` (the same on all rows of a rule; a
     null weight makes the rule a hard constraint). Result: ``(var, value)``.
     """
+    # rules and values travel as 64-bit ids; only the result has the values' names again
+    rules = cut(rules.select(F.xxhash64("rule").alias("rule"), F.xxhash64("var").alias("var"), "coef", "offset", "weight", F.col("var").alias("name")))
+    named = rules.select("var", "name").distinct()
     norm = rules.groupBy("rule").agg(F.sum(F.col("coef") * F.col("coef")).alias("norm"))
-    state = cut(rules.join(norm, "rule").withColumns({"u": F.lit(0.0), "z": F.lit(0.5)}))
+    state = cut(rules.drop("name").join(norm, "rule").withColumns({"u": F.lit(0.0), "z": F.lit(0.5)}))
     for _ in range(rounds):
         v = state.withColumn("v", F.col("z") - F.col("u"))
         total = v.groupBy("rule").agg(F.sum(F.col("coef") * F.col("v")).alias("av"))
@@ -41,7 +44,7 @@ def solve_hinge_admm(rules: DataFrame, rounds: int = 18, rho: float = 1.0, tol:
         state = state.drop("moved")
         if most is None or most < tol:
             break
-    return state.groupBy("var").agg(F.first("z").alias("value"))
+    return state.groupBy("var").agg(F.first("z").alias("value")).join(named, "var").select(F.col("name").alias("var"), "value")
 
 
 def ticker_key(c):
