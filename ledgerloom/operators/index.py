@@ -148,3 +148,51 @@ def rank_shift(df: DataFrame, key: str, main: str, variant: str) -> DataFrame:
     r0, r1 = (average_ranks(j, f"_r{i}").select(F.col("value").alias(f"_q{i}"), F.col("rank").alias(f"_s{i}")) for i in (0, 1))
     rho = j.join(r0, F.col("_r0") == F.col("_q0")).join(r1, F.col("_r1") == F.col("_q1")).agg(F.corr("_s0", "_s1").alias("spearman"))
     return shift.crossJoin(rho).select(F.lit(variant).alias("variant"), "n_common", "spearman", "mean_shift", "max_shift")
+
+
+# --- fixed values: columns beside the indicators that say how far a text indicator can be trusted ---
+QA_COLUMNS = ("parse_complete", "item_parsed", "n_ai_sentences", "n_total_sentences", "has_ai_mention")
+
+
+def qa_columns(dimension: str) -> list[str]:
+    """Quality columns of a dimension in the composed matrix; only dimensions read from text have them."""
+    return [f"{dimension}__{c}" for c in QA_COLUMNS] if set(DIMENSIONS[dimension]) & {"net_tone", "fls_score"} else []
+
+
+def tone_reliability(n: Column, k: float | Column) -> Column:
+    """Weight of a mean of ``n`` sentences: n / (n + k), k being the within to between variance; 0 without sentences."""
+    m = F.coalesce(n.cast("double"), F.lit(0.0))
+    return F.when(m > 0, m / (m + k)).otherwise(0.0)
+
+
+def presence(value: Column) -> Column:
+    """Weight of an indicator that is either there or not."""
+    return value.isNotNull().cast("double")
+
+
+def index_variant(df: DataFrame, key: str, dims: dict[str, list[str]], how: str = "minmax", aggregate: str = "linear", weights: dict[str, Column] | None = None) -> DataFrame:
+    """``(key, index)`` of one way to build the index: normaliser, aggregation and reliability weights of indicators
+    (presence only if none are given)."""
+    cols = [c for cs in dims.values() for c in cs]
+    extra = {f"_w_{c}": (weights or {}).get(c, F.lit(None).cast("double")) for c in cols}
+    x = normalised(df.withColumns(extra), cols, how)
+    scores, cover = zip(*(dimension_score([F.col(c) for c in cs], [F.col(f"_w_{c}") for c in cs]) for cs in dims.values()))
+    w = [(c > 0).cast("double") for c in cover]
+    return x.select(key, (geometric_composite if aggregate == "geometric" else linear_composite)(list(scores), w).alias("index"))
+
+
+def sensitivity(main: DataFrame, variants: dict[str, DataFrame], key: str) -> DataFrame:
+    """``rank_shift`` of every variant against the main index, both ``(key, index)``."""
+    out = None
+    for name, v in variants.items():
+        j = main.select(key, F.col("index").alias("_main")).join(v.select(key, F.col("index").alias(name)), key, "full")
+        r = rank_shift(j, key, "_main", name)
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+def modeling_frame(index: DataFrame, scores: DataFrame, key: str = "normalized_company_name") -> DataFrame:
+    """The index with an outside score per firm where there is one; the outside list must know a firm once."""
+    if scores.groupBy(key).count().where("count > 1").limit(1).count():
+        raise ValueError(f"{key} is not unique in the scores")
+    return index.join(scores, key, "left")

@@ -647,3 +647,46 @@ def list_merge(spark, d):
 def html_tables(spark, d):
     raw = _t(spark, d, "raw_text").where(F.lower("text").contains("<table")).select("accession_number", "text").distinct()
     return lists.html_rows(raw, "accession_number", "text")
+
+
+# --- reliability, variants, skips ----------------------------------------------------------------------------------------------------
+@query(
+    f"WITH {_CUST_SQL} SELECT c_custkey, round(CASE WHEN coalesce(n_orders, 0) > 0 THEN n_orders / (n_orders + 7.5) ELSE 0 END, 6) AS tone_weight, (total IS NOT NULL)::INT::DOUBLE AS presence FROM cust"
+)
+def indicator_reliability(spark, d):
+    c = _cust(spark, d)
+    return c.select("c_custkey", F.round(I.tone_reliability(F.col("n_orders"), 7.5), 6).alias("tone_weight"), I.presence(F.col("total")).alias("presence"))
+
+
+_DIMS = {"a": ["acctbal", "n_orders"], "b": ["total", "largest"]}
+
+
+def _variant_sql(name: str, norm: str) -> str:
+    cols = ", ".join(f"{norm.format(c=c, r=_avg_rank(c))} AS {c}" for c in _COLS)
+    return f"""SELECT '{name}' AS variant, count(*) AS n_common, round(corr(a, b), 4) AS spearman FROM (SELECT {_avg_rank('m')} AS a, {_avg_rank('x')} AS b FROM (
+  SELECT main.i AS m, v.i AS x FROM (SELECT c_custkey, linear AS i FROM ix WHERE linear IS NOT NULL) main JOIN (
+    SELECT c_custkey, ((coalesce(acctbal, 0) + coalesce(n_orders, 0)) / nullif((acctbal IS NOT NULL)::INT + (n_orders IS NOT NULL)::INT, 0) + (coalesce(total, 0) + coalesce(largest, 0)) / nullif((total IS NOT NULL)::INT + (largest IS NOT NULL)::INT, 0)) / 2 * 100 AS i
+    FROM (SELECT c_custkey, {cols} FROM cust)) v USING (c_custkey) WHERE v.i IS NOT NULL))"""
+
+
+@query(f"WITH {_SCORED_SQL} " + _variant_sql("rankscore", "({r} - 1) / (count({c}) OVER () - 1)") + " UNION ALL " + _variant_sql("zscore", "({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER ()"))
+def sensitivity_variants(spark, d):
+    from ledgerloom.session import cut
+
+    c = cut(_cust(spark, d))
+    made = {how: I.index_variant(c, "c_custkey", _DIMS, how) for how in ("rankscore", "zscore")}
+    return I.sensitivity(I.index_variant(c, "c_custkey", _DIMS), made, "c_custkey").select("variant", "n_common", F.round("spearman", 4).alias("spearman"))
+
+
+@query("SELECT DISTINCT cik, CASE WHEN cik IN (SELECT cik FROM filings WHERE form = '10-K') THEN 'no filing of the year' ELSE 'no filing of the form' END AS reason FROM filings WHERE cik NOT IN (SELECT cik FROM filings WHERE form = '10-K' AND fiscal_year = 2024)")
+def filing_skips(spark, d):
+    f = _t(spark, d, "filings").select("cik", "form", "fiscal_year").distinct()
+    _, skipped = R.known_and_missing(f.select("cik").distinct(), R.latest_filings(f.withColumns({"filing_date": F.lit(""), "accession_number": F.lit("")}), "10-K", 2024), "cik")
+    form = f.where("form = '10-K'").select("cik").distinct().withColumn("_f", F.lit(True))
+    return skipped.join(form, "cik", "left").select("cik", F.when(F.col("_f"), "no filing of the year").otherwise("no filing of the form").alias("reason"))
+
+
+@query(f"WITH {_SCORED_SQL} SELECT ix.c_custkey, round(linear, 4) AS linear, n_orders AS outside FROM ix LEFT JOIN (SELECT o_custkey, count(*) AS n_orders FROM orders GROUP BY 1) ON ix.c_custkey = o_custkey")
+def modeling_frame(spark, d):
+    scores = _t(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("outside"))
+    return I.modeling_frame(_index(spark, d).select("c_custkey", *_r("linear", n=4)), scores, "c_custkey")
