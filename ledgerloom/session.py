@@ -45,3 +45,10 @@ def cut(df: DataFrame) -> DataFrame:
     costs no recomputation of what came before, and what reads it twice computes it once."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores: a small table that lies in one file would keep all
+    but one core idle. A table in as many parts or more stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
