@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.session import cut
+from ledgerloom.session import cut, spread
 
 # --- fixed values: encodings a text may be stored in, and read as ---
 STORED = "utf-8 cp1252 latin-1 cp1250 cp1251 koi8-r cp866 iso8859-15 iso8859-2 mac-roman cp437 cp850 mac-cyrillic iso8859-5 cp932 euc-jp gbk big5 euc-kr".split()
@@ -124,7 +124,8 @@ def garbled_tokens(tokens: DataFrame, key: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), kinds)], list(rows))
 
     counts = cut(tokens.groupBy("token").agg(F.count("*").alias("n")))
-    forms = counts.mapInArrow(run, "form string, original string, chain string, longer boolean, weak boolean, n_original long")
+    # few distinct words are much work: all cores share them
+    forms = spread(counts).mapInArrow(run, "form string, original string, chain string, longer boolean, weak boolean, n_original long")
     hit = cut(forms.join(counts, forms.form == counts.token).where(F.when(F.col("longer") | F.col("weak"), F.col("n_original") >= F.col("n")).otherwise(F.col("n_original") > 3 * F.col("n"))))
     best = hit.where("NOT weak").groupBy("token").agg(F.max(F.struct(F.col("original").isNotNull().alias("o"), "n_original", "original", "chain")).alias("b"))
     weak = hit.where("weak").groupBy("token", "chain").agg(F.max_by("original", F.struct("n_original", "original")).alias("original"))

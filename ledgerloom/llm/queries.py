@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import leakage, linkage, markup, mojibake, packing, sentences, survivors, truncation, variants
-from ledgerloom.session import read_table
+from ledgerloom.session import read_table, spread
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return markup.clean_markup(read_table(spark, sf_dir, "raw_text")).where("n_constructs > 0").select("accession_number").distinct()
+    return markup.clean_markup(spread(read_table(spark, sf_dir, "raw_text"))).where("n_constructs > 0").select("accession_number").distinct()
 
 
 def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return markup.clean_markup(read_table(spark, sf_dir, "raw_text"))
+    return markup.clean_markup(spread(read_table(spark, sf_dir, "raw_text")))
 
 
 def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,11 +30,11 @@ def p3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentences.sentence_ends(read_table(spark, sf_dir, "sections"), "section_id", "text").distinct()
+    return sentences.sentence_ends(spread(read_table(spark, sf_dir, "sections")), "section_id", "text").distinct()
 
 
 def p4_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentences.split_sentences(read_table(spark, sf_dir, "sections"), "section_id", "text")
+    return sentences.split_sentences(spread(read_table(spark, sf_dir, "sections")), "section_id", "text")
 
 
 def _all_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,11 +54,11 @@ def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return truncation.truncated(read_table(spark, sf_dir, "sections")).where("cut").select("section_id").distinct()
+    return truncation.truncated(spread(read_table(spark, sf_dir, "sections"))).where("cut").select("section_id").distinct()
 
 
 def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return truncation.truncation_report(read_table(spark, sf_dir, "sections"))
+    return truncation.truncation_report(spread(read_table(spark, sf_dir, "sections")))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,20 +79,20 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leakage.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items")).select("doc_id", "item_id").distinct()
+    return leakage.leaks(spread(read_table(spark, sf_dir, "documents")), read_table(spark, sf_dir, "eval_items")).select("doc_id", "item_id").distinct()
 
 
 def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = leakage.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
+    found = leakage.leaks(spread(read_table(spark, sf_dir, "documents")), read_table(spark, sf_dir, "eval_items"))
     return found.groupBy("item_id").agg(F.count_distinct("doc_id").alias("n_documents"), F.max("n_words").alias("longest"))
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mojibake.garbled_documents(read_table(spark, sf_dir, "documents")).select("doc_id").distinct()
+    return mojibake.garbled_documents(spread(read_table(spark, sf_dir, "documents"))).select("doc_id").distinct()
 
 
 def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mojibake.restore(read_table(spark, sf_dir, "documents")).where("is_garbled").select("doc_id", "restored_text", "n_unrestored")
+    return mojibake.restore(spread(read_table(spark, sf_dir, "documents"))).where("is_garbled").select("doc_id", "restored_text", "n_unrestored")
 
 
 QUERIES = {k: f for k, f in globals().items() if k[:1] == "p" and "_" in k and k[1].isdigit()}
