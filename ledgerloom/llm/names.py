@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from functools import lru_cache
+from itertools import permutations
 
 # --- fixed values ---------------------------------------------------------------------------------------------
 LEGAL = (
@@ -70,6 +72,21 @@ def distance(a: str, b: str, most: int = 99) -> int:
     return row[-1]
 
 
+def distance_in_any_order(a: str, b: str, most: int = 99) -> int:
+    """Least distance of two families over the orders of their words, blanks not counted. Words that both have are
+    paired first; where more than five words are left, they differ by more than four edits unless only blanks moved,
+    so those are compared in alphabetical order alone."""
+    x, y = Counter(a.split()), Counter(b.split())
+    left, right = sorted((x - y).elements()), sorted((y - x).elements())
+    p, q = "".join(left), "".join(right)
+    # each edit takes away or adds one letter of a kind at most, in whatever order
+    if max(sum((Counter(p) - Counter(q)).values()), sum((Counter(q) - Counter(p)).values())) > most:
+        return most + 1
+    if len(left) < len(right):
+        left, p, q = right, q, p
+    return min(distance("".join(o), q, most) for o in ({*permutations(left)} if len(left) <= 5 else [left]))
+
+
 _SAME = {"chemicals": "chemical", "semiconductors": "semiconductor", "technology": "technologies", "banks": "bank"}
 _FORMS = {**{x: x for x in LINES}, **{x[:-1]: x for x in LINES if x.endswith("s")}, **{a: x for a, x in ABBREVIATIONS.items() if len(a) >= 4}}
 
@@ -93,9 +110,15 @@ def mistyped_line(word: str) -> str:
     return _SAME.get(_FORMS[min(near)[2]], _FORMS[min(near)[2]]) if near else ""
 
 
-@lru_cache(1 << 17)
 def parse(name: str | None) -> tuple[str, str, str] | None:
     """(family, line, given) of a name; None for a placeholder. Family is what is left of the name, joined."""
+    p = parts(name)
+    return p and ("".join(p[0]), *p[1:])
+
+
+@lru_cache(1 << 17)
+def parts(name: str | None) -> tuple[tuple[str, ...], str, str] | None:
+    """As ``parse``, with the words of the family in the order they were typed in."""
     if name is None:
         return None
     f = fold(name)
@@ -114,4 +137,4 @@ def parse(name: str | None) -> tuple[str, str, str] | None:
         rest = rest[1:]
     elif len(rest) > 2 and (rest[-1] in GIVEN or len(rest[-1]) == 1):
         given, rest = GIVEN.get(rest[-1], rest[-1]), rest[:-1]
-    return "".join(rest), line, given
+    return tuple(rest), line, given

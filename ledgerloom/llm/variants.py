@@ -1,8 +1,9 @@
 """Variant spellings of names typed by people (problem 5).
 
 Names are brought to a normal form of family, line of business and initial of a given name. Its distinct values are
-the nodes. Their families become character n-gram vectors weighted by rarity; a sparse cosine join finds all similar
-pairs, within a line of business, and the number of typing errors between them sets their similarity. Average-linkage clustering then groups the nodes: in every round all pairs of clusters
+the nodes; the words of a family count in whatever order they were typed. The families become character n-gram
+vectors weighted by rarity; a sparse cosine join finds all similar pairs, within a line of business, and the number
+of typing errors between them, least over the orders of their words, sets their similarity. Average-linkage clustering then groups the nodes: in every round all pairs of clusters
 that are each other's nearest neighbours merge, which for average linkage gives the same tree as one merge at a
 time; sums of similarities are all a round needs, so it runs as joins and aggregates and no group meets in one task.
 """
@@ -15,16 +16,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.names import distance, parse
+from ledgerloom.llm.names import distance_in_any_order, parts
 from ledgerloom.session import cut
 
 
 def name_nodes(names: DataFrame, name: str = "name") -> DataFrame:
-    """``(name, node, line, family)`` for every distinct name that is no placeholder."""
+    """``(name, node, line, family)`` for every distinct name that is no placeholder; ``family`` has its words in
+    alphabetical order."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            rows = [(n, *p) for n in b.column(0).to_pylist() if (p := parse(n)) is not None and p[0]]
+            rows = [(n, " ".join(sorted(p[0])), *p[1:]) for n in b.column(0).to_pylist() if (p := parts(n)) is not None and any(p[0])]
             cols = list(zip(*rows)) if rows else [(), (), (), ()]
             node = [f"{line}|{family}|{given[:1]}" for family, line, given in zip(*cols[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.string()) for x in (cols[0], node, cols[2], cols[1])], ["name", "node", "line", "family"])
@@ -38,24 +40,24 @@ BY_EDITS = (1.0, 0.85, 0.7, 0.45, 0.3)
 
 def similar_nodes(nodes: DataFrame, threshold: float = 0.25, n: int = 3, typos: int = 4) -> DataFrame:
     """``(a, b, cosine, edits, s)`` with a < b for all nodes of one line whose families have a cosine of ``threshold``
-    or more and lie at most ``typos`` edits apart; ``s`` is the similarity that clustering uses. No pair is capped."""
+    or more and lie at most ``typos`` edits apart, in the order of words that suits best; ``s`` is the similarity that
+    clustering uses. No pair is capped, and none is dropped before its cosine is known."""
     d = cut(nodes.select("node", "line", "family").distinct().withColumn("id", F.xxhash64("node")))
-    padded = F.concat(F.lit("#"), "family", F.lit("#"))
+    # n-grams lie within words, so their order says nothing
+    word = d.select("id", "line", F.explode(F.split("family", " ")).alias("word")).select("id", "line", F.concat(F.lit("#"), "word", F.lit("#")).alias("p"))
     grams = cut(
-        d.select("id", "line", F.length("family").alias("len"), padded.alias("p"))
-        .select("id", "line", "len", F.posexplode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("p") - (n - 1), F.lit(1))), lambda i: F.substring("p", i, n))).alias("pos", "g"))
+        word.select("id", "line", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("p") - (n - 1), F.lit(1))), lambda i: F.substring("p", i, n))).alias("g"))
+        .groupBy("id", "line", "g").agg(F.count("*").alias("tf"))
     )
-    df = grams.groupBy("g").agg(F.count_distinct("id").alias("df"))
+    df = grams.groupBy("g").agg(F.count("*").alias("df"))
     # an n-gram that one node has alone is often a typo: rarity is smoothed so that it doesn't outweigh the rest
-    w = grams.join(df, "g").crossJoin(F.broadcast(d.agg(F.count("*").alias("N")))).withColumn("w", F.log(1 + F.col("N") / (F.col("df") + 5)))
+    w = grams.join(df, "g").crossJoin(F.broadcast(d.agg(F.count("*").alias("N")))).withColumn("w", F.col("tf") * F.log(1 + F.col("N") / (F.col("df") + 5)))
     norm = w.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     # n-grams of one node only meet no other; they count in the norm
-    v = cut(w.where("df > 1").join(norm, "id").select("id", "line", "len", "pos", "g", (F.col("w") / F.col("norm")).alias("w")))
-    a, b = (v.select("line", "g", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "len", "pos", "w"))) for x in "ab")
-    # so few typos move an n-gram by so few places only, and change the length by no more
-    near = (F.abs(F.col("len_a") - F.col("len_b")) <= typos) & (F.abs(F.col("pos_a") - F.col("pos_b")) <= typos)
+    v = cut(w.where("df > 1").join(norm, "id").select("id", "line", "g", (F.col("w") / F.col("norm")).alias("w")))
+    a, b = (v.select("line", "g", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "w"))) for x in "ab")
     pairs = (
-        a.join(b, ["line", "g"]).where((F.col("id_a") < F.col("id_b")) & near)
+        a.join(b, ["line", "g"]).where(F.col("id_a") < F.col("id_b"))
         .groupBy("id_a", "id_b").agg(F.sum(F.col("w_a") * F.col("w_b")).alias("cosine")).where(F.col("cosine") >= threshold)
     )
     who = d.select("id", "node", "family")
@@ -65,7 +67,7 @@ def similar_nodes(nodes: DataFrame, threshold: float = 0.25, n: int = 3, typos:
 
     def check(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in it:
-            edits = [distance(p, q, typos) for p, q in zip(x.column("fa").to_pylist(), x.column("fb").to_pylist())]
+            edits = [distance_in_any_order(p, q, typos) for p, q in zip(x.column("fa").to_pylist(), x.column("fb").to_pylist())]
             s = [BY_EDITS[e] if e < len(BY_EDITS) else 0.0 for e in edits]
             yield pa.RecordBatch.from_arrays([x.column("a"), x.column("b"), x.column("cosine"), pa.array(edits, pa.int32()), pa.array(s, pa.float64())], ["a", "b", "cosine", "edits", "s"])
 

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.linkage import link, money, solve_hinge_admm, ticker_key
-from ledgerloom.llm.names import distance, line_of, mistyped_line, parse
+from ledgerloom.llm.names import distance, distance_in_any_order, line_of, mistyped_line, parse
 from ledgerloom.llm.variants import average_linkage, name_clusters, name_pairs
 
 
@@ -75,3 +75,14 @@ def test_link(spark):
     out = {(r["rank"], r["source"], r["entity_id"]): r["confidence"] for r in link(f, e, t, a, g).collect()}
     assert {k for k, v in out.items() if v >= 0.5} == {(1, "eto", "10"), (2, "eto", "11"), (1, "fundamentals", "00000011"), (3, "fundamentals", "00000012")}
     assert all(0 <= v <= 1 for v in out.values())
+
+
+def test_distance_in_any_order():
+    assert distance_in_any_order("dirkfel landtrick", "landtrick dirkfel", 4) == 0 and distance_in_any_order("dirk fel landtrick", "landtrick dirkfel", 4) == 0
+    assert distance_in_any_order("ydirkfel landtrick", "dirkfel ladntrick", 4) == 2 and distance_in_any_order("dirkfel landtrick", "dirkfel kexbund", 4) == 5
+
+
+def test_swapped_family_words_are_one_organisation(spark):
+    names = ["Dirkfel & Landtrick Foods", "LANDTRICK DIRKFEL FOODS INC", "Ladntrick Dirkfel Fds", "Zlandtrick Dirkfel Foods", "Landtrick Kexbund Foods", "Dirkfel Landtrick Steel"]
+    c = {r["name"]: r["cluster"] for r in name_clusters(spark.createDataFrame([(n,) for n in names], "name string")).collect()}
+    assert len({c[n] for n in names[:4]}) == 1 and len(set(c.values())) == 3
