@@ -86,3 +86,12 @@ def test_swapped_family_words_are_one_organisation(spark):
     names = ["Dirkfel & Landtrick Foods", "LANDTRICK DIRKFEL FOODS INC", "Ladntrick Dirkfel Fds", "Zlandtrick Dirkfel Foods", "Landtrick Kexbund Foods", "Dirkfel Landtrick Steel"]
     c = {r["name"]: r["cluster"] for r in name_clusters(spark.createDataFrame([(n,) for n in names], "name string")).collect()}
     assert len({c[n] for n in names[:4]}) == 1 and len(set(c.values())) == 3
+
+
+def test_link_with_swapped_family_words(spark):
+    f = spark.createDataFrame([(1, "Dirkfel Landtrick Foods", "AAAAA", "$900", "1,000")], "rank int, company string, ticker string, assets string, employees string")
+    e = spark.createDataFrame([(10, "LANDTRICK DIRKFEL FOODS CORP."), (11, "Landtrick Dirkfel Steel")], "eto_id long, eto_name string")
+    t = spark.createDataFrame([], "eto_id long, ticker string")
+    a = spark.createDataFrame([], "eto_id long, alias string")
+    g = spark.createDataFrame([("11", "Landtrick Dirkfel Foods Inc", None, 901.0, 1.0)], "gvkey string, conm string, tic string, at double, emp double")
+    assert {(r["source"], r["entity_id"]) for r in link(f, e, t, a, g).where("confidence >= 0.4").collect()} == {("eto", "10"), ("fundamentals", "00000011")}
