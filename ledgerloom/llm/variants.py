@@ -75,30 +75,31 @@ def similar_nodes(nodes: DataFrame, threshold: float = 0.25, n: int = 3, typos:
     return ordered.mapInArrow(check, "a string, b string, cosine double, edits int, s double").where(F.col("edits") <= typos)
 
 
-def average_linkage(edges: DataFrame, threshold: float = 0.38, rounds: int = 30) -> DataFrame:
-    """``(node, cluster)`` for every node of ``edges (a, b, s)``, a < b. Pairs without an edge count as similarity 0."""
-    both = edges.select("a", "b", "s").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "s"))
-    e = cut(both)
-    member = cut(e.select(F.col("a").alias("node")).distinct().withColumn("cluster", F.col("node")))
-    for _ in range(rounds):
+def average_linkage(edges: DataFrame, threshold: float = 0.38) -> DataFrame:
+    """``(node, cluster)`` for every node of ``edges (a, b, s)``, a < b. Pairs without an edge count as similarity 0.
+    Rounds go on until no pair is left to merge."""
+    e = cut(edges.select("a", "b", "s"))
+    member = cut(e.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("cluster", F.col("node")))
+    while True:
         size = member.groupBy("cluster").agg(F.count("*").alias("n"))
         avg = (
             e.join(size.select(F.col("cluster").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("cluster").alias("b"), F.col("n").alias("nb")), "b")
             .withColumn("avg", F.col("s") / (F.col("na") * F.col("nb"))).where(F.col("avg") >= threshold)
         )
-        # one order of all pairs, so the best pair is always mutual
-        pair = F.struct("avg", F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
-        best = avg.groupBy("a").agg(F.max(pair).alias("p")).select("a", F.col("p.hi").alias("hi"), F.col("p.lo").alias("lo"))
+        # one order of all pairs, so the best pair is always mutual; ties go by a hash, so that many pairs of a group
+        # of ties are mutual in a round. A pair's average is computed once, so both its ends see the same
+        pair = F.struct("avg", F.xxhash64("a", "b").alias("tie"), F.col("b").alias("hi"), F.col("a").alias("lo"))
+        best = avg.select(pair.alias("p"), F.explode(F.array("a", "b")).alias("end")).groupBy("end").agg(F.max("p").alias("p")).select("p.hi", "p.lo")
         mutual = cut(best.groupBy("hi", "lo").agg(F.count("*").alias("k")).where("k = 2").select(F.col("hi").alias("old"), F.col("lo").alias("new")))
         if mutual.isEmpty():
-            break
+            return member
         member = cut(member.join(mutual, F.col("cluster") == F.col("old"), "left").select("node", F.coalesce("new", "cluster").alias("cluster")))
         ma, mb = mutual.select(F.col("old").alias("oa"), F.col("new").alias("na")), mutual.select(F.col("old").alias("ob"), F.col("new").alias("nb"))
         e = cut(
             e.join(ma, F.col("a") == F.col("oa"), "left").join(mb, F.col("b") == F.col("ob"), "left")
-            .select(F.coalesce("na", "a").alias("a"), F.coalesce("nb", "b").alias("b"), "s").where("a <> b").groupBy("a", "b").agg(F.sum("s").alias("s"))
+            .select(F.coalesce("na", "a").alias("a"), F.coalesce("nb", "b").alias("b"), "s").where("a <> b")
+            .groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("s").alias("s"))
         )
-    return member
 
 
 def name_clusters(names: DataFrame, name: str = "name", cosine: float = 0.25, linkage: float = 0.38) -> DataFrame:

@@ -88,6 +88,12 @@ def test_swapped_family_words_are_one_organisation(spark):
     assert len({c[n] for n in names[:4]}) == 1 and len(set(c.values())) == 3
 
 
+def test_tied_group_of_more_than_31_nodes_is_one_cluster(spark):
+    nodes = [f"n{i:02}" for i in range(36)]
+    df = spark.createDataFrame([(a, b, 0.85) for i, a in enumerate(nodes) for b in nodes[i + 1 :]], "a string, b string, s double")
+    assert {r["cluster"] for r in average_linkage(df).collect()} == {average_linkage(df).first()["cluster"]}
+
+
 def test_link_with_swapped_family_words(spark):
     f = spark.createDataFrame([(1, "Dirkfel Landtrick Foods", "AAAAA", "$900", "1,000")], "rank int, company string, ticker string, assets string, employees string")
     e = spark.createDataFrame([(10, "LANDTRICK DIRKFEL FOODS CORP."), (11, "Landtrick Dirkfel Steel")], "eto_id long, eto_name string")
