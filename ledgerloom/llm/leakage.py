@@ -7,12 +7,14 @@ principle one of its ``n - least + 1`` rarest must occur in the document, so onl
 positions of the shared shingles give the window of the document to look at (positional bound) and how much of it
 can match (length bound); an exact alignment of item and window then decides: it must be long enough, hold the
 item's words in order, and hold its facts (the words that other items don't share, such as names and figures),
-for a text that only follows the item's wording with other facts is no leak.
+for a text that only follows the item's wording with other facts is no leak. A stretch with hardly a fact must stand
+there word for word.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -67,6 +69,14 @@ def longest_stretch(item: list[str], doc: list[str], penalty: float = 2.0) -> tu
     return best[3] - best[1], best[3], best[2]
 
 
+def verbatim(item: list[str], doc: list[str], least: int) -> int:
+    """Words of the longest stretch of the item that stands unchanged in ``doc``; 0 below ``least``."""
+    have = {tuple(doc[j : j + least]) for j in range(len(doc) - least + 1)}
+    if not any(tuple(item[i : i + least]) in have for i in range(len(item) - least + 1)):
+        return 0
+    return SequenceMatcher(None, item, doc, autojunk=False).find_longest_match().size
+
+
 def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", n: int = 3, window: int = 15, least: int = 4, span: int = 14, matched: float = 0.78, facts: float = 0.5) -> DataFrame:
     """``(doc, item, n_words, n_matched)`` for each document and each item it reproduces in full or in a stretch of
     ``window`` words or more.
@@ -76,7 +86,9 @@ def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key:
     no alignment shows). ``facts``: least share of the stretch's fact words that are matched. Null and short texts leak nothing; copies give their pairs once.
     """
     iw = cut(items.where(F.col(text).isNotNull()).select(F.col(item_key).alias("item"), _words(text).alias("w")).distinct())
-    shared_words = iw.select("item", F.explode(F.array_distinct("w")).alias("x")).groupBy("x").agg(F.count_distinct("item").alias("k")).crossJoin(iw.agg(F.count_distinct("item").alias("items"))).where(F.col("k") <= F.greatest(F.lit(1), F.floor(F.col("items") / 100)))
+    # one text under several ids is one item here, or none of its words would be its own
+    one = iw.select("w", F.xxhash64("w").alias("t"))
+    shared_words = one.select("t", F.explode(F.array_distinct("w")).alias("x")).groupBy("x").agg(F.count_distinct("t").alias("k")).crossJoin(one.agg(F.count_distinct("t").alias("items"))).where(F.col("k") <= F.greatest(F.lit(1), F.floor(F.col("items") / 100)))
     fact = cut(iw.select("item", F.explode(F.array_distinct("w")).alias("x")).join(shared_words, "x").groupBy("item").agg(F.collect_set("x").alias("facts")))
     ish = _shingles(iw, "item", n=n).withColumnRenamed("pos", "ipos")
     dsh = _shingles(docs.where(F.col(text).isNotNull()).select(F.col(doc_key).alias("doc"), _words(text).alias("w")), "doc", n=n)
@@ -114,7 +126,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key:
     dw = docs.where(F.col(text).isNotNull()).select(F.col(doc_key).alias("doc"), F.col(text).alias("text"))
     full = dw.join(near, "doc").select("doc", _words("text").alias("w"), F.explode("c").alias("c")).select(
         "doc", F.col("c.item").alias("item"), F.transform("c.at", lambda s: F.slice("w", F.greatest(s.lo - 3, F.lit(0)) + 1, s.hi - s.lo + n + 6)).alias("parts")
-    ).join(iw, "item").join(fact, "item")
+    ).join(iw, "item").join(fact, "item", "left").withColumn("facts", F.coalesce("facts", F.array().cast("array<string>")))
 
     def verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -123,7 +135,10 @@ def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key:
                 fs, best, need = set(fs), (0, 0), min(span, len(w) - 1)
                 for p in parts:
                     held = fs & set(p)
-                    if len(held) < 2 and len(held) < len(fs):  # no stretch of this length has so few facts
+                    if len(held) < 2 and len(held) < len(fs):
+                        # too few facts to tell a changed quote from other facts in the same wording: only word for word
+                        run = verbatim(w, p, min(window, len(w)))
+                        best = max(best, (run, run))
                         continue
                     lo, hi, m = longest_stretch(w, p)
                     own = fs & set(w[lo:hi])

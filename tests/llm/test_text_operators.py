@@ -195,3 +195,13 @@ def test_templates_go(spark):
     assert "Imprint" not in out["p3"]["clean_text"] and "Own text number 3" in out["p3"]["clean_text"] and "Item 1. Business" in out["p3"]["clean_text"] and out["p3"]["n_removed"] >= 1
     assert "Imprint" in out["q1"]["clean_text"] and out["q2"]["clean_text"] == "" and "q3" not in out and out["q4"]["n_constructs"] == 0
     assert markup.clean_markup(df).count() == 13 and markup.clean_markup(df.limit(0)).count() == 0
+
+
+def test_leaks_of_stretches_and_items_without_facts(spark):
+    common = "staff call the clinic ledger suppose the keeper doubles its harvest quota of grain how many"
+    items = [(k, f"{common} carts does {a} send to {b} in a {c} week") for k, (a, b, c) in enumerate([("Grondak", "Velmira", "dry"), ("Pondrel", "Wexham", "wet"), ("Salmur", "Tarquin", "cold")])]
+    same = "two ids hold this very text about Ostvel and Brandt who counted every barrel in the northern yard before noon"
+    items += [(10, same), (11, same)]
+    docs = [(1, f"intro {common} outro"), (2, f"intro {same} outro"), (3, "nothing of it")]
+    out = {tuple(r) for r in leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).select("doc_id", "item_id").collect()}
+    assert out == {(1, 0), (1, 1), (1, 2), (2, 10), (2, 11)}
