@@ -2,7 +2,8 @@
 
 Every distinct word of the corpus (runs of signs beyond ASCII, and words that hold such signs) is garbled under all
 encoding chains; the forms are hash-joined with the words that occur. A word is garbled if it is such a form of a
-word that the corpus holds more often, and is replaced by that verified original. U+FFFD marks what a decoder could
+word that the corpus holds in more texts (copies of the garbled count once), or an unmistakable form of a word that it holds at all,
+and is replaced by that verified original. U+FFFD marks what a decoder could
 not read: garbled, and restored only where a chain still tells the original.
 """
 
@@ -77,8 +78,8 @@ def garbled_forms(word: str) -> Iterator[tuple[str, str]]:
         yield _read(_read(raw, b).encode("utf-8"), c), f"utf-8>{b}>utf-8>{c}"
 
 
-def document_tokens(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``(key, token)``: the distinct words of each text with signs beyond ASCII. Words are runs of such signs, with
+def document_tokens(df: DataFrame, key: str, text: str, *more: str) -> DataFrame:
+    """``(key, *more, token)``: the distinct words of each text with signs beyond ASCII. Words are runs of such signs, with
     and without the letters around them. Scripts without blanks have no words to compare, so the signs of their
     runs count singly and in pairs, and the runs that could be their garbled forms in pieces as long as those."""
     t = F.col(text)
@@ -91,18 +92,20 @@ def document_tokens(df: DataFrame, key: str, text: str) -> DataFrame:
     foreign = F.filter(every(FOREIGN), lambda r: r.rlike(r"[^\p{L}\p{M}]|\p{IsLatin}"))
     cjk = every(CJK + "+")
     parts = [every(WORD), every(RUN), pieces(cjk, 1), pieces(long(cjk, 2), 2), pieces(foreign, 4), pieces(long(foreign, 6), 6)]
-    return df.where(t.rlike(RUN)).select(key, F.explode(F.array_distinct(F.concat(*parts))).alias("token"))
+    return df.where(t.rlike(RUN)).select(key, *more, F.explode(F.array_distinct(F.concat(*parts))).alias("token"))
 
 
-def garbled_tokens(tokens: DataFrame, key: str) -> DataFrame:
-    """``(token, original, chain, weak)``: the tokens that are garbled forms of more frequent ones. ``original`` is
+def garbled_tokens(tokens: DataFrame) -> DataFrame:
+    """``(token, original, chain, weak)``: the tokens that are garbled forms of more frequent ones, or unmistakable
+    ones of any. ``tokens`` has one row for a token of a different text, with the number of ``copies`` of the text;
+    copies count for an original, but not for what may be its garbled form. ``original`` is
     null for a token with U+FFFD that no chain explains and for a form that spreads over several tokens. ``weak``
     forms are too short to prove anything by themselves; they hold where the same chain is proven nearby."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            rows: dict[str, list] = {k: [] for k in ("form", "original", "chain", "longer", "weak", "n_original")}
-            for w, n in zip(b.column("token").to_pylist(), b.column("n").to_pylist()):
+            rows: dict[str, list] = {k: [] for k in ("form", "original", "chain", "longer", "weak", "sure", "n_original")}
+            for w, n in zip(b.column("token").to_pylist(), b.column("n_copies").to_pylist()):
                 cjk = bool(_CJK.search(w))
                 if cjk and not _RUN.fullmatch(w) or "�" in w:
                     continue
@@ -118,16 +121,20 @@ def garbled_tokens(tokens: DataFrame, key: str) -> DataFrame:
                         longer = (len(f) > len(w) or not whole) and beyond >= 2
                         if cjk and len(f) < (6 if len(w) == 1 else 4):
                             continue  # too short to tell from a clean word
-                        for k, v in zip(rows, (f, w if whole else None, chain, longer, not longer and len(f) < 3, n)):
+                        # letters alone, and two of them only, could be a sound word (Её is also Ÿ in UTF-8 read as cp1251)
+                        sure = longer and (beyond >= 3 or any(c > "\x7f" and (not c.isalpha() or c in "ªºµ") for c in f))
+                        for k, v in zip(rows, (f, w if whole else None, chain, longer, not longer and len(f) < 3, sure, n)):
                             rows[k].append(v)
-            kinds = (pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.int64())
+            kinds = (pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), kinds)], list(rows))
 
-    counts = cut(tokens.groupBy("token").agg(F.count("*").alias("n")))
+    counts = cut(tokens.groupBy("token").agg(F.count("*").alias("n"), F.sum("copies").alias("n_copies")))
     # few distinct words are much work: all cores share them
-    forms = spread(counts).mapInArrow(run, "form string, original string, chain string, longer boolean, weak boolean, n_original long")
-    hit = cut(forms.join(counts, forms.form == counts.token).where(F.when(F.col("longer") | F.col("weak"), F.col("n_original") >= F.col("n")).otherwise(F.col("n_original") > 3 * F.col("n"))))
-    best = hit.where("NOT weak").groupBy("token").agg(F.max(F.struct(F.col("original").isNotNull().alias("o"), "n_original", "original", "chain")).alias("b"))
+    forms = spread(counts).mapInArrow(run, "form string, original string, chain string, longer boolean, weak boolean, sure boolean, n_original long")
+    hit = cut(forms.join(counts, forms.form == counts.token).where(F.col("sure") | F.when(F.col("longer") | F.col("weak"), F.col("n_original") >= F.col("n")).otherwise(F.col("n_original") > 3 * F.col("n"))))
+    # a word garbled twice is also a form of the word garbled once, which may stand in more texts than the sound one
+    unsound = hit.where("sure").select(F.col("token").alias("original")).distinct().withColumn("_bad", F.lit(True))
+    best = hit.where("NOT weak").join(unsound, "original", "left").groupBy("token").agg(F.max(F.struct(F.col("original").isNotNull().alias("o"), F.col("_bad").isNull().alias("sound"), "n_original", "original", "chain")).alias("b"))
     weak = hit.where("weak").groupBy("token", "chain").agg(F.max_by("original", F.struct("n_original", "original")).alias("original"))
     lost = counts.where(F.col("token").contains("�")).select("token", F.lit(None).cast("string").alias("original"), F.lit("lost").alias("chain"))
     strong = best.select("token", "b.original", "b.chain").unionByName(lost).withColumn("weak", F.lit(False))
@@ -138,14 +145,17 @@ def garbled_documents(df: DataFrame, key: str = "doc_id", text: str = "text", sh
     """``(key, token, original, chain)`` for each garbled token of each document; with ``short`` also the tokens of one
     or two signs, where a longer one of the document proves their chain. Null and ASCII texts give no row; copies of
     a document give its rows once each."""
-    tokens = document_tokens(df, key, text)
-    if not short:
-        return tokens.join(cut(garbled_tokens(tokens, key).where("NOT weak")), "token").select(key, "token", "original", "chain")
-    bad = cut(garbled_tokens(tokens, key))
-    sure = cut(tokens.join(bad.where("NOT weak"), "token").select(key, "token", "original", "chain"))
-    near = tokens.join(bad.where("weak"), "token").join(sure.select(key, "chain").distinct(), [key, "chain"], "left_semi")
-    near = near.groupBy(key, "token").agg(F.min(F.struct("chain", "original")).alias("b")).select(key, "token", "b.original", "b.chain")
-    return sure.unionByName(near.join(sure.select(key, "token"), [key, "token"], "left_anti"))
+    # forms are counted over different texts: the copies of a garbled text prove nothing
+    ids = df.where(F.col(text).rlike(RUN)).select(key, F.xxhash64(text).alias("_text"), F.col(text).alias("_t"))
+    texts = ids.groupBy("_text").agg(F.first("_t").alias("_t"), F.count_distinct(key).alias("copies"))
+    counted = document_tokens(texts, "_text", "_t", "copies")
+    bad, tokens = cut(garbled_tokens(counted)), counted.drop("copies")
+    found = cut(tokens.join(bad.where("NOT weak"), "token").select("_text", "token", "original", "chain"))
+    if short:
+        near = tokens.join(bad.where("weak"), "token").join(found.select("_text", "chain").distinct(), ["_text", "chain"], "left_semi")
+        near = near.groupBy("_text", "token").agg(F.min(F.struct("chain", "original")).alias("b")).select("_text", "token", "b.original", "b.chain")
+        found = found.unionByName(near.join(found.select("_text", "token"), ["_text", "token"], "left_anti"))
+    return ids.drop("_t").join(found, "_text").select(key, "token", "original", "chain")
 
 
 def restore(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -205,3 +205,13 @@ def test_leaks_of_stretches_and_items_without_facts(spark):
     docs = [(1, f"intro {common} outro"), (2, f"intro {same} outro"), (3, "nothing of it")]
     out = {tuple(r) for r in leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).select("doc_id", "item_id").collect()}
     assert out == {(1, 0), (1, 1), (1, 2), (2, 10), (2, 11)}
+
+
+def test_copies_do_not_hide_garbled_words(spark):
+    clean = "Die Prüfung für größere Werke läuft"
+    bad = clean.encode("utf-8").decode("latin-1")
+    docs = [(0, clean), *((i, bad) for i in range(1, 6)), *((i, f"{bad} {i}") for i in range(6, 10)), (10, bad.encode("utf-8").decode("latin-1"))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r[0] for r in mojibake.garbled_documents(df).select("doc_id").distinct().collect()} == set(range(1, 11))
+    out = {r["doc_id"]: r["restored_text"] for r in mojibake.restore(df).collect()}
+    assert out[1] == out[10] == out[0] == clean and out[7] == f"{clean} 7"
