@@ -2,7 +2,7 @@
 
 Every text is brought to lines (hard wraps joined; a paragraph, list line or table row is a line) and every line to
 words, numbers being ``0`` and longer capitalised words ``Xx`` (names say nothing about where a text may stop, and
-without them the trigrams of a corpus stay few). Counted over all texts: how often a word trigram stands inside a
+without them the trigrams of a corpus stay few). Counted over all different texts: how often a word trigram stands inside a
 line and how often at the end of one, by the line's kind. The final trigram of each text is joined to these counts.
 A text is cut if its final trigram is frequent inside but almost never terminal; where the trigram is too rare to
 say, the final bigram decides, then the last word, then the last word's form. A last word seen nowhere else, in a
@@ -35,7 +35,7 @@ KIND = "CASE WHEN w[0] IN ('•', '-', '*', '–') THEN 'list' WHEN w[0] IN ('Si
 
 
 def trigram_counts_sql(src: str) -> str:
-    """How often each word trigram stands inside a line and at its end; ``src`` has the columns k and text."""
+    """How often each word trigram stands inside a line and at its end; ``src`` has each text once."""
     return rf"""
 WITH lines AS (
   SELECT split(trim(line), '[ \\n\\t\\r]+') AS w FROM (SELECT explode({_words(TRIM)}) AS line FROM {src} WHERE {TRIM} <> '')
@@ -111,12 +111,15 @@ FROM {finals} f JOIN verdict v ON f.kind = v.kind AND f.a = v.a AND f.b = v.b AN
 
 def truncated(df: DataFrame, key: str = "section_id", text: str = "text", **kw) -> DataFrame:
     """``(key, level, cut)`` for every row with a text; ``level`` names what decided. Null and blank texts give no
-    row; copies of a row give copies of the result; other columns don't matter."""
+    row; copies of a row give copies of the result but count once, as a text under several keys does; other columns don't
+    matter."""
     spark = df.sparkSession
-    src, counts, finals = (f"_truncation_{x}_{id(df)}" for x in ("src", "counts", "finals"))
+    src, texts, counts, finals = (f"_truncation_{x}_{id(df)}" for x in ("src", "texts", "counts", "finals"))
     df.select(F.col(key).alias("k"), F.col(text).alias("text")).createOrReplaceTempView(src)
+    # the judge takes off a text's own end once, so each text may have one only
+    df.select(F.col(text).alias("text")).distinct().createOrReplaceTempView(texts)
     # the counts feed every level, the finals both ends of the judging: each is computed once
-    cut(spark.sql(trigram_counts_sql(src))).createOrReplaceTempView(counts)
+    cut(spark.sql(trigram_counts_sql(texts))).createOrReplaceTempView(counts)
     cut(spark.sql(finals_sql(src))).createOrReplaceTempView(finals)
     return spark.sql(judge_sql(counts, finals, **kw)).withColumnRenamed("k", key)
 

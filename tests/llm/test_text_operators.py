@@ -215,3 +215,10 @@ def test_copies_do_not_hide_garbled_words(spark):
     assert {r[0] for r in mojibake.garbled_documents(df).select("doc_id").distinct().collect()} == set(range(1, 11))
     out = {r["doc_id"]: r["restored_text"] for r in mojibake.restore(df).collect()}
     assert out[1] == out[10] == out[0] == clean and out[7] == f"{clean} 7"
+
+
+def test_copies_of_a_cut_text_count_once(spark):
+    whole = [(i, f"The firm of unit {'abcdefghijklmnopqrstuvwxyz'[i % 26]}{'xyz'[i % 3]}q paid the cost of the new plant in {'spring summer autumn winter'.split()[i % 4]}.") for i in range(40)]
+    stump = (99, "The firm paid the cost of the")
+    df = spark.createDataFrame([*whole, stump, stump, stump], "section_id long, text string")
+    assert {r["section_id"] for r in truncation.truncated(df).where("cut").collect()} == {99}
