@@ -14,6 +14,7 @@ from ledgerloom.operators import index as I
 from ledgerloom.operators import resolve as R
 from ledgerloom.operators import sampling, scoring, sections, shares, stats
 from ledgerloom.session import read_table
+from ledgerloom.plans import filing_sql
 from ledgerloom.sources import lists
 
 QUERIES: dict = {}
@@ -258,16 +259,11 @@ def parse_coverage(spark, d):
     return n.groupBy("item").agg(F.count("*").alias("n_filings"), F.sum((F.col("n") >= 5).cast("int")).alias("n_parsed"), F.sum("n").alias("n_sentences"))
 
 
-_RX = {k: v.replace("\\", "\\").replace("'", "''") for k, v in {"auditor": sections.AUDITOR, "mdna": sections.MDNA_TITLE, "hint": sections.MDNA_HINT, "stub": sections.STUB_HINT, "head": sections.REFERENCE_HEAD}.items()}
+_GATES = filing_sql.gates("text", "item")
+_GATES["density"] = f"round({_GATES['density']}, 6)"
 
 
-@query(
-    f"""SELECT section_id, item, length(text) AS n_chars, round(((length(text) - length(replace(text, '. ', ''))) / 2e0) / greatest(length(text) / 1000e0, 1e0), 6) AS density, length(text) BETWEEN 500 AND 1000000 AS length_ok,
-  len(regexp_extract_all(text, '(?i){_RX['auditor']}')) >= 2 OR (item = 'item_1' AND length(text) > 450000 AND len(regexp_extract_all(text, '(?i){_RX['mdna']}')) >= 2) AS overcaptured,
-  CASE item WHEN 'item_1a' THEN len(regexp_extract_all(text, '(?i)\\brisk')) >= 10 WHEN 'item_7' THEN regexp_matches(text, '(?i){_RX['hint']}') ELSE true END AS looks_like,
-  CASE WHEN len(regexp_extract_all(text, '(?i)\\brisk')) >= 10 THEN 'item_1a' WHEN regexp_matches(text, '(?i){_RX['hint']}') THEN 'item_7' END AS best_label,
-  length(text) < 3000 AND regexp_matches(substr(text, 1, 700), '(?i){_RX['stub']}') AS incorporation_stub, regexp_matches(substr(text, 1, 130), '(?i){_RX['head']}') AS reference_head FROM {_SEC}"""
-)
+@query(f"SELECT section_id, item, {', '.join(f'{v} AS {k}' for k, v in _GATES.items())} FROM {_SEC}")
 def narrative_gates(spark, d):
     return sections.gates(_sec(spark, d))
 
@@ -314,7 +310,13 @@ def sentence_gaps(spark, d):
     return sections.sentence_gaps(s.where(T.mentions(F.col("sentence"))), ["section_id"])
 
 
-@query()
+@query(f"WITH r AS (SELECT DISTINCT accession_number, text FROM raw_text WHERE text IS NOT NULL), {filing_sql.candidates('r')} SELECT accession_number, item, md5(body) AS body, n_chars, round(density, 6) AS density, runs_on, sound, strict FROM cand")
+def section_candidates(spark, d):
+    c = sections.candidates(_t(spark, d, "raw_text").select("accession_number", "text").distinct(), ["accession_number"])
+    return c.select("accession_number", "item", F.md5("body").alias("body"), "n_chars", *_r("density"), "runs_on", "sound", "strict").distinct()
+
+
+@query(filing_sql.assembly("(SELECT DISTINCT accession_number, item, text FROM sections WHERE source = 'edgartools')", "(SELECT DISTINCT accession_number, cik, text FROM raw_text)"))
 def section_assembly(spark, d):
     found = _t(spark, d, "sections").where("source = 'edgartools'").select("accession_number", "item", "text").distinct()
     return sections.assemble_sections(found, _t(spark, d, "raw_text").distinct()).select("accession_number", "cik", "item", "source", F.length("text").alias("n_chars"))
@@ -635,11 +637,8 @@ def event_windows(spark, d):
 def list_merge(spark, d):
     from ledgerloom.operators.fuzzy import merge_lists
 
-    # two short lists of whole tables: the universe's industries, and the indicators' with the customers' segments
-    base = _t(spark, d, "fortune").where("industry IS NOT NULL").groupBy(F.col("industry").alias("name")).agg(F.min("rank").cast("long").alias("row")).select("row", "name")
-    ind = _t(spark, d, "indicators").where("industry IS NOT NULL").groupBy(F.upper("industry").alias("name")).agg(F.min("record_id").alias("row"))
-    seg = _t(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("name")).agg((-F.min("c_custkey")).alias("row"))
-    other = ind.unionByName(seg).select("row", "name")
+    base = _t(spark, d, "fortune").groupBy(F.col("company").alias("name")).agg(F.min("rank").cast("long").alias("row"))
+    other = _t(spark, d, "eto_core").groupBy(F.col("eto_name").alias("name")).agg(F.min("eto_id").alias("row"))
     return merge_lists(base, other)
 
 

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.names import FILLER_WORDS, LEGAL_WORDS
 from ledgerloom.operators.fuzzy import merge_lists, token_sort_ratio
 from ledgerloom.operators.sampling import sample, stratified_sample
 from ledgerloom.sources import lists
@@ -71,6 +72,32 @@ def test_merge_lists(spark):
     assert out == {(1, 10): "manual", (2, 11): "fuzzy", (3, 12): "exact"}
 
 
+def test_merge_equals_choosing_in_turn(spark):
+    import random
+
+    random.seed(3)
+    word = lambda: "".join(random.choice("abcd") for _ in range(random.randint(1, 5)))
+    base = [(i, f"{word()} {word()}") for i in range(40)]
+    other = [(i, random.choice(base)[1][: random.randint(1, 9)] + random.choice(["", "a", " b"])) for i in range(40)]
+    used, want = set(), {}
+    key = lambda n: " ".join(w for w in n.lower().split() if w not in LEGAL_WORDS + FILLER_WORDS)
+    for j, n in other:
+        if hit := next((i for i, m in base if i not in used and key(m) == key(n) and key(n)), None):
+            used.add(hit)
+            want[hit, j] = "exact"
+        elif key(n) and next((i for i, m in base if i == 0 and i not in used and key(m) == key(n)), None) == 0:
+            used.add(0)
+            want[0, j] = "exact"
+    for j, n in other:
+        if j not in {y for _, y in want} and key(n):
+            best = max(((token_sort_ratio(key(m), key(n)), -i) for i, m in base if i not in used and key(m)), default=(0, 0))
+            if best[0] >= 75:
+                used.add(-best[1])
+                want[-best[1], j] = "fuzzy"
+    got = merge_lists(spark.createDataFrame(base, "row long, name string"), spark.createDataFrame(other, "row long, name string")).collect()
+    assert {(r["base_row"], r["other_row"]): r["how"] for r in got} == want
+
+
 def test_samples_are_stable(spark):
     df = spark.range(100).withColumn("g", (F.col("id") % 3).cast("string"))
     assert [r[0] for r in sample(df, "id", 5).collect()] == [r[0] for r in sample(df.repartition(7), "id", 5).collect()]
