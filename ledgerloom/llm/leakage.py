@@ -69,6 +69,16 @@ def longest_stretch(item: list[str], doc: list[str], penalty: float = 2.0) -> tu
     return best[3] - best[1], best[3], best[2]
 
 
+def common_words(item: list[str], doc: list[str]) -> int:
+    """Words that the two sequences have in common, in order."""
+    row = [0] * (len(doc) + 1)
+    for a in item:
+        diag = 0
+        for j, b in enumerate(doc):
+            diag, row[j + 1] = row[j + 1], diag + 1 if a == b else max(row[j + 1], row[j])
+    return row[-1]
+
+
 def verbatim(item: list[str], doc: list[str], least: int) -> int:
     """Words of the longest stretch of the item that stands unchanged in ``doc``; 0 below ``least``."""
     have = {tuple(doc[j : j + least]) for j in range(len(doc) - least + 1)}
@@ -77,73 +87,107 @@ def verbatim(item: list[str], doc: list[str], least: int) -> int:
     return SequenceMatcher(None, item, doc, autojunk=False).find_longest_match().size
 
 
-def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", n: int = 3, window: int = 15, least: int = 4, span: int = 14, matched: float = 0.78, facts: float = 0.5) -> DataFrame:
+def _short_hits(docs: DataFrame, items: DataFrame, below: int) -> DataFrame:
+    """``(doc, item, n_words, n_matched)`` for items of fewer than ``below`` words: too short to lose a word, they leak
+    only whole. Their word sequences are compared by hash, one shingle length after the other."""
+    short = cut(items.withColumn("n", F.size("w")).where(F.col("n").between(1, below - 1)))
+    out = None
+    for n in sorted(r[0] for r in short.select("n").distinct().collect()):  # fewer than ``below`` lengths
+        mine = short.where(F.col("n") == n).select("item", F.xxhash64(*(F.col("w")[i] for i in range(n))).alias("h"))
+        hit = _shingles(docs, "doc", n=n).select("doc", "h").join(mine, "h").select("doc", "item", F.lit(n).alias("n_words"), F.lit(n).alias("n_matched")).distinct()
+        out = hit if out is None else out.unionByName(hit)
+    return out
+
+
+def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", n: int = 3, window: int = 15, least: int = 4, span: int = 14, matched: float = 0.78, facts: float = 0.5, common: float = 0.01, per_row: int = 256) -> DataFrame:
     """``(doc, item, n_words, n_matched)`` for each document and each item it reproduces in full or in a stretch of
     ``window`` words or more.
 
-    ``least``: shingles that survive in a leaked window (two to three changed words of fifteen). ``span`` and ``matched``: least
+    ``least``: shingles that survive in a leaked window (two to three changed words of fifteen), fewer in an item shorter
+    than a window. An item of fewer than eight words leaks word for word. ``span`` and ``matched``: least
     words and least share of matched words of the aligned stretch (its outermost words may be changed ones, which
-    no alignment shows). ``facts``: least share of the stretch's fact words that are matched. Null and short texts leak nothing; copies give their pairs once.
+    no alignment shows). ``facts``: least share of the stretch's fact words that are matched; a word is a fact of an item
+    if no other item holds it, or at most the share ``common`` of those that share the item's wording. ``per_row``: about
+    how many candidate items of a document are checked in one row; a document with more takes several rows. Null and
+    empty texts leak nothing; copies give their pairs once; one text under several ids gives each of them.
     """
     iw = cut(items.where(F.col(text).isNotNull()).select(F.col(item_key).alias("item"), _words(text).alias("w")).distinct())
+    dw = docs.where(F.col(text).isNotNull()).select(F.col(doc_key).alias("doc"), F.col(text).alias("text"))
+    words = dw.select("doc", _words("text").alias("w"))
+    long = iw.where(F.size("w") >= 8)
+    ish = cut(_shingles(long, "item", n=n).withColumnRenamed("pos", "ipos"))
     # one text under several ids is one item here, or none of its words would be its own
-    one = iw.select("w", F.xxhash64("w").alias("t"))
-    shared_words = one.select("t", F.explode(F.array_distinct("w")).alias("x")).groupBy("x").agg(F.count_distinct("t").alias("k")).crossJoin(one.agg(F.count_distinct("t").alias("items"))).where(F.col("k") <= F.greatest(F.lit(1), F.floor(F.col("items") / 100)))
-    fact = cut(iw.select("item", F.explode(F.array_distinct("w")).alias("x")).join(shared_words, "x").groupBy("item").agg(F.collect_set("x").alias("facts")))
-    ish = _shingles(iw, "item", n=n).withColumnRenamed("pos", "ipos")
-    dsh = _shingles(docs.where(F.col(text).isNotNull()).select(F.col(doc_key).alias("doc"), _words(text).alias("w")), "doc", n=n)
+    one = iw.select("item", "w", F.xxhash64("w").alias("t"))
+    held_by = one.select("t", F.explode(F.array_distinct("w")).alias("x")).groupBy("x").agg(F.count_distinct("t").alias("k"))
+    siblings = ish.join(one.select("item", "t"), "item").groupBy("h").agg(F.count_distinct("t").alias("m"))
+    wording = ish.join(siblings, "h").groupBy("item").agg(F.max("m").alias("m"))
+    fact = cut(
+        long.join(wording, "item").select("item", "m", F.explode(F.array_distinct("w")).alias("x")).join(held_by, "x")
+        .where(F.col("k") <= F.greatest(F.lit(1), F.floor(F.col("m") * common))).groupBy("item").agg(F.collect_set("x").alias("facts"))
+    )
+    # shingles that must survive: each of the one in eight changed words costs n of them
+    size = window - n + 1
+    many = long.select("item", F.size("w").alias("_l")).select("item", F.least(F.lit(least), F.greatest(F.lit(1), F.col("_l") - (n - 1) - n * F.ceil(F.col("_l") / 8))).cast("int").alias("least"))
+    dsh = _shingles(words, "doc", n=n)
     wanted = ish.select("h").distinct()
     # only shingles of items are kept of the corpus; this is also what rarity is counted from
     hit = cut(dsh.join(wanted, "h", "left_semi").distinct())
     rarity = hit.groupBy("h").agg(F.count_distinct("doc").alias("df"))
-    ranked = ish.join(rarity, "h")
     # prefix: of each window of the item, the rarest n_shingles - least + 1
-    size = window - n + 1
-    at = ranked.select("item", "ipos", "h", "df", F.explode(F.sequence(F.greatest(F.col("ipos") - (size - 1), F.lit(0)), F.col("ipos"))).alias("win"))
-    absent = (
-        ish.select("item", "ipos", F.explode(F.sequence(F.greatest(F.col("ipos") - (size - 1), F.lit(0)), F.col("ipos"))).alias("win"))
-        .groupBy("item", "win").agg(F.count("*").alias("all"))
-    )
-    order = F.row_number().over(W.partitionBy("item", "win").orderBy("df", "ipos"))
+    windows = F.explode(F.sequence(F.greatest(F.col("ipos") - (size - 1), F.lit(0)), F.col("ipos"))).alias("win")
+    at = ish.join(rarity, "h").select("item", "ipos", "h", "df", windows)
+    every = ish.select("item", "ipos", windows).groupBy("item", "win").agg(F.count("*").alias("all"))
+    order = F.row_number().over(W.partitionBy("item", "win").orderBy("df", "ipos"))  # a window's shingles
     seen = F.count("*").over(W.partitionBy("item", "win"))
     prefix = (
-        at.withColumn("_r", order).withColumn("_n", seen).join(absent, ["item", "win"])
+        at.withColumn("_r", order).withColumn("_n", seen).join(every, ["item", "win"]).join(many, "item")
         # shingles that no document holds are the rarest of all and fill the prefix first
-        .where(F.col("_r") + F.col("all") - F.col("_n") <= F.greatest(F.col("all") - (least - 1), F.lit(1)))
+        .where(F.col("_r") + F.col("all") - F.col("_n") <= F.greatest(F.col("all") - (F.col("least") - 1), F.lit(1)))
         .select("item", "ipos", "h").distinct()
     )
-    pair = hit.join(prefix, "h").select("doc", "item").distinct()
-    # positional and length bounds: all shared shingles of a candidate pair lie on its diagonals
-    shared = hit.join(ish, "h").join(pair, ["doc", "item"])
+    pair = cut(hit.join(prefix, "h").select("doc", "item").distinct())
+    # positional and length bounds: all shared shingles of a candidate pair lie on its diagonals. The pairs come first:
+    # a shingle that many items share with many documents is only looked at where it can decide
+    shared = pair.join(ish, "item").join(hit, ["doc", "h"])
     cand = (
         shared.withColumn("block", F.floor((F.col("pos") - F.col("ipos")) / 16))
         .select("doc", "item", "pos", "ipos", F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("block"))
         .groupBy("doc", "item", "block").agg(F.count_distinct("ipos").alias("c"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
-        .where(F.col("c") >= least)
+        .join(many, "item").where(F.col("c") >= F.col("least"))
     )
-    spans = cand.groupBy("doc", "item").agg(F.collect_set(F.struct("lo", "hi")).alias("at"))
-    near = spans.groupBy("doc").agg(F.collect_list(F.struct("item", "at")).alias("c"))
-    dw = docs.where(F.col(text).isNotNull()).select(F.col(doc_key).alias("doc"), F.col(text).alias("text"))
-    full = dw.join(near, "doc").select("doc", _words("text").alias("w"), F.explode("c").alias("c")).select(
-        "doc", F.col("c.item").alias("item"), F.transform("c.at", lambda s: F.slice("w", F.greatest(s.lo - 3, F.lit(0)) + 1, s.hi - s.lo + n + 6)).alias("parts")
-    ).join(iw, "item").join(fact, "item", "left").withColumn("facts", F.coalesce("facts", F.array().cast("array<string>")))
+    spans = cut(cand.groupBy("doc", "item").agg(F.collect_set(F.struct("lo", "hi")).alias("at")))
+    # a document may hold a whole benchmark: its items are spread over rows of bounded size
+    load = spans.groupBy("doc").agg(F.ceil(F.count("*") / per_row).alias("_m"))
+    near = spans.join(load, "doc").withColumn("_s", F.pmod(F.xxhash64("item"), F.col("_m"))).groupBy("doc", "_s").agg(F.collect_list(F.struct("item", "at")).alias("c"))
+    # inside the lambda the words of the document are a value: they are made once for all its windows
+    cut_out = lambda w: F.transform("c", lambda x: F.struct(x["item"].alias("item"), F.transform(x["at"], lambda s: F.slice(w, F.greatest(s["lo"] - 3, F.lit(0)) + 1, s["hi"] - s["lo"] + n + 6)).alias("parts")))
+    parts = dw.join(near, "doc").select("doc", F.explode(F.flatten(F.transform(F.array(_words("text")), cut_out))).alias("c")).select("doc", "c.item", "c.parts")
+    full = parts.join(iw, "item").join(fact, "item", "left").withColumn("facts", F.coalesce("facts", F.array().cast("array<string>")))
 
     def verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             out: dict[str, list] = {"doc": [], "item": [], "n_words": [], "n_matched": []}
             for d, i, parts, w, fs in zip(*(b.column(c).to_pylist() for c in ("doc", "item", "parts", "w", "facts"))):
-                fs, best, need = set(fs), (0, 0), min(span, len(w) - 1)
+                fs, best = set(fs), (0, 0)
+                whole = f" {' '.join(w)} "
+                if any(whole in f" {' '.join(p)} " for p in parts):
+                    best, parts = (len(w), len(w)), []
                 for p in parts:
                     held = fs & set(p)
                     if len(held) < 2 and len(held) < len(fs):
                         # too few facts to tell a changed quote from other facts in the same wording: only word for word
                         run = verbatim(w, p, min(window, len(w)))
                         best = max(best, (run, run))
-                        continue
-                    lo, hi, m = longest_stretch(w, p)
-                    own = fs & set(w[lo:hi])
-                    if hi - lo >= need and m >= matched * (hi - lo) and len(own & held) >= facts * len(own):
-                        best = max(best, (hi - lo, m))
+                    elif len(w) < window:
+                        # an item shorter than a window leaks whole, but for about one word in eight
+                        m = common_words(w, p)
+                        if m >= len(w) - max(1, round(len(w) / 8)) and len(held) >= facts * len(fs):
+                            best = max(best, (len(w), m))
+                    else:
+                        lo, hi, m = longest_stretch(w, p)
+                        own = fs & set(w[lo:hi])
+                        if hi - lo >= span and m >= matched * (hi - lo) and len(own & held) >= facts * len(own):
+                            best = max(best, (hi - lo, m))
                 if best[0]:
                     for k, v in zip(out, (d, i, *best)):
                         out[k].append(v)
@@ -152,4 +196,6 @@ def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key:
     kd, ki = docs.schema[doc_key].dataType, items.schema[item_key].dataType
     kinds = (to_arrow_type(kd), to_arrow_type(ki))
     out = full.select("doc", "item", "parts", "w", "facts").mapInArrow(verify, f"doc {kd.simpleString()}, item {ki.simpleString()}, n_words int, n_matched int")
+    short = _short_hits(words, iw, 8)
+    out = out if short is None else out.unionByName(short)
     return out.withColumnsRenamed({"doc": doc_key, "item": item_key}).distinct()

@@ -57,7 +57,7 @@ def test_sentence_tables(spark):
 
 # --- truncation ------------------------------------------------------------------------------------------------------
 def test_truncation(spark):
-    whole = [f"The board sold plant {i} in Rindale last year. It was a good price for plant {i} then." for i in range(60)]
+    whole = [f"The board sold plant {i} in Rindale last year. It was a good price for plant {i} then." for i in range(300)]
     lists = [f"We list:\n\n• loss of a key supplier\n• plant number {i}" for i in range(40)]
     cuts = ["The board sold plant 7 in", "The board sold plant 8 in Rindale last ye", "The board sold …", "We list:\n\n• loss of a key", "The board sold plant (continued)"]
     texts = [*whole, *lists, *cuts, None, "", "  "]
@@ -222,3 +222,13 @@ def test_copies_of_a_cut_text_count_once(spark):
     stump = (99, "The firm paid the cost of the")
     df = spark.createDataFrame([*whole, stump, stump, stump], "section_id long, text string")
     assert {r["section_id"] for r in truncation.truncated(df).where("cut").collect()} == {99}
+
+
+def test_leaks_of_short_items_and_of_whole_benchmarks(spark):
+    items = [(1, "Who founded the Velmira mill?"), (2, "who founded the velmira mill"), (3, "mill"), (4, "Count nine red barrels of Ostvel grain by noon"), (5, ""), (6, "？！")]
+    many = [(100 + i, f"question {i} asks how the keeper of yard {i * 7} in Brandt number {i * 13} counted {i * 3} barrels before the long winter of {i * 17} came") for i in range(300)]
+    docs = [(1, "Who founded, the Velmira mill"), (2, "intro count nine red barrels of Ostvel wheat by noon outro"), (3, " ".join(t for _, t in many)), (4, "who founded the velmira"), (5, "")]
+    out = {}
+    for r in leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items + many, "item_id long, text string"), per_row=40).collect():
+        out.setdefault(r["doc_id"], set()).add(r["item_id"])
+    assert out[1] == {1, 2, 3} and out[2] == {4} and out[3] == {k for k, _ in many} and 4 not in out and 5 not in out
