@@ -71,6 +71,8 @@ VOID = set("br hr img input meta link col source".split())
 SKIP = set("script style head template".split())
 _NAME = re.compile(r"</?\s*([A-Za-z][A-Za-z0-9]*)")
 _BLOCKS = re.compile(r"\n[ \t]*\n+")
+# parts of a line or a row: what they hold is judged as part of the block around them
+PARTS = set("a abbr b big cite code del dfn em font i ins kbd mark q s samp small span strike strong sub sup td th tt u var".split())
 _HEAD = re.compile(r"(?i)^\s*(?:#|=|\\(?:sub)*section|<h[1-6]|item\s+\d)")
 
 
@@ -114,23 +116,32 @@ def subtrees(text: str) -> list[tuple[int, int, int]]:
     res = []
     for n, s, e in out:
         body = norm(text[s:e])
-        if len(body) >= 12 and n not in ("h1", "h2", "h3", "h4", "h5", "h6") and not _HEAD.match(body) and not re.fullmatch(r"(?i)(?:<b>|\*\*)?item .{1,60}", body):
+        if re.search(r"\w", _TAGS.sub("", body)) and n not in PARTS and n not in ("h1", "h2", "h3", "h4", "h5", "h6") and not _HEAD.match(body) and not re.fullmatch(r"(?i)(?:<b>|\*\*)?item .{1,60}", body):
             res.append((xxhash.xxh64_intdigest(body) - (1 << 63), s, e))
     return res
 
 
+def _template(m: re.Match) -> str:
+    """What a wiki template says: its arguments, named ones behind their names."""
+    args = [a.strip() for a in m[1].split("|")[1:]]
+    return " ".join(re.sub(r"^([\w -]+?)\s*=\s*", r"\1: ", a) for a in args if a and not a.endswith("="))
+
+
 def _inline(s: str) -> str:
-    """Inline markup to text; formulas keep their source between dollar signs."""
+    """Inline markup to text. Notes stay in brackets, templates with their arguments; citation keys and labels go."""
     s = re.sub(r"<!--.*?-->|<!--|-->", "", s, flags=re.S)
     s = re.sub(r"<br\s*/?>", "\n", s, flags=re.I)
-    s = re.sub(r"<ref\b[^<>]*/>|<ref\b[^<>]*>.*?</ref>", "", s, flags=re.I | re.S)
+    s = re.sub(r"<ref\b[^<>]*/>", "", s, flags=re.I)
+    s = re.sub(r"\s*<ref\b[^<>]*>(.*?)</ref>", r" (\1)", s, flags=re.I | re.S)
     s = SCAN.sub(lambda m: "" if m.lastgroup == "tag" else m.group(), s)
-    s = re.sub(r"\{\{[^{}]*\}\}", "", s)
+    while "{{" in s and (t := re.sub(r"\{\{([^{}]*)\}\}", _template, s)) != s:
+        s = t
     s = re.sub(r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]", r"\1", s)
     s = re.sub(r"\[https?://[^\s\]]+\s*([^\]\n]*)\]", r"\1", s)
     s = re.sub(r"!?\[([^\[\]\n]*)\]\((?!\s)[^()\s]*(?:\s+\"[^\"\n]*\")?\)", r"\1", s)
     s = re.sub(r"!?\[([^\[\]\n]+)\]\[[^\[\]\n]*\]", r"\1", s)
-    s = re.sub(r"\\(?:footnote|cite[pt]?|label|ref)\*?\s*\{[^{}]*\}", "", s)
+    s = re.sub(r"\\(?:cite[pt]?|label|ref)\*?\s*\{[^{}]*\}", "", s)
+    s = re.sub(r"\s*\\footnote\*?\s*\{([^{}]*)\}", r" (\1)", s)
     s = re.sub(r"\\(?:emph|text[a-z]{2}|underline|url|mathrm|title|author|date)\*?\s*\{([^{}]*)\}", r"\1", s)
     s = re.sub(r"\\(?:emph|text[a-z]{2}|underline|footnote)\*?\s*\{?", "", s)
     s = re.sub(r"~~|`+|\[\[|\]\]|\{\{|\}\}|'{2,5}(?=[^\s'])|(?<=[^\s'])'{2,5}", "", s)
@@ -138,7 +149,7 @@ def _inline(s: str) -> str:
     s = re.sub(r"(?<![\w_])_{1,3}(?=[^\s_])([^_\n]+?)(?<=[^\s_])_{1,3}(?![\w_])", r"\1", s)
     s = re.sub(r"(?<![\w*])\*{2,3}(?=[^\s*])|(?<=[^\s*])\*{2,3}(?![\w*])|(?<![\w_])_{2}(?=[^\s_])|(?<=[^\s_])_{2}(?![\w_])", "", s)
     s = re.sub(r"\\([%&$#_{}])", r"\1", s)
-    s = html.unescape(html.unescape(s)) if "&" in s else s
+    s = html.unescape(s) if "&" in s else s
     return re.sub(r"[ \t\xa0]+", " ", s).strip()
 
 
@@ -150,7 +161,8 @@ def to_blocks(text: str) -> list[tuple[str, str]]:
         keep.append((kind, body))
         return f"\n\n\x00{len(keep) - 1}\x00\n\n"
 
-    t = re.sub(r"<(script|style|head)\b.*?</\1\s*>", "", text, flags=re.I | re.S)
+    t = re.sub(r"<(script|style)\b.*?</\1\s*>", "", text, flags=re.I | re.S)
+    t = re.sub(r"<title\b[^<>]*>(.*?)</title\s*>", lambda m: hold("heading", _inline(m[1])), t, flags=re.I | re.S)
     code = lambda m: hold("code", html.unescape(re.sub(r"</?code[^<>]*>", "", m[1], flags=re.I)).strip("\n"))
     t = re.sub(r"(?m)^[ \t]*```[^\n]*\n(.*?)^[ \t]*```[ \t]*$", code, t, flags=re.S)
     t = re.sub(r"<pre\b[^<>]*>(.*?)</pre\s*>", code, t, flags=re.I | re.S)
@@ -184,8 +196,16 @@ def to_blocks(text: str) -> list[tuple[str, str]]:
         if m := re.fullmatch(r"\s*\x00(\d+)\x00\s*", b):
             kind, body = keep[int(m[1])]
             out += [(kind, re.sub(r"\s*\x00\d+\x00\s*", " ", body))] if body.strip() else []
-        elif body := _inline(re.sub(r"\x00\d+\x00", "", b)):
-            out += [("table_row", x.strip()) if re.search(r"\S {2,}\S", x) else ("paragraph", x.strip()) for x in [body]]
+        else:
+            # columns set off by blanks make a line a table row; blanks are still as they were typed
+            plain, body = [], re.sub(r"\x00\d+\x00", "", b)
+            for line in [*body.split("\n"), None]:
+                row = line is not None and re.search(r"\S(?: {2,}|\t)\S", line.strip()) and not re.search(r"[.!?] {2,}\S", line)
+                if (row or line is None) and (x := _inline("\n".join(plain))):
+                    out.append(("paragraph", x))
+                if row:
+                    out.append(("table_row", " | ".join(c for c in (_inline(c) for c in re.split(r" {2,}|\t", line.strip())) if c)))
+                plain = [] if row or line is None else [*plain, line]
     return out
 
 
@@ -201,33 +221,54 @@ def render(blocks: list[tuple[str, str]]) -> str:
 
 
 def recurring_subtrees(pages: DataFrame, host: str, page: str, min_pages: int = 5, share: float = 0.3) -> DataFrame:
-    """``(host, h)``: subtrees on at least ``min_pages`` pages and ``share`` of the host's pages."""
-    per = pages.select(host, page, F.explode(F.array_distinct(F.transform("subtrees", lambda s: s.h))).alias("h")).distinct().groupBy(host, "h").agg(F.count("*").alias("n"))
-    sizes = pages.select(host, page).distinct().groupBy(host).agg(F.count("*").alias("pages"))
-    return per.where(F.col("n") >= min_pages).join(sizes, host).where(F.col("n") >= share * F.col("pages")).select(host, "h")
+    """``(host, h, n_pages, host_pages)``: subtrees on at least ``min_pages`` pages and ``share`` of the host's pages. Null
+    hosts are one host. Pages and subtrees are counted by aggregates that combine before the shuffle, so a host may
+    hold any share of the rows."""
+    per = pages.select(host, page, F.explode(F.array_distinct(F.transform("subtrees", lambda s: s.h))).alias("h")).distinct().groupBy(host, "h").agg(F.count("*").alias("n_pages"))
+    sizes = pages.select(F.col(host).alias("_host"), page).distinct().groupBy("_host").agg(F.count("*").alias("host_pages"))
+    j = per.where(F.col("n_pages") >= min_pages).join(sizes, F.col(host).eqNullSafe(F.col("_host")))
+    return j.where(F.col("n_pages") >= share * F.col("host_pages")).select(host, "h", "n_pages", "host_pages")
 
 
-def clean_markup(df: DataFrame, host: str = "cik", page: str = "accession_number", text: str = "text", min_pages: int = 5, share: float = 0.3) -> DataFrame:
-    """``(page, host, n_constructs, n_removed, clean_text, blocks)`` for every row of ``df`` with a text.
-
-    Null texts give no row, empty ones an empty clean text; copies of a page count as one page of its host and
-    come out as often as they came in; other columns don't matter.
-    """
+def _pages(src: DataFrame, page: str, host: str) -> DataFrame:
+    """``(page, host, _version, subtrees)`` of every text."""
     tree = StructType([StructField("h", LongType()), StructField("s", IntegerType()), StructField("e", IntegerType())])
-    parsed_schema = StructType([df.schema[page], df.schema[host], StructField("subtrees", ArrayType(tree))])
-    arrow = to_arrow_schema(parsed_schema)
-    src = df.where(F.col(text).isNotNull()).select(page, host, F.col(text).alias("_text"))
+    schema = StructType([src.schema[page], src.schema[host], StructField("_version", LongType()), StructField("subtrees", ArrayType(tree))])
+    arrow = to_arrow_schema(schema)
 
     def parse(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             trees = [[{"h": h, "s": s, "e": e} for h, s, e in subtrees(t)] for t in b.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(page).cast(arrow[0].type), b.column(host).cast(arrow[1].type), pa.array(trees, arrow[2].type)], schema=arrow)
+            yield pa.RecordBatch.from_arrays([b.column(page).cast(arrow[0].type), b.column(host).cast(arrow[1].type), b.column("_version"), pa.array(trees, arrow[3].type)], schema=arrow)
+
+    return src.mapInArrow(parse, schema)
+
 
-    pages = src.mapInArrow(parse, parsed_schema)
-    bad = recurring_subtrees(pages, host, page, min_pages, share)
+def _source(df: DataFrame, page: str, host: str, text: str) -> DataFrame:
+    return df.where(F.col(text).isNotNull()).select(page, host, F.col(text).alias("_text"), F.xxhash64(text).alias("_version"))
+
+
+def site_templates(df: DataFrame, host: str = "cik", page: str = "accession_number", text: str = "text", min_pages: int = 5, share: float = 0.3) -> DataFrame:
+    """``(page, host, h, n_pages, host_pages)``: every page and the recurring subtrees that are deleted from it."""
+    pages = _pages(_source(df, page, host, text), page, host)
+    bad = recurring_subtrees(pages, host, page, min_pages, share).withColumnRenamed(host, "_b")
+    on = pages.select(page, host, F.explode(F.array_distinct(F.transform("subtrees", lambda s: s.h))).alias("h")).distinct()
+    return on.join(bad, ["h"]).where(F.col(host).eqNullSafe(F.col("_b"))).select(page, host, "h", "n_pages", "host_pages")
+
+
+def clean_markup(df: DataFrame, host: str = "cik", page: str = "accession_number", text: str = "text", min_pages: int = 5, share: float = 0.3) -> DataFrame:
+    """``(page, host, n_constructs, n_removed, clean_text, blocks)`` for every row of ``df`` with a text.
+
+    Null texts give no row, empty ones an empty clean text; copies of a page count as one page of its host and
+    come out as often as they came in, and different texts under one page are cleaned each by its own subtrees; other
+    columns don't matter.
+    """
+    src = _source(df, page, host, text)
+    pages = _pages(src, page, host)
+    bad = recurring_subtrees(pages, host, page, min_pages, share).select(F.col(host).alias("_b"), "h")
     drops = (
-        pages.select(page, host, F.explode("subtrees").alias("t")).select(page, host, F.col("t.h").alias("h"), "t.s", "t.e")
-        .join(bad, [host, "h"], "left_semi").groupBy(page).agg(F.collect_set(F.struct("s", "e")).alias("_drop"))
+        pages.select(page, host, "_version", F.explode("subtrees").alias("t")).select(page, host, "_version", F.col("t.h").alias("h"), "t.s", "t.e")
+        .join(bad, "h").where(F.col(host).eqNullSafe(F.col("_b"))).groupBy(F.col(page).alias("_p"), F.col("_version").alias("_v"), F.col("_b")).agg(F.collect_set(F.struct("s", "e")).alias("_drop"))
     )
     block = StructType([StructField("kind", StringType()), StructField("text", StringType())])
     out_schema = StructType([df.schema[page], df.schema[host], StructField("n_constructs", IntegerType()), StructField("n_removed", IntegerType()), StructField("clean_text", StringType()), StructField("blocks", ArrayType(block))])
@@ -247,4 +288,5 @@ def clean_markup(df: DataFrame, host: str = "cik", page: str = "accession_number
                     c.append(v)
             yield pa.RecordBatch.from_arrays([b.column(page).cast(out_arrow[0].type), b.column(host).cast(out_arrow[1].type), *(pa.array(c, out_arrow[i + 2].type) for i, c in enumerate(cols))], schema=out_arrow)
 
-    return src.join(drops, page, "left").select(page, host, "_text", "_drop").mapInArrow(convert, out_schema)
+    mine = (F.col("_version") == F.col("_v")) & F.col(page).eqNullSafe(F.col("_p")) & F.col(host).eqNullSafe(F.col("_b"))
+    return src.join(drops, mine, "left").select(page, host, "_text", "_drop").mapInArrow(convert, out_schema)

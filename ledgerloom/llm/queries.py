@@ -17,6 +17,10 @@ def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markup.clean_markup(spread(read_table(spark, sf_dir, "raw_text")))
 
 
+def p1_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.site_templates(spread(read_table(spark, sf_dir, "raw_text")))
+
+
 def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.link(*(read_table(spark, sf_dir, t) for t in ("fortune", "eto_core", "eto_ticker", "eto_alias", "fundamentals")))
 

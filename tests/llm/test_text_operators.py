@@ -197,6 +197,27 @@ def test_templates_go(spark):
     assert markup.clean_markup(df).count() == 13 and markup.clean_markup(df.limit(0)).count() == 0
 
 
+def test_text_of_notes_templates_and_titles_stays():
+    assert markup.to_blocks("Main text\\footnote{Loss of 5 million in 2024.} goes on. {{convert|5|km}} away.") == [("paragraph", "Main text (Loss of 5 million in 2024.) goes on. 5 km away.")]
+    assert markup.to_blocks("<head><title>Annual Report</title></head><p>a<ref>Note 3</ref> &amp;lt;b&amp;gt;</p>") == [("heading", "Annual Report"), ("paragraph", "a (Note 3) &lt;b&gt;")]
+    assert markup.to_blocks("Our costs by year\nRevenue   100   200\nCosts   50   60\n\nEnd **here**.") == [("paragraph", "Our costs by year"), ("table_row", "Revenue | 100 | 200"), ("table_row", "Costs | 50 | 60"), ("paragraph", "End here.")]
+
+
+def test_versions_of_a_page_and_counts_by_brute_force(spark):
+    nav = "<div>Home</div>"
+    pages = [(f"p{i}", "h", f"{nav}<p>Own text number {i} of this page.</p>") for i in range(6)] + [("p0", "h", f"<p>The second version of p0 has entirely other text here and more of it.</p>{nav}"), ("z", None, f"{nav}<p>x</p>")]
+    df = spark.createDataFrame(pages + pages[:1], "accession_number string, cik string, text string")
+    out = {(r["accession_number"], r["clean_text"]) for r in markup.clean_markup(df).collect()}
+    assert ("p0", "The second version of p0 has entirely other text here and more of it.") in out and ("p0", "Own text number 0 of this page.") in out and ("z", "Home\n\nx") in out
+    want = {}
+    for p, h, t in pages:
+        for x in {x for x, _, _ in markup.subtrees(t)}:
+            want.setdefault((h, x), set()).add(p)
+    sizes = {h: len({p for p, g, _ in pages if g == h}) for _, h, _ in pages}
+    brute = {(p, h, x, len(ps), sizes[h]) for (h, x), ps in want.items() if len(ps) >= 5 and len(ps) >= 0.3 * sizes[h] for p in ps}
+    assert brute and {tuple(r) for r in markup.site_templates(df).collect()} == brute
+
+
 def test_leaks_of_stretches_and_items_without_facts(spark):
     common = "staff call the clinic ledger suppose the keeper doubles its harvest quota of grain how many"
     items = [(k, f"{common} carts does {a} send to {b} in a {c} week") for k, (a, b, c) in enumerate([("Grondak", "Velmira", "dry"), ("Pondrel", "Wexham", "wet"), ("Salmur", "Tarquin", "cold")])]
