@@ -74,12 +74,17 @@ def p7_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors.survivors(read_table(spark, sf_dir, "fundamentals"))
 
 
+def p7_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = survivors.truth(survivors.records(read_table(spark, sf_dir, "fundamentals")))
+    return t.select("gvkey", F.col("fyear").cast("int").alias("fyear"), "field", "value", F.round("support", 4).alias("support"))
+
+
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(read_table(spark, sf_dir, "documents"))
+    return packing.pack(spread(read_table(spark, sf_dir, "documents").select("doc_id", "n_tokens")))
 
 
 def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.container_fill(packing.pack(read_table(spark, sf_dir, "documents")))
+    return packing.container_fill(packing.pack(spread(read_table(spark, sf_dir, "documents").select("doc_id", "n_tokens"))))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

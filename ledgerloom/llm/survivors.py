@@ -1,15 +1,14 @@
 """Best representative of each duplicate group (problem 7).
 
-Iterative truth discovery: every record's code combination is a source. Alternately, the values of a field are
-voted on in each group with the sources' weights, and a source's weight is re-estimated from how often its claims
-win, until the weights settle. The highest-supported value survives per field. The record that stands for the group
+Iterative truth discovery: every record's code combination is a source. Alternately, the values of a field (numbers
+and codes alike) are voted on in each group with the sources' weights, and a source's weight is re-estimated from how
+much its claims are backed, until the weights settle. The highest-supported value survives per field. The record that stands for the group
 is the one with the highest preference score, then largest assets, then latest load, then smallest id.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.session import cut
@@ -38,39 +37,56 @@ def records(df: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def claims(recs: DataFrame) -> DataFrame:
-    """Field values in long form. Numbers within about 1 % of each other are one claim."""
+def claims(recs: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """Field values in long form, ``(gvkey, fyear, source, field, value, bin)``. A number's ``bin`` is half of ``tolerance``
+    wide on a log scale, so numbers within the tolerance lie in one bin or in neighbours; a code is its own bin. The
+    record's combination of codes is its source."""
     source = F.concat_ws("/", *(F.coalesce(c, F.lit("?")) for c in CODES))
-    pairs = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("value")) for f in FIELDS))
-    long = recs.select("gvkey", "fyear", "record_id", source.alias("source"), F.explode(pairs).alias("p")).select("gvkey", "fyear", "record_id", "source", "p.field", "p.value").where("value IS NOT NULL")
-    return long.withColumn("claim", F.when(F.col("value") > 0, F.round(F.log("value") * 50)).otherwise(F.col("value")))
+    numbers = [F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value"), F.when(F.col(f) > 0, F.floor(F.log(f) * (2 / tolerance))).otherwise(F.floor(F.col(f)) - (1 << 40)).alias("bin")) for f in FIELDS]
+    codes = [F.struct(F.lit(c).alias("field"), F.nullif(c, F.lit("")).alias("value"), F.xxhash64(c).alias("bin")) for c in CODES]
+    long = recs.select("gvkey", "fyear", source.alias("source"), F.explode(F.array(*numbers, *codes)).alias("p")).select("gvkey", "fyear", "source", "p.*")
+    return long.where("value IS NOT NULL")
 
 
-def truth(recs: DataFrame, rounds: int = 6, settled: float = 1e-3) -> DataFrame:
-    """``(gvkey, fyear, field, value, support)``: the claim with the highest weighted vote of each field."""
-    facts = cut(claims(recs).groupBy("gvkey", "fyear", "field", "claim", "source").agg(F.count("*").alias("n"), F.max("value").alias("value")))
-    weights = cut(facts.select("source").distinct().withColumn("weight", F.lit(1.0)))
+def truth(recs: DataFrame, settled: float = 1e-3, most: int = 200) -> DataFrame:
+    """``(gvkey, fyear, field, value, support)``: the value with the highest weighted vote of each field.
+
+    A claim is backed by the votes of its bin and, for numbers, of the two bins beside it. A source's weight is the
+    negative log of the share of votes that its claims miss; weights move half way in each round, and rounds go on
+    until none moves by ``settled`` (an error if they don't settle within ``most``). Everything is summed per group,
+    bin and source first, so a group of any size is combined before the shuffle."""
     group = ["gvkey", "fyear", "field"]
-    for i in range(rounds):
-        votes = facts.join(weights, "source").groupBy(*group, "claim").agg(F.sum(F.col("weight") * F.col("n")).alias("vote"), F.max_by("value", "weight").alias("value"))
-        share = F.col("vote") / F.sum("vote").over(W.partitionBy(*group))
-        votes = cut(votes.withColumn("support", share))
-        if i == rounds - 1:
-            break
-        # a source is as wrong as the support its claims miss, smoothed by one claim
-        missed = facts.join(votes, [*group, "claim"]).groupBy("source").agg(((F.sum((1 - F.col("support")) * F.col("n")) + 0.5) / (F.sum("n") + 1)).alias("error"))
-        new = cut(missed.select("source", F.greatest(-F.log("error"), F.lit(0.05)).alias("weight")))
-        moved = new.join(weights.withColumnRenamed("weight", "old"), "source").agg(F.max(F.abs(F.col("weight") - F.col("old")))).first()[0]
-        weights = new
+    facts = cut(claims(recs).groupBy(*group, "bin", "source").agg(F.count("*").alias("n")))
+    weights = cut(facts.select("source").distinct().withColumn("weight", F.lit(1.0)))
+    near = F.when(F.col("field").isin(*FIELDS), F.array(*(F.col("bin") + i for i in (-1, 0, 1)))).otherwise(F.array("bin"))
+    total = cut(facts.groupBy(*group, "source").agg(F.sum("n").alias("n")))
+
+    def backed(w: DataFrame) -> DataFrame:
+        own = facts.join(w, "source").groupBy(*group, "bin").agg(F.sum(F.col("weight") * F.col("n")).alias("vote"))
+        window = own.select(*group, F.explode(near).alias("bin"), "vote").groupBy(*group, "bin").agg(F.sum("vote").alias("vote"))
+        every = total.join(w, "source").groupBy(*group).agg(F.sum(F.col("weight") * F.col("n")).alias("all"))
+        return window.join(every, group).select(*group, "bin", (F.col("vote") / F.col("all")).alias("support"))
+
+    for _ in range(most):
+        support = backed(weights)
+        missed = facts.join(support, [*group, "bin"]).groupBy("source").agg(((F.sum((1 - F.col("support")) * F.col("n")) + 0.5) / (F.sum("n") + 1)).alias("error"))
+        new = cut(missed.join(weights, "source").select("source", ((F.greatest(-F.log("error"), F.lit(0.05)) + F.col("weight")) / 2).alias("weight"), F.col("weight").alias("old")))
+        moved = new.agg(F.max(F.abs(F.col("weight") - F.col("old")))).first()[0]
+        weights = new.drop("old")
         if moved is None or moved < settled:
             break
-    order = W.partitionBy(*group).orderBy(F.desc("support"), F.desc("claim"))
-    return votes.withColumn("_r", F.row_number().over(order)).where("_r = 1").select(*group, "value", "support")
-
-
-def survivors(df: DataFrame, rounds: int = 6) -> DataFrame:
-    """One row per (gvkey, fyear): the surviving record's id and codes, ``emp`` and ``at`` with the highest support
-    over the group's records and that support, and the number of records. Groups of one record survive as they are;
+    else:
+        raise RuntimeError(f"source weights still move by {moved} after {most} rounds")
+    # of the best backed values the one with most votes of its own, then the larger
+    own = claims(recs).groupBy(*group, "bin", "value", "source").agg(F.count("*").alias("n")).join(weights, "source").groupBy(*group, "bin", "value").agg(F.sum(F.col("weight") * F.col("n")).alias("vote"))
+    order = F.struct(F.round("support", 9), F.round("vote", 9), F.coalesce(F.col("value").try_cast("double"), F.lit(0.0)), "value")
+    best = own.join(backed(weights), [*group, "bin"]).groupBy(*group).agg(F.max_by(F.struct("value", "support"), order).alias("b"))
+    return best.select(*group, "b.value", "b.support")
+
+
+def survivors(df: DataFrame) -> DataFrame:
+    """One row per (gvkey, fyear): the surviving record's id and codes, each field's value with the highest support
+    over the group's records (codes as ``<code>_voted``) and that support, and the number of records. Groups of one record survive as they are;
     a field that no record of the group fills stays null. Exact copies count once."""
     recs = cut(records(df))
     # one aggregate, combined before the shuffle, so no group, however large, is sorted in one task
@@ -80,6 +96,10 @@ def survivors(df: DataFrame, rounds: int = 6) -> DataFrame:
         .agg(F.count_distinct("record_id").alias("n_records"), F.max_by(F.struct("record_id", *CODES, "preference"), first).alias("b"))
         .select("gvkey", "fyear", "n_records", "b.*")
     )
-    t = truth(recs, rounds).groupBy("gvkey", "fyear")
-    values = t.agg(*(F.max(F.when(F.col("field") == f, F.col(c))).alias(f if c == "value" else f"{f}_support") for f in FIELDS for c in ("value", "support")))
+    t = truth(recs).groupBy("gvkey", "fyear")
+    pick = lambda f, c: F.max(F.when(F.col("field") == f, F.col(c)))
+    values = t.agg(
+        *(x for f in FIELDS for x in (pick(f, "value").cast("double").alias(f), pick(f, "support").alias(f"{f}_support"))),
+        *(x for f in CODES for x in (pick(f, "value").alias(f"{f}_voted"), pick(f, "support").alias(f"{f}_support"))),
+    )
     return best.join(values, ["gvkey", "fyear"], "left")

@@ -95,7 +95,54 @@ def test_truth_discovery_trusts_the_consistent_source(spark):
     data += [(900, "9", 2020, "INDL", "USD", "STD", "C", 1.0, 42.0, None), (901, "9", 2020, "INDL", "EUR", "STD", "C", 1.0, 77.0, None)]
     t = survivors.truth(survivors.records(spark.createDataFrame(data, FUND)))
     got = {r["gvkey"]: r["value"] for r in t.where("field = 'at'").collect()}
-    assert got["00000009"] == 42.0 and got["00000003"] == 103.0
+    assert got["00000009"] == "42.0" and got["00000003"] == "103.0"
+
+
+def brute_truth(rows, settled):
+    """The same votes with dictionaries: rows of (group, source, field, value, bin)."""
+    from collections import defaultdict
+
+    near = lambda f, b: (b - 1, b, b + 1) if f in survivors.FIELDS else (b,)
+    w = {s: 1.0 for _, s, *_ in rows}
+    while True:
+        own, every = defaultdict(float), defaultdict(float)
+        for g, s, f, _, b in rows:
+            own[g, f, b] += w[s]
+            every[g, f] += w[s]
+        support = {k: sum(own.get((k[0], k[1], b), 0) for b in near(k[1], k[2])) / every[k[:2]] for k in own}
+        new = {}
+        for s in w:
+            mine = [1 - support[g, f, b] for g, t, f, _, b in rows if t == s]
+            new[s] = (max(-math.log((sum(mine) + 0.5) / (len(mine) + 1)), 0.05) + w[s]) / 2
+        moved = max(abs(new[s] - w[s]) for s in w)
+        w = new
+        if moved < settled:
+            return w
+
+
+def test_truth_equals_brute_force_and_codes_are_fields(spark):
+    import random
+
+    random.seed(11)
+    data = [(i, str(random.randint(1, 12)), 2020 + random.randint(0, 1), random.choice(["INDL", "FS", None]), random.choice(["USD", "CAD", " usd"]), "STD", random.choice("CD"), random.choice([1.0, 1.001, 3.0, None]), random.choice([100.0, 100.4, 250.0, 0.0, -5.0]), None) for i in range(120)]
+    recs = survivors.records(spark.createDataFrame(data, FUND))
+    rows = [((r["gvkey"], r["fyear"]), r["source"], r["field"], r["value"], r["bin"]) for r in survivors.claims(recs).collect()]
+    w = brute_truth(rows, 1e-3)
+    got = {(r["gvkey"], r["fyear"], r["field"]): (r["value"], round(r["support"], 6)) for r in survivors.truth(recs).collect()}
+    near = lambda f, b: (b - 1, b, b + 1) if f in survivors.FIELDS else (b,)
+    for (g, y, f), (value, support) in got.items():
+        mine = [(s, v, b) for k, s, h, v, b in rows if k == (g, y) and h == f]
+        back = {v: sum(w[s] for s, _, c in mine if c in near(f, b)) / sum(w[s] for s, _, _ in mine) for _, v, b in mine}
+        assert abs(max(back.values()) - support) < 1e-5 and abs(back[value] - support) < 1e-5
+    assert {f for _, _, f in got} == {"emp", "at", "indfmt", "curcd", "datafmt", "consol"} and all(v[0] != " usd" for v in got.values())
+
+
+def test_close_numbers_back_each_other(spark):
+    # 0.1 % apart on either side of any bin's edge: together they outvote the lone value
+    for x in (100.0, 123.4, 777.0):
+        data = [(1, "1", 2020, "INDL", "USD", "STD", "C", None, x, None), (2, "1", 2020, "INDL", "USD", "STD", "C", None, x * 1.001, None), (3, "1", 2020, "INDL", "USD", "STD", "C", None, 5 * x, None)]
+        t = survivors.truth(survivors.records(spark.createDataFrame(data, FUND))).where("field = 'at'").first()
+        assert float(t["value"]) < 2 * x and abs(t["support"] - 2 / 3) < 1e-9
 
 
 # --- packing --------------------------------------------------------------------------------------------------------------
