@@ -4,12 +4,17 @@ Soft-logic linkage. Every candidate pair of records is a truth value in [0, 1].
 these values: similar names, equal tickers and near figures speak for a pair, distant names and different figures
 against it, a record has at most one partner per source (exclusivity), and pairs that meet in one record agree
 (transitivity). The sum of the losses is convex. Consensus ADMM minimises it: each rule solves for its own copies of
-the values in closed form, then the copies of a value are averaged; both steps are joins and aggregates over tables
-of rules and values, so nothing gathers per component. The final values are the confidences.
+the values in closed form, then the copies of a value are averaged. Rules never join values of different connected
+components of the candidate graph, so components are sent to partitions and solved there to the end; one too large for
+that is solved by joins and aggregates over tables of rules and values. The final values are the confidences.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,17 +23,24 @@ from ledgerloom.llm.variants import name_nodes, similar_nodes
 from ledgerloom.session import cut
 
 
-def solve_hinge_admm(rules: DataFrame, rounds: int = 18, rho: float = 1.0, tol: float = 1e-3) -> DataFrame:
+def solve_hinge_admm(rules: DataFrame, rounds: int = 400, rho: float = 1.0, tol: float = 1e-3) -> DataFrame:
     """Minimise Σ weight · max(0, Σ coef · value + offset) over values in [0, 1].
 
     ``rules``: one row per (rule, var) with ``coef``, ``offset`` and ``weight`` (the same on all rows of a rule; a
-    null weight makes the rule a hard constraint). Result: ``(var, value)``.
+    null weight makes the rule a hard constraint). Result: ``(var, value, residual)``, the residual being how far the
+    value moved in the last round and how far its copies lie apart: rounds go on until both are below ``tol``
+    everywhere, at most ``rounds``.
     """
     # rules and values travel as 64-bit ids; only the result has the values' names again
     rules = cut(rules.select(F.xxhash64("rule").alias("rule"), F.xxhash64("var").alias("var"), "coef", "offset", "weight", F.col("var").alias("name")))
     named = rules.select("var", "name").distinct()
+    return _by_joins(rules.drop("name"), rounds, rho, tol).join(named, "var").select(F.col("name").alias("var"), "value", "residual")
+
+
+def _by_joins(rules: DataFrame, rounds: int, rho: float, tol: float) -> DataFrame:
+    """The solver over tables of rules and values: a problem of any size, nothing of it in one task."""
     norm = rules.groupBy("rule").agg(F.sum(F.col("coef") * F.col("coef")).alias("norm"))
-    state = cut(rules.drop("name").join(norm, "rule").withColumns({"u": F.lit(0.0), "z": F.lit(0.5)}))
+    state = cut(rules.join(norm, "rule").withColumns({"u": F.lit(0.0), "z": F.lit(0.5), "moved": F.lit(1.0)}))
     for _ in range(rounds):
         v = state.withColumn("v", F.col("z") - F.col("u"))
         total = v.groupBy("rule").agg(F.sum(F.col("coef") * F.col("v")).alias("av"))
@@ -38,13 +50,79 @@ def solve_hinge_admm(rules: DataFrame, rounds: int = 18, rho: float = 1.0, tol:
         moved = v.join(total, "rule").withColumn("x", F.col("v") - step * F.col("coef")).drop("av", "v")
         mean = moved.groupBy("var").agg(F.least(F.greatest(F.avg(F.col("x") + F.col("u")), F.lit(0.0)), F.lit(1.0)).alias("z_new"))
         state = cut(
-            moved.join(mean, "var").withColumn("u", F.col("u") + F.col("x") - F.col("z_new")).withColumn("moved", F.abs(F.col("z_new") - F.col("z"))).withColumn("z", F.col("z_new")).drop("z_new", "x")
+            moved.join(mean, "var").withColumn("u", F.col("u") + F.col("x") - F.col("z_new")).withColumn("moved", F.greatest(F.abs(F.col("z_new") - F.col("z")), F.abs(F.col("x") - F.col("z_new")))).withColumn("z", F.col("z_new")).drop("z_new", "x")
         )
         most = state.agg(F.max("moved")).first()[0]
-        state = state.drop("moved")
         if most is None or most < tol:
             break
-    return state.groupBy("var").agg(F.first("z").alias("value")).join(named, "var").select(F.col("name").alias("var"), "value")
+    return state.groupBy("var").agg(F.first("z").alias("value"), F.max("moved").alias("residual"))
+
+
+def _solve_arrays(rule: np.ndarray, var: np.ndarray, coef: np.ndarray, offset: np.ndarray, weight: np.ndarray, rounds: int, rho: float, tol: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same steps on arrays: (var, value, residual)."""
+    _, r = np.unique(rule, return_inverse=True)
+    ids, v = np.unique(var, return_inverse=True)
+    norm, copies = np.bincount(r, coef * coef), np.bincount(v)
+    most = np.where(np.isnan(weight), 1e9, weight / rho)
+    u, z, moved = np.zeros(len(r)), np.full(len(ids), 0.5), np.ones(len(ids))
+    for _ in range(rounds):
+        x = z[v] - u
+        over = np.maximum(np.bincount(r, coef * x)[r] + offset, 0.0)
+        x -= np.minimum(over / norm[r], most) * coef
+        new = np.clip(np.bincount(v, x + u) / copies, 0.0, 1.0)
+        moved, z = np.abs(new - z), new
+        np.maximum.at(moved, v, np.abs(x - z[v]))
+        u += x - z[v]
+        if moved.max(initial=0.0) < tol:
+            break
+    return ids, z, moved
+
+
+def components(pairs: DataFrame) -> DataFrame:
+    """``(node, component)`` of the graph of ``pairs (a, b)``: every node takes the least label around it and then the
+    label of that label, until none changes. Labels are 64-bit ids; each round is two joins and an aggregate."""
+    both = cut(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    label = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
+    while True:
+        around = both.join(label.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
+        least = label.join(around, "node").select("node", F.least("component", "m").alias("new"), F.col("component").alias("old"))
+        jump = label.select(F.col("node").alias("new"), F.col("component").alias("further"))
+        label = cut(least.join(jump, "new", "left").select("node", F.least("new", "further").alias("component"), "old"))
+        if label.where("component <> old").isEmpty():
+            return label.select("node", "component")
+        label = label.select("node", "component")
+
+
+def solve_by_component(rules: DataFrame, ends: DataFrame, rounds: int = 400, rho: float = 1.0, tol: float = 1e-3, most: int = 200_000) -> DataFrame:
+    """``solve_hinge_admm`` with the problem split where it falls apart: ``ends (var, a, b)`` names the two records of a
+    value, and no rule joins values of different components of that graph. Components are solved to the end inside
+    the partition they are sent to, many at a time; those of more than ``most`` rows of rules go through the joins."""
+    rules = cut(rules.select(F.xxhash64("rule").alias("rule"), F.xxhash64("var").alias("var"), "coef", "offset", "weight", F.col("var").alias("name")))
+    named = rules.select("var", "name").distinct()
+    of = ends.select(F.xxhash64("var").alias("var"), F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")).distinct()
+    label = components(of).select(F.col("node").alias("a"), "component")
+    tagged = rules.drop("name").join(of.join(label, "a").select("var", "component"), "var")
+    size = tagged.groupBy("component").agg(F.count("*").alias("size"))
+    tagged = cut(tagged.join(size, "component"))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in it if len(b)]
+        if got:
+            t = pa.Table.from_batches(got)
+            cols = [t.column(c).to_numpy() for c in ("rule", "var", "coef", "offset")]
+            ids, z, moved = _solve_arrays(*cols, np.array(t.column("weight").to_pandas(), float), rounds, rho, tol)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(z), pa.array(moved)], ["var", "value", "residual"])
+
+    cores = tagged.sparkSession.sparkContext.defaultParallelism
+    small = tagged.where(F.col("size") <= most)
+    # so many partitions that each holds about as much as the largest component may
+    total = small.count()
+    n = max(cores, -(-total // most), 1)
+    out = small.repartition(n, "component").select("rule", "var", "coef", "offset", "weight").mapInArrow(run, "var long, value double, residual double")
+    large = tagged.where(F.col("size") > most).select("rule", "var", "coef", "offset", "weight")
+    if not large.isEmpty():
+        out = out.unionByName(_by_joins(large, rounds, rho, tol))
+    return out.join(named, "var").select(F.col("name").alias("var"), "value", "residual")
 
 
 def ticker_key(c):
@@ -64,7 +142,7 @@ def _near(a, b):
     return F.when((a > 0) & (b > 0), F.greatest(F.lit(0.0), 1 - 2 * F.abs(a - b) / F.greatest(a, b)))
 
 
-def link(fortune: DataFrame, eto_core: DataFrame, eto_ticker: DataFrame, eto_alias: DataFrame, fundamentals: DataFrame, rounds: int = 18) -> DataFrame:
+def link(fortune: DataFrame, eto_core: DataFrame, eto_ticker: DataFrame, eto_alias: DataFrame, fundamentals: DataFrame) -> DataFrame:
     """``(rank, source, entity_id, confidence)`` for every candidate pair of a firm and a record of ``eto`` or
     ``fundamentals``. Null names, tickers and figures say nothing; copies of a record count once; a record with
     several spellings, tickers or years is compared by the nearest. Empty tables give an empty result."""
@@ -117,8 +195,8 @@ def link(fortune: DataFrame, eto_core: DataFrame, eto_ticker: DataFrame, eto_ali
     rules = [
         # similar name => same: the value falls short of the similarity
         rule(fev, "name", -1.0, F.col("name_sim"), 1.0), rule(fgv, "name", -1.0, F.col("name_sim"), 1.0), rule(egv, "name", -1.0, F.col("name_sim"), 1.0),
-        # distant name => not same
-        rule(fev, "far", 1.0, F.when(F.col("name_sim") > 0, -F.lit(1.0)).otherwise(F.lit(0.0)), 2.0), rule(fgv, "far", 1.0, F.when(F.col("name_sim") > 0, -F.lit(1.0)).otherwise(F.lit(0.0)), 2.0),
+        # distant name => not same: weaker than an equal ticker and near figures together, stronger than any of them
+        rule(fev, "far", 1.0, -F.col("name_sim"), 0.5), rule(fgv, "far", 1.0, -F.col("name_sim"), 0.5),
         # equal tickers and near figures speak for, but tickers get stale and are used again
         rule(fev.where("same_tick = 1"), "tick", -1.0, 1.0, 0.4), rule(fgv.where("same_tick = 1"), "tick", -1.0, 1.0, 0.4),
         rule(fgv.where("assets_sim IS NOT NULL"), "at", -1.0, F.col("assets_sim"), 0.2), rule(fgv.where("staff_sim IS NOT NULL"), "emp", -1.0, F.col("staff_sim"), 0.2),
@@ -136,7 +214,9 @@ def link(fortune: DataFrame, eto_core: DataFrame, eto_ticker: DataFrame, eto_ali
     table = rules[0]
     for r in rules[1:]:
         table = table.unionByName(r)
-    value = cut(solve_hinge_admm(table, rounds))
+    ends = fev.select("var", F.concat(F.lit("f"), "f").alias("a"), F.concat(F.lit("e"), "e").alias("b")).unionByName(fgv.select("var", F.concat(F.lit("f"), "f").alias("a"), F.concat(F.lit("g"), "g").alias("b")))
+    ends = ends.unionByName(egv.select("var", F.concat(F.lit("e"), "e").alias("a"), F.concat(F.lit("g"), "g").alias("b")))
+    value = cut(solve_by_component(table, ends))
     out = fev.join(value, "var").select(F.col("f").alias("rank"), F.lit("eto").alias("source"), F.col("e").alias("entity_id"), F.col("value").alias("confidence"))
     out = out.unionByName(fgv.join(value, "var").select(F.col("f").alias("rank"), F.lit("fundamentals").alias("source"), F.col("g").alias("entity_id"), F.col("value").alias("confidence")))
     return out.withColumn("rank", F.col("rank").cast("int"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from functools import lru_cache
 from itertools import permutations
 
 # --- fixed values ---------------------------------------------------------------------------------------------
@@ -15,22 +14,6 @@ LEGAL = (
 ).split()
 FILLER = "the and of group grp holdings holding hldgs hldg us usa u s new cl class com".split()
 PLACEHOLDERS = {"", "n a", "na", "nan", "none", "null", "unknown", "tbd", "tba", "not available", "not applicable", "various", "other", "same", "see above", "unnamed", "no name", "test", "xxx"}
-LINES = (
-    "aerospace airlines airways apparel automotive bancorp bank banks brands broadcasting capital chemical chemicals communications construction cosmetics "
-    "defense devices education electric electronics energy engineering enterprises entertainment equipment farms finance financial foods furniture "
-    "gas glass gold healthcare hospitals hotels industries insurance international investments laboratories leasing logistics machinery manufacturing "
-    "marine materials media medical metals mining motors networks oil packaging paper petroleum pharmaceuticals plastics power properties "
-    "publishing railroad realty resources restaurants retail robotics rubber semiconductor semiconductors services shipping software solutions steel stores "
-    "supply systems technologies technology telecom textiles tobacco tools toys transport transportation trucking utilities water wireless"
-).split()
-ABBREVIATIONS = {
-    "aero": "aerospace", "air": "airlines", "bncp": "bancorp", "bancp": "bancorp", "brnds": "brands", "chem": "chemical", "comms": "communications", "comm": "communications", "dev": "devices",
-    "elec": "electric", "engy": "energy", "engr": "engineering", "eng": "engineering", "entmt": "entertainment", "ent": "entertainment", "finl": "financial", "fin": "financial", "fds": "foods",
-    "hlthcr": "healthcare", "inds": "industries", "ind": "industries", "ins": "insurance", "intl": "international", "int": "international", "labs": "laboratories", "lab": "laboratories",
-    "logist": "logistics", "mfg": "manufacturing", "matls": "materials", "mtls": "materials", "mtrs": "motors", "ntwks": "networks", "netw": "networks", "pkg": "packaging", "pharma": "pharmaceuticals",
-    "pharm": "pharmaceuticals", "props": "properties", "prop": "properties", "res": "resources", "robot": "robotics", "semi": "semiconductor", "semicond": "semiconductor", "svcs": "services", "svc": "services",
-    "sftwr": "software", "sw": "software", "stl": "steel", "strs": "stores", "sys": "systems", "syst": "systems", "tech": "technologies", "techs": "technologies", "transp": "transportation", "trans": "transportation",
-}
 NICKNAMES = {
     "robert": "bob bobby rob robbie bert", "william": "bill billy will willie liam", "richard": "dick rick ricky rich richie", "james": "jim jimmy jamie", "edward": "ed eddie ted ned",
     "elizabeth": "liz lizzie beth betty eliza betsy", "katherine": "kate kathy katie kathryn catherine kat", "margaret": "maggie meg peggy peg marge", "john": "jack johnny", "charles": "charlie chuck",
@@ -39,7 +22,7 @@ NICKNAMES = {
     "george": "", "mary": "", "peter": "pete", "david": "dave", "stephen": "steve steven", "matthew": "matt", "nicholas": "nick", "philip": "phil", "frederick": "fred freddie",
 }
 GIVEN = {n: full for full, ns in NICKNAMES.items() for n in [full, *ns.split()]}
-_LEGAL, _FILLER, _LINES = set(LEGAL), set(FILLER), set(LINES)
+_LEGAL, _FILLER = set(LEGAL), set(FILLER)
 
 
 def fold(s: str) -> str:
@@ -87,54 +70,77 @@ def distance_in_any_order(a: str, b: str, most: int = 99) -> int:
     return min(distance("".join(o), q, most) for o in ({*permutations(left)} if len(left) <= 5 else [left]))
 
 
-_SAME = {"chemicals": "chemical", "semiconductors": "semiconductor", "technology": "technologies", "banks": "bank"}
-_FORMS = {**{x: x for x in LINES}, **{x[:-1]: x for x in LINES if x.endswith("s")}, **{a: x for a, x in ABBREVIATIONS.items() if len(a) >= 4}}
-
-
-@lru_cache(1 << 16)
-def line_of(word: str) -> str:
-    """The line of business a word names: as written, abbreviated or without its plural s; else ''."""
-    w = ABBREVIATIONS.get(word, word)
-    for x in (w, w + "s", w + "es"):
-        if x in _LINES:
-            return _SAME.get(x, x)
-    return ""
-
-
-@lru_cache(1 << 16)
-def mistyped_line(word: str) -> str:
-    """The line of business a word comes within a typo or two of; else ''."""
-    if len(word) < 4:
-        return ""
-    near = [(d, len(f) - len(word), f) for f in _FORMS if abs(len(f) - len(word)) <= 2 and len(f) >= 4 and (d := distance(word, f, 2)) <= (1 if min(len(f), len(word)) < 6 else 2)]
-    return _SAME.get(_FORMS[min(near)[2]], _FORMS[min(near)[2]]) if near else ""
-
-
-def parse(name: str | None) -> tuple[str, str, str] | None:
-    """(family, line, given) of a name; None for a placeholder. Family is what is left of the name, joined."""
-    p = parts(name)
-    return p and ("".join(p[0]), *p[1:])
-
-
-@lru_cache(1 << 17)
-def parts(name: str | None) -> tuple[tuple[str, ...], str, str] | None:
-    """As ``parse``, with the words of the family in the order they were typed in."""
+def core_words(name: str | None) -> list[str]:
+    """The words of a name without legal forms and fillers; none for a placeholder or null."""
     if name is None:
-        return None
+        return []
     f = fold(name)
     if f in PLACEHOLDERS or len(f) < 2:
-        return None
+        return []
     words = f.split()
-    core = [w for w in words if w not in _LEGAL and w not in _FILLER] or words
-    line, given, rest = "", "", list(core)
-    for find in (line_of, mistyped_line):  # a word that only looks like a line counts if no word is one
-        for i in reversed(range(len(core) if len(core) > 1 and not line else 0)):
-            if not line and (x := find(core[i])):
-                line = x
-                del rest[i]
-    if len(rest) > 1 and (rest[0] in GIVEN or len(rest[0]) == 1 and not rest[0].isdigit()):
-        given = GIVEN.get(rest[0], rest[0])
-        rest = rest[1:]
-    elif len(rest) > 2 and (rest[-1] in GIVEN or len(rest[-1]) == 1):
-        given, rest = GIVEN.get(rest[-1], rest[-1]), rest[:-1]
-    return tuple(rest), line, given
+    return [w for w in words if w not in _LEGAL and w not in _FILLER] or words
+
+
+def shortened(short: str, long: str) -> bool:
+    """Could ``short`` stand for ``long``: its letters in order from the first on, as in an abbreviation or a singular?"""
+    it = iter(long)
+    return len(short) <= len(long) and short[:1] == long[:1] and all(c in it for c in short)
+
+
+def _drops(word: str, most: int) -> set[str]:
+    out, edge = {word}, {word}
+    for _ in range(most):
+        edge = {w[:i] + w[i + 1 :] for w in edge for i in range(len(w))}
+        out |= edge
+    return out
+
+
+class Lexicon:
+    """Words that tell what an organisation does, learned from the names themselves (``variants.learn_lexicon``): word ->
+    class. Words that are no entry are understood as typed wrong if an entry lies an edit or two off."""
+
+    def __init__(self, classes: dict[str, str]):
+        self.classes, self._near, self._index = classes, {}, None
+
+    def __reduce__(self):
+        return Lexicon, (self.classes,)
+
+    def near(self, word: str) -> str:
+        """The class that ``word`` comes within a typo or two of, or abbreviates alone; else ''."""
+        if word not in self._near:
+            self._near[word] = self._find(word)
+        return self._near[word]
+
+    def _find(self, word: str) -> str:
+        if self._index is None:
+            self._index = {}
+            for w in self.classes:
+                if len(w) >= 4:
+                    for x in _drops(w, 2):
+                        self._index.setdefault(x, []).append(w)
+        if len(word) >= 4:
+            tried = {w for x in _drops(word, 2) for w in self._index.get(x, ())}
+            near = [(d, abs(len(w) - len(word)), w) for w in tried if (d := distance(word, w, 2)) <= (1 if min(len(w), len(word)) < 6 else 2)]
+            if near:
+                return self.classes[min(near)[2]]
+        short = {c for w, c in self.classes.items() if 2 <= len(word) <= len(w) - 2 and shortened(word, w) and (word[-1] == w[-1] or w.startswith(word))}
+        return short.pop() if len(short) == 1 else ""
+
+    def parts(self, name: str | None) -> tuple[tuple[str, ...], str, str] | None:
+        """(family words in the order they were typed, line of business, given name) of a name; None for a placeholder.
+        The last word of a known class is the line; where there is none, the last that looks like one."""
+        core = core_words(name)
+        if not core:
+            return None
+        line, given, rest = "", "", list(core)
+        for find in (lambda w: self.classes.get(w, ""), self.near):
+            for i in reversed(range(len(core) if len(core) > 1 and not line else 0)):
+                if not line and (x := find(core[i])):
+                    line = x
+                    del rest[i]
+        if len(rest) > 1 and (rest[0] in GIVEN or len(rest[0]) == 1 and not rest[0].isdigit()):
+            given = GIVEN.get(rest[0], rest[0])
+            rest = rest[1:]
+        elif len(rest) > 2 and (rest[-1] in GIVEN or len(rest[-1]) == 1):
+            given, rest = GIVEN.get(rest[-1], rest[-1]), rest[:-1]
+        return tuple(rest), line, given

@@ -1,9 +1,9 @@
 """Variant spellings of names typed by people (problem 5).
 
-Names are brought to a normal form of family, line of business and initial of a given name. Its distinct values are
-the nodes; the words of a family count in whatever order they were typed. The families become character n-gram
-vectors weighted by rarity; a sparse cosine join finds all similar pairs, within a line of business, and the number
-of typing errors between them, least over the orders of their words, sets their similarity. Average-linkage clustering then groups the nodes: in every round all pairs of clusters
+What words tell the line of business, and which of them stand for each other, is learned from the names. Names are
+brought to a normal form of family, line of business and initial of a given name. Its distinct values are the nodes;
+the words of a family count in whatever order they were typed. The families become character n-gram vectors weighted
+by rarity; a sparse cosine join finds all similar pairs within a line of business. Average-linkage clustering then groups the nodes: in every round all pairs of clusters
 that are each other's nearest neighbours merge, which for average linkage gives the same tree as one merge at a
 time; sums of similarities are all a round needs, so it runs as joins and aggregates and no group meets in one task.
 """
@@ -16,17 +16,60 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.names import distance_in_any_order, parts
+from ledgerloom.llm.names import GIVEN, Lexicon, core_words, distance_in_any_order, shortened, within
 from ledgerloom.session import cut
 
 
-def name_nodes(names: DataFrame, name: str = "name") -> DataFrame:
+def learn_lexicon(names: DataFrame, name: str = "name", relative: float = 0.25, floor: int = 7, share: float = 0.0002, together: float = 0.25) -> Lexicon:
+    """The words of ``names`` that say what an organisation does, with their classes.
+
+    Such a word stands beside very many different words, a family name beside few: counted are the different first two
+    letters of the words beside it (typing errors hardly add to them). A word is an entry if it has at least ``floor``
+    of them, ``relative`` of what the word with most has, and stands in ``share`` of the names, so there are at most
+    words per name / ``share`` entries, a bound that does not grow with the table: this is what reaches the driver and
+    the workers. Two entries are of one class if they begin alike, one shortens the other or lies two edits off, and they stand for each
+    other: in at least ``together`` of the families where the rarer one changes place with some entry, it is with the other.
+    """
+    split = F.udf(lambda n: sorted({w for w in core_words(n) if w not in GIVEN and len(w) > 1}), "array<string>", useArrow=True)
+    keys = cut(names.select(split(name).alias("w")).where(F.size("w") > 1).distinct())
+    beside = keys.select(F.explode("w").alias("x"), "w").select("x", F.explode(F.array_distinct(F.transform(F.filter("w", lambda y: y != F.col("x")), lambda y: F.substring(y, 1, 2)))).alias("y"))
+    per = beside.groupBy("x", "y").agg(F.count("*").alias("n")).groupBy("x").agg(F.count("*").alias("beside"))
+    df = keys.select(F.explode("w").alias("x")).groupBy("x").agg(F.count("*").alias("df"))
+    top = F.broadcast(per.agg(F.max("beside").alias("top")).crossJoin(keys.agg(F.count("*").alias("all"))))  # one row
+    entries = cut(per.join(df, "x").crossJoin(top).where((F.col("beside") >= floor) & (F.col("beside") >= relative * F.col("top")) & (F.col("df") >= share * F.col("all"))).select("x"))
+    words = [r["x"] for r in entries.collect()]  # bounded by 1 / share
+    # who changes place with whom: entries of names that are equal but for them
+    known = F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")
+    family = keys.select(F.array_join(F.array_except("w", known), " ").alias("rest"), F.explode(F.array_intersect("w", known)).alias("x")).where("rest <> ''").distinct()
+    several = cut(family.join(family.groupBy("rest").agg(F.count("*").alias("k")).where("k > 1"), "rest"))
+    pairs = several.select("rest", F.col("x").alias("a")).join(several.select("rest", F.col("x").alias("b")), "rest").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    each = {r["x"]: r["n"] for r in several.groupBy("x").agg(F.count("*").alias("n")).collect()}
+    parent = {w: w for w in words}
+
+    def root(w: str) -> str:
+        while parent[w] != w:
+            w = parent[w]
+        return w
+
+    # pairs of entries; a short form stands for one word only, the one it is met with most
+    met = [(r["n"] / min(each[r["a"]], each[r["b"]]), r["n"], *sorted((r["a"], r["b"]), key=lambda w: (len(w), w))) for r in pairs.collect()]
+    bound = set()
+    for rate, _, short, long in sorted(met, reverse=True):
+        if short not in bound and rate >= together and short[0] == long[0] and (shortened(short, long) or within(short, long, 2)):
+            bound.add(short)
+            x, y = sorted((root(short), root(long)))
+            parent[y] = x
+    return Lexicon({w: root(w) for w in words})
+
+
+def name_nodes(names: DataFrame, name: str = "name", lexicon: Lexicon | None = None) -> DataFrame:
     """``(name, node, line, family)`` for every distinct name that is no placeholder; ``family`` has its words in
-    alphabetical order."""
+    alphabetical order. The lexicon is learned from ``names`` if none is given."""
+    lex = lexicon or learn_lexicon(names, name)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            rows = [(n, " ".join(sorted(p[0])), *p[1:]) for n in b.column(0).to_pylist() if (p := parts(n)) is not None and any(p[0])]
+            rows = [(n, " ".join(sorted(p[0])), *p[1:]) for n in b.column(0).to_pylist() if (p := lex.parts(n)) is not None and any(p[0])]
             cols = list(zip(*rows)) if rows else [(), (), (), ()]
             node = [f"{line}|{family}|{given[:1]}" for family, line, given in zip(*cols[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.string()) for x in (cols[0], node, cols[2], cols[1])], ["name", "node", "line", "family"])
@@ -34,14 +77,11 @@ def name_nodes(names: DataFrame, name: str = "name") -> DataFrame:
     return names.select(F.col(name).alias("name")).where(F.col("name").isNotNull()).distinct().mapInArrow(run, "name string, node string, line string, family string")
 
 
-# --- parameters of the similarity: what a number of typing errors leaves of it ---
-BY_EDITS = (1.0, 0.85, 0.7, 0.45, 0.3)
-
-
-def similar_nodes(nodes: DataFrame, threshold: float = 0.25, n: int = 3, typos: int = 4) -> DataFrame:
+def similar_nodes(nodes: DataFrame, threshold: float = 0.25, n: int = 3, typos: float = 0.25) -> DataFrame:
     """``(a, b, cosine, edits, s)`` with a < b for all nodes of one line whose families have a cosine of ``threshold``
-    or more and lie at most ``typos`` edits apart, in the order of words that suits best; ``s`` is the similarity that
-    clustering uses. No pair is capped, and none is dropped before its cosine is known."""
+    or more. ``s``, the square root of the cosine, is the similarity that clustering and linkage use. An exact check
+    follows: pairs more than ``typos`` edits per letter (4 at most) apart, in the order of words that suits best, are no
+    variants of one another. No pair is capped, and none is dropped before its cosine is known."""
     d = cut(nodes.select("node", "line", "family").distinct().withColumn("id", F.xxhash64("node")))
     # n-grams lie within words, so their order says nothing
     word = d.select("id", "line", F.explode(F.split("family", " ")).alias("word")).select("id", "line", F.concat(F.lit("#"), "word", F.lit("#")).alias("p"))
@@ -67,15 +107,19 @@ def similar_nodes(nodes: DataFrame, threshold: float = 0.25, n: int = 3, typos:
 
     def check(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in it:
-            edits = [distance_in_any_order(p, q, typos) for p, q in zip(x.column("fa").to_pylist(), x.column("fb").to_pylist())]
-            s = [BY_EDITS[e] if e < len(BY_EDITS) else 0.0 for e in edits]
+            edits, s = [], []
+            for p, q, c in zip(*(x.column(k).to_pylist() for k in ("fa", "fb", "cosine"))):
+                most = min(4, int(typos * min(len(p.replace(" ", "")), len(q.replace(" ", "")))))
+                e = distance_in_any_order(p, q, most)
+                edits.append(e if e <= most else None)
+                s.append(min(c, 1.0) ** 0.5)
             yield pa.RecordBatch.from_arrays([x.column("a"), x.column("b"), x.column("cosine"), pa.array(edits, pa.int32()), pa.array(s, pa.float64())], ["a", "b", "cosine", "edits", "s"])
 
     ordered = both.where(compatible).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cosine", "fa", "fb")
-    return ordered.mapInArrow(check, "a string, b string, cosine double, edits int, s double").where(F.col("edits") <= typos)
+    return ordered.mapInArrow(check, "a string, b string, cosine double, edits int, s double").where(F.col("edits").isNotNull())
 
 
-def average_linkage(edges: DataFrame, threshold: float = 0.38) -> DataFrame:
+def average_linkage(edges: DataFrame, threshold: float = 0.3) -> DataFrame:
     """``(node, cluster)`` for every node of ``edges (a, b, s)``, a < b. Pairs without an edge count as similarity 0.
     Rounds go on until no pair is left to merge."""
     e = cut(edges.select("a", "b", "s"))
@@ -102,7 +146,7 @@ def average_linkage(edges: DataFrame, threshold: float = 0.38) -> DataFrame:
         )
 
 
-def name_clusters(names: DataFrame, name: str = "name", cosine: float = 0.25, linkage: float = 0.38) -> DataFrame:
+def name_clusters(names: DataFrame, name: str = "name", cosine: float = 0.25, linkage: float = 0.3) -> DataFrame:
     """``(name, cluster)`` for every distinct name; placeholders and null names have no row, an unmatched name is a
     cluster of its own."""
     nodes = cut(name_nodes(names, name))
