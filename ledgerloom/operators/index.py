@@ -33,20 +33,6 @@ def compose(base: DataFrame, parts: dict[str, DataFrame], key: str) -> DataFrame
     return reduce(lambda a, b: a.join(b, key, "left"), named, base)
 
 
-def moments(df: DataFrame, cols: list[str]) -> DataFrame:
-    """One row per column: n, bias-corrected skewness and excess kurtosis, min, median, 97.5 % point, max, and whether
-    both limits are passed. Skewness needs three values, kurtosis four; a constant column has neither."""
-    aggs = []
-    for c in cols:
-        x = number(c)
-        aggs += [F.struct(F.lit(c).alias("column"), F.count(x).alias("n"), F.skewness(x).alias("g1"), F.kurtosis(x).alias("g2"), F.min(x).alias("min"), F.percentile(x, 0.5).alias("p50"), F.percentile(x, 0.975).alias("p975"), F.max(x).alias("max")).alias(f"_{len(aggs)}")]
-    r = df.agg(*aggs).select(F.explode(F.array(*(f"_{i}" for i in range(len(aggs))))).alias("r")).select("r.*")
-    n, flat = F.col("n").cast("double"), F.isnan("g1") | F.col("g1").isNull()
-    skew = F.when(~flat & (n >= 3), F.col("g1") * F.sqrt(n * (n - 1)) / (n - 2))
-    kurt = F.when(~flat & (n >= 4), (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col("g2") + 6))
-    return r.select("column", "n", skew.alias("skew"), kurt.alias("kurtosis"), F.coalesce((F.abs(skew) > SKEW_LIMIT) & (kurt > KURTOSIS_LIMIT), F.lit(False)).alias("flag"), "min", "p50", "p975", "max")
-
-
 def sqrt_skewed(df: DataFrame, cols: list[str]) -> tuple[DataFrame, list[str]]:
     """Square roots of the columns that pass both limits, and which those are. A negative value raises."""
     bad = [r["column"] for r in moments(df, cols).where("flag").collect()]  # one row per column
@@ -58,12 +44,15 @@ def sqrt_skewed(df: DataFrame, cols: list[str]) -> tuple[DataFrame, list[str]]:
 
 def normalised(df: DataFrame, cols: list[str], how: str) -> DataFrame:
     """``zscore``, ``minmax`` or ``rankscore`` of the columns. A column without spread (or, for ranks, with at most
-    one value) becomes 0 on every row, nulls included; otherwise nulls stay."""
-    if how == "rankscore":
-        df = cut(df)  # every column's ranking reads it
-        for c in cols:
-            df = _rankscore(df, c)
+    one value) becomes 0 on every row, nulls included; otherwise nulls stay. Flags stay as they are."""
+    kinds = dict(df.dtypes)
+    binary = [c for c in cols if c.endswith("_flag")]
+    other = df.agg(*(F.count_if(~number(c).isin(0.0, 1.0)).alias(c) for c in binary)).first() if binary else {}
+    cols = [c for c in cols if not is_passthrough(c, kinds[c], c in binary and not other[c])]
+    if not cols:
         return df
+    if how == "rankscore":
+        return _rankscores(df, cols)
     stats = df.agg(*(f(number(c)).alias(f"_{n}_{c}") for c in cols for n, f in ((("avg", F.avg), ("sd", F.stddev_samp)) if how == "zscore" else (("lo", F.min), ("hi", F.max)))))
     j = df.crossJoin(F.broadcast(stats))  # one row
     out = {}
@@ -88,18 +77,66 @@ def counted_before(per: DataFrame, value: str, n: str, descending: bool = False)
     return parts.withColumn("before", own).join(F.broadcast(offset), "_p").withColumn("before", F.col("before") + F.col("_o")).drop("_p", "_o")
 
 
+def melted(df: DataFrame, cols: list[str]) -> DataFrame:
+    """``(key, value)``: the values of all columns in long form, missing ones left out."""
+    parts = F.array(*(F.struct(F.lit(c).alias("key"), number(c).alias("value")) for c in cols))
+    return df.select(F.explode(parts).alias("p")).select("p.*").where("value IS NOT NULL")
+
+
+def ordered(long: DataFrame) -> DataFrame:
+    """``(key, value, k, before, n)`` of the distinct values of each key of ``long (key, value)``: how often a value
+    occurs, how many smaller ones its key has, how many it has in all. One range-partitioned pass serves all keys, and
+    equal values are counted before it, so no task holds a key."""
+    per = long.groupBy("key", "value").agg(F.count("*").alias("k")).select(F.struct("key", "value").alias("_at"), "k")
+    at = cut(counted_before(per, "_at", "k").select("_at.key", "_at.value", "k", "before"))
+    return at.join(at.groupBy("key").agg(F.min("before").alias("_first"), F.sum("k").alias("n")), "key").select("key", "value", "k", (F.col("before") - F.col("_first")).alias("before"), "n")
+
+
+def quantiles(long: DataFrame, probs: dict[str, float]) -> DataFrame:
+    """``(key, <name> ...)``: exact quantiles of each key of ``long (key, value)``, interpolated between neighbours. Only the
+    values on either side of a quantile's place are picked from the ordered ones."""
+    places = [F.struct(F.lit(n).alias("name"), ((F.col("n") - 1) * p).alias("place")) for n, p in probs.items()]
+    hit = ordered(long).select("key", "value", "k", "before", F.explode(F.array(*places)).alias("q"))
+    lo, hi = F.floor("q.place"), F.ceil("q.place")
+    covers = lambda i: (F.col("before") <= i) & (i < F.col("before") + F.col("k"))
+    hit = hit.where(covers(lo) | covers(hi))
+    g = hit.groupBy("key", "q.name").agg(F.max(F.when(covers(lo), F.col("value"))).alias("lo"), F.max(F.when(covers(hi), F.col("value"))).alias("hi"), F.max(F.col("q.place") - lo).alias("f"))
+    value = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("f")
+    return g.groupBy("key").agg(*(F.max(F.when(F.col("name") == n, value)).alias(n) for n in probs))
+
+
 def average_ranks(df: DataFrame, c: str) -> DataFrame:
     """``(value, rank, n)`` of the column's distinct values: ties share the mean rank."""
-    per = df.select(number(c).alias("value")).where(F.col("value").isNotNull()).groupBy("value").agg(F.count("*").alias("k"))
-    b = counted_before(per, "value", "k")
-    return b.crossJoin(F.broadcast(b.agg(F.sum("k").alias("n")))).select("value", (F.col("before") + (F.col("k") + 1) / 2.0).alias("rank"), "n")
+    return ordered(melted(df, [c])).select("value", (F.col("before") + (F.col("k") + 1) / 2.0).alias("rank"), "n")
+
+
+def _rankscores(df: DataFrame, cols: list[str]) -> DataFrame:
+    """All columns are ranked in one pass; each then finds its values' ranks."""
+    df = cut(df)
+    at = cut(ordered(melted(df, cols)))
+    sizes = {r["key"]: r["n"] for r in at.groupBy("key").agg(F.max("n").alias("n")).collect()}  # one row per column
+    for c in cols:
+        if sizes.get(c, 0) <= 1:
+            df = df.withColumn(c, F.lit(0.0))
+            continue
+        r = at.where(F.col("key") == c).select(F.col("value").alias("_v"), ((F.col("before") + (F.col("k") - 1) / 2.0) / (F.col("n") - 1)).alias("_s"))
+        names = df.columns
+        df = df.join(r, number(c) == F.col("_v"), "left").select(*(F.col("_s").alias(c) if x == c else F.col(x) for x in names))
+    return df
 
 
-def _rankscore(df: DataFrame, c: str) -> DataFrame:
-    r = average_ranks(df, c).withColumnsRenamed({"value": "_v", "rank": "_r", "n": "_n"})
-    n = F.broadcast(df.agg(F.count(number(c)).alias("_all")))
-    j = df.join(r, number(c) == F.col("_v"), "left").crossJoin(n)
-    return j.withColumn(c, F.when(F.col("_all") <= 1, 0.0).otherwise((F.col("_r") - 1) / F.nullif(F.col("_all") - 1, F.lit(0)))).select(*df.columns)
+def moments(df: DataFrame, cols: list[str]) -> DataFrame:
+    """One row per column: n, bias-corrected skewness and excess kurtosis, min, median, 97.5 % point, max, and whether
+    both limits are passed. Skewness needs three values, kurtosis four; a constant column has neither."""
+    long = melted(df, cols)
+    r = long.groupBy("key").agg(F.count("value").alias("n"), F.skewness("value").alias("g1"), F.kurtosis("value").alias("g2"), F.min("value").alias("min"), F.max("value").alias("max"))
+    every = df.sparkSession.createDataFrame([(c,) for c in cols], "key string")
+    q = quantiles(long, {"p50": 0.5, "p975": 0.975})
+    r = F.broadcast(every).join(r, "key", "left").join(q, "key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    n, flat = F.col("n").cast("double"), F.isnan("g1") | F.col("g1").isNull()
+    skew = F.when(~flat & (n >= 3), F.col("g1") * F.sqrt(n * (n - 1)) / (n - 2))
+    kurt = F.when(~flat & (n >= 4), (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col("g2") + 6))
+    return r.select(F.col("key").alias("column"), "n", skew.alias("skew"), kurt.alias("kurtosis"), F.coalesce((F.abs(skew) > SKEW_LIMIT) & (kurt > KURTOSIS_LIMIT), F.lit(False)).alias("flag"), "min", "p50", "p975", "max")
 
 
 def dimension_score(values: list[Column], weights: list[Column] | None = None) -> tuple[Column, Column]:
@@ -132,9 +169,9 @@ def competition_rank(df: DataFrame, c: str, out: str = "rank") -> DataFrame:
     return df.join(ranks, number(c) == F.col("_v"), "left").drop("_v")
 
 
-def is_passthrough(name: str, kind: str) -> bool:
-    """Flags that normalising leaves alone: booleans, ``_flag`` columns and ``has_`` features."""
-    return kind == "boolean" or name.endswith("_flag") or name.split("__")[-1].startswith("has_")
+def is_passthrough(name: str, kind: str, binary: bool = False) -> bool:
+    """Flags that normalising leaves alone: booleans, ``_flag`` columns of zeros and ones, ``has_`` features."""
+    return kind == "boolean" or (name.endswith("_flag") and binary) or name.split("__")[-1].startswith("has_")
 
 
 def rank_shift(df: DataFrame, key: str, main: str, variant: str) -> DataFrame:

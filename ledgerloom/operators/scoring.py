@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import best_label, text_hash
+from ledgerloom.session import cut
 
 TONE = [("pos", "positive"), ("neu", "neutral"), ("neg", "negative")]
 OUTLOOK = [("p_specific", "specific"), ("p_nonspecific", "nonspecific"), ("p_not", "not")]
@@ -27,6 +29,24 @@ def lexicon_tone(c: Column) -> tuple[Column, Column, Column]:
     return pos / total, F.lit(1.0) / total, neg / total
 
 
+# --- fixed values: words of the stand-in for the forward-looking scorer ---
+AHEAD = "will shall expect expects anticipate anticipates plan plans intend intends may might could should would believe estimate estimates target forecast outlook".split()
+
+
+def lexicon_outlook(c: Column) -> tuple[Column, Column, Column]:
+    """(p_specific, p_nonspecific, p_not): words that look ahead, with figures or without them; a deterministic
+    stand-in behind the model's interface."""
+    words = F.split(F.lower(c), "[^a-z]+")
+    ahead = F.size(F.filter(words, lambda w: w.isin(*AHEAD))).cast("double")
+    figures = F.regexp_count(c, F.lit("[0-9]+")).cast("double")
+    look = ahead / (ahead + 1.0)
+    share = figures / (figures + 1.0)
+    return look * share, look * (1 - share), 1 - look
+
+
+_MODELS: dict = {}
+
+
 def split_hits(sentences: DataFrame, cache: DataFrame, text: str = "sentence") -> tuple[DataFrame, DataFrame]:
     """Sentences with cached scores, and the distinct sentences the cache lacks. Copies are scored once."""
     s = sentences.withColumn("hash", text_hash(F.col(text)))
@@ -34,10 +54,12 @@ def split_hits(sentences: DataFrame, cache: DataFrame, text: str = "sentence") -
 
 
 def score_missing(misses: DataFrame, load: Callable[[], Callable[[list[str]], list[dict]]], columns: list[str], text: str = "sentence", batch: int = 32) -> DataFrame:
-    """Scores of a model over the misses. ``load`` runs once per worker process and returns the scorer of a batch."""
+    """Scores of a model over the misses. ``load`` returns the scorer of a batch; it runs once per worker process,
+    whatever number of tasks that process gets (functions of one module and name are one loader)."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = load()
+        name = (load.__module__, load.__qualname__, getattr(load, "__code__", None))
+        model = _MODELS[name] if name in _MODELS else _MODELS.setdefault(name, load())
         for pdf in it:
             rows = []
             for i in range(0, len(pdf), batch):
@@ -55,14 +77,15 @@ def with_labels(scored: DataFrame, labels: list[tuple[str, str]], fallback: str)
 
 
 def append_cache(scores: DataFrame, path: str) -> None:
-    """Add scores to a parquet cache; what is there already is not written again."""
+    """Add scores to a parquet cache; what is there already is not written again. The new rows are checkpointed before the
+    cache is touched, so a job that fails half way and runs again adds the rest only."""
     try:
         have = scores.sparkSession.read.parquet(path).select("hash")
         scores = scores.join(have, "hash", "left_anti")
-    except Exception as e:  # first write
+    except AnalysisException as e:  # first write
         if "PATH_NOT_FOUND" not in str(e):
             raise
-    scores.write.mode("append").parquet(path)
+    cut(scores.dropDuplicates(["hash"])).write.mode("append").parquet(path)
 
 
 def dimension_features(filings: DataFrame, totals: DataFrame, scored: DataFrame, item: str, items: tuple[str, ...] = ("item_1", "item_1a", "item_7"), floor: int = 25) -> DataFrame:

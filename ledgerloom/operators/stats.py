@@ -7,10 +7,11 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.index import average_ranks, number
+from ledgerloom.operators.index import average_ranks, melted, number, quantiles
 
 
 def variance_components(df: DataFrame, dims: list[str], group: str, value: str) -> DataFrame:
@@ -20,8 +21,10 @@ def variance_components(df: DataFrame, dims: list[str], group: str, value: str)
     g = df.where(x.isNotNull()).groupBy(*dims, group).agg(F.count(x).alias("n"), F.avg(x).alias("m"), F.coalesce(F.var_pop(x), F.lit(0.0)).alias("v"))
     s = g.groupBy(*dims).agg(
         F.count("*").alias("groups"), F.sum("n").alias("N"), F.sum(F.col("n") * F.col("n")).alias("N2"), F.sum(F.col("n") * F.col("m")).alias("S"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("Q"),
-        F.sum(F.col("n") * F.col("v")).alias("SSW"), F.median("n").alias("median_n"),
+        F.sum(F.col("n") * F.col("v")).alias("SSW"),
     )
+    med = quantiles(g.select(F.struct(*dims).alias("key"), F.col("n").cast("double").alias("value")), {"median_n": 0.5}).select("key.*", "median_n")
+    s = s.join(med, dims)
     ssb = F.col("Q") - F.col("S") * F.col("S") / F.col("N")
     msb, msw = F.try_divide(ssb, F.col("groups") - 1), F.try_divide(F.col("SSW"), F.col("N") - F.col("groups"))
     n0 = F.try_divide(F.col("N") - F.col("N2") / F.col("N"), F.col("groups") - 1)
@@ -46,15 +49,23 @@ def collinear(corr: DataFrame, threshold: float = 0.9) -> DataFrame:
 
 def covariance(df: DataFrame, cols: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
     """Mean, covariance (n - 1) and number of complete rows, from one aggregate."""
-    full = df.select(*(number(c).alias(f"x{i}") for i, c in enumerate(cols))).dropna()
     p = len(cols)
+    full = df.select(*(number(c).alias(f"x{i}") for i, c in enumerate(cols))).dropna()
     mid = full.agg(F.count("*").alias("n"), *(F.avg(f"x{i}").alias(f"m{i}") for i in range(p))).first()
     if not mid["n"]:
         return np.full(p, np.nan), np.full((p, p), np.nan), 0
-    m = [mid[f"m{i}"] for i in range(p)]
-    got = full.agg(*(F.sum((F.col(f"x{i}") - m[i]) * (F.col(f"x{j}") - m[j])).alias(f"c{i}_{j}") for i in range(p) for j in range(i, p))).first()
-    c = np.array([[got[f"c{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)]) / max(mid["n"] - 1, 1)
-    return np.array(m), c, mid["n"]
+    m = np.array([mid[f"m{i}"] for i in range(p)])
+
+    def products(it):
+        total = np.zeros((p, p))
+        for b in it:
+            x = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(p)], 1) - m if len(b) else np.zeros((0, p))
+            total += x.T @ x
+        yield pa.RecordBatch.from_pydict({"i": np.arange(p * p), "v": total.ravel()})
+
+    # every partition sends one matrix
+    got = full.mapInArrow(products, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
+    return m, np.array([r["v"] for r in got]).reshape(p, p) / max(mid["n"] - 1, 1), mid["n"]
 
 
 def _correlation(c: np.ndarray) -> np.ndarray:
@@ -130,12 +141,37 @@ def pca(df: DataFrame, cols: list[str], top: int = 3) -> pd.DataFrame:
     return pd.DataFrame(rows)
 
 
+def t_tail(t: float, dof: float) -> float:
+    """Two-sided tail of Student's t: the regularised incomplete beta function I(dof / (dof + t²); dof / 2, 1 / 2)."""
+    x, a, b = dof / (dof + t * t), dof / 2, 0.5
+    if x >= 1:
+        return 1.0
+
+    def fraction(x: float, a: float, b: float) -> float:
+        c, d = 1.0, 1 / ((1 - (a + b) * x / (a + 1)) or 1e-300)
+        h = d
+        for i in range(1, 500):
+            for num in (i * (b - i) * x / ((a + 2 * i - 1) * (a + 2 * i)), -(a + i) * (a + b + i) * x / ((a + 2 * i) * (a + 2 * i + 1))):
+                d = 1 / ((1 + num * d) or 1e-300)
+                c = (1 + num / c) or 1e-300
+                h *= c * d
+            if abs(c * d - 1) < 1e-15:
+                break
+        return h
+
+    front = math.exp(a * math.log(x) + b * math.log(1 - x) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)) if 0 < x else 0.0
+    return front * fraction(x, a, b) / a if x < (a + 1) / (a + b + 2) else 1 - front * fraction(1 - x, b, a) / b
+
+
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    """One row: Spearman correlation over the rows that have both, and their number; null under three."""
+    """One row: Spearman correlation over the rows that have both, its p by Student's t, and their number; null under
+    three."""
     j = df.select(number(a).alias("x"), number(b).alias("y")).dropna()
     rx, ry = (average_ranks(j, c).select(F.col("value").alias(f"_{c}"), F.col("rank").alias(f"r{c}")) for c in "xy")
-    r = j.join(rx, F.col("x") == F.col("_x")).join(ry, F.col("y") == F.col("_y")).agg(F.corr("rx", "ry").alias("rho"), F.count("*").alias("n"))
-    return r.select(F.when(F.col("n") >= 3, F.col("rho")).alias("rho"), "n")
+    r = j.join(rx, F.col("x") == F.col("_x")).join(ry, F.col("y") == F.col("_y")).agg(F.corr("rx", "ry").alias("rho"), F.count("*").alias("n")).first()
+    rho, n = (r["rho"], r["n"]) if r["n"] >= 3 and r["rho"] is not None and not math.isnan(r["rho"]) else (None, r["n"])
+    p = None if rho is None else 0.0 if abs(rho) >= 1 else t_tail(rho * math.sqrt((n - 2) / (1 - rho * rho)), n - 2)
+    return df.sparkSession.createDataFrame([(rho, p, n)], "rho double, p double, n long")
 
 
 def kendall(df: DataFrame, a: str, b: str, block: int = 2000) -> DataFrame:
@@ -169,9 +205,12 @@ def kendall(df: DataFrame, a: str, b: str, block: int = 2000) -> DataFrame:
 
 
 def describe(df: DataFrame, cols: list[str]) -> DataFrame:
-    """count, mean, std, min, quartiles and max of each column, exact."""
-    parts = [F.struct(F.lit(c).alias("column"), F.count(x := number(c)).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.percentile(x, 0.25).alias("p25"), F.percentile(x, 0.5).alias("p50"), F.percentile(x, 0.75).alias("p75"), F.max(x).alias("max")).alias(f"_{i}") for i, c in enumerate(cols)]
-    return df.agg(*parts).select(F.explode(F.array(*(f"_{i}" for i in range(len(cols))))).alias("r")).select("r.*")
+    """count, mean, std, min, quartiles and max of each column, exact; a column without values has a count of 0."""
+    long = melted(df, cols)
+    r = long.groupBy("key").agg(F.count("*").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    every = F.broadcast(df.sparkSession.createDataFrame([(c,) for c in cols], "key string"))
+    j = every.join(r, "key", "left").join(quantiles(long, {"p25": 0.25, "p50": 0.5, "p75": 0.75}), "key", "left")
+    return j.select(F.col("key").alias("column"), F.coalesce("count", F.lit(0)).alias("count"), "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def classification(df: DataFrame, predicted: str, gold: str) -> DataFrame:

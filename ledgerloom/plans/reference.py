@@ -12,7 +12,8 @@ from ledgerloom.functions import names as N
 from ledgerloom.functions import text as T
 from ledgerloom.operators import index as I
 from ledgerloom.operators import resolve as R
-from ledgerloom.operators import sampling, scoring, sections, shares, stats
+from ledgerloom.operators import dimensions as D
+from ledgerloom.operators import inputs, sampling, scoring, sections, shares, stats
 from ledgerloom.session import read_table
 from ledgerloom.plans import filing_sql
 from ledgerloom.sources import lists
@@ -125,10 +126,12 @@ def _demoted(idn: str, ranks: list[str]) -> str:
 SELECT rank, name, CASE WHEN coalesce(n > 1 AND (s > lo OR lo = hi), false) THEN NULL ELSE {idn} END AS {idn}, CASE WHEN coalesce(n > 1 AND (s > lo OR lo = hi), false) THEN 'ambiguous' ELSE method END AS method FROM r LEFT JOIN b ON {idn} = bid"""
 
 
-_ETO_SQL = f"""WITH {_FIRMS}, {_maps((_tick('ticker'), 'eto_id', 'eto_ticker'), (_key('eto_name'), 'eto_id', 'eto_core'), (_key('alias'), 'eto_id', 'eto_alias'))},
-c AS (SELECT rank, name, coalesce(m0.v, m1.v, m2.v) AS eto_id, CASE WHEN m0.v IS NOT NULL THEN 'ticker' WHEN m1.v IS NOT NULL THEN 'name' WHEN m2.v IS NOT NULL THEN 'alias'
+_CORE_IDS = "WHERE eto_id IN (SELECT eto_id FROM eto_core)"
+_HAND = "CASE name " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in inputs.MANUAL_ETO.items()) + " END"
+_ETO_SQL = f"""WITH {_FIRMS}, {_maps((_tick('ticker'), 'eto_id', f'eto_ticker {_CORE_IDS}'), (_key('eto_name'), 'eto_id', 'eto_core'), (_key('alias'), 'eto_id', f'eto_alias {_CORE_IDS}'))},
+c AS (SELECT rank, name, coalesce({_HAND}, m0.v, m1.v, m2.v) AS eto_id, CASE WHEN {_HAND} IS NOT NULL THEN 'manual' WHEN m0.v IS NOT NULL THEN 'ticker' WHEN m1.v IS NOT NULL THEN 'name' WHEN m2.v IS NOT NULL THEN 'alias'
   WHEN coalesce(m0.amb, false) OR coalesce(m1.amb, false) OR coalesce(m2.amb, false) THEN 'ambiguous' ELSE 'unmatched' END AS method
-  FROM firms LEFT JOIN m0 ON tick = m0.k LEFT JOIN m1 ON name = m1.k LEFT JOIN m2 ON name = m2.k), {_demoted('eto_id', ['ticker', 'name', 'alias'])}"""
+  FROM firms LEFT JOIN m0 ON tick = m0.k LEFT JOIN m1 ON name = m1.k LEFT JOIN m2 ON name = m2.k), {_demoted('eto_id', ['manual', 'ticker', 'name', 'alias'])}"""
 
 
 def _firms(spark, d):
@@ -136,12 +139,7 @@ def _firms(spark, d):
 
 
 def _eto(spark, d):
-    e, t, a = (_t(spark, d, x) for x in ("eto_core", "eto_ticker", "eto_alias"))
-    passes = [
-        ("ticker", F.col("tick"), R.key_values(t, N.ticker_form(F.col("ticker")), F.col("eto_id"))), ("name", F.col("name"), R.key_values(e, N.company_key(F.col("eto_name")), F.col("eto_id"))),
-        ("alias", F.col("name"), R.key_values(a, N.company_key(F.col("alias")), F.col("eto_id"))),
-    ]
-    return R.demote_duplicates(R.cascade(_firms(spark, d), passes, "eto_id", "method"), "eto_id", "method", ["ticker", "name", "alias"])
+    return inputs.match_eto(_firms(spark, d), *(_t(spark, d, x) for x in ("eto_core", "eto_ticker", "eto_alias")))
 
 
 @query(_ETO_SQL)
@@ -173,25 +171,44 @@ def wrds_match(spark, d):
     return _wrds(spark, d).select("rank", "name", "gvkey", "method")
 
 
-_MATCHED = f"m AS ({_ETO_SQL}), core AS (SELECT DISTINCT * FROM eto_core)"
+_FY = """fy AS (SELECT gvkey, conm, CASE WHEN isnan(emp) THEN NULL ELSE emp END * 1000e0 AS employees_wrds FROM (
+  SELECT *, row_number() OVER (PARTITION BY gvkey ORDER BY (16 * (coalesce(upper(trim(indfmt)), '') = 'INDL')::INT + 8 * (coalesce(upper(trim(curcd)), '') = 'USD')::INT + 4 * (coalesce(upper(trim(datafmt)), '') = 'STD')::INT
+    + 2 * (coalesce(upper(trim(consol)), '') = 'C')::INT + (emp IS NOT NULL AND NOT coalesce(isnan(emp), false))::INT) DESC, CASE WHEN isnan("at") THEN NULL ELSE "at" END DESC NULLS LAST, loaded_at DESC, record_id) AS r
+  FROM (SELECT DISTINCT * FROM fundamentals WHERE fyear = 2024)) WHERE r = 1)"""
 
 
-@query(
-    f"""WITH {_MATCHED}
-SELECT m.rank, m.name, m.eto_id, m.method, round(ai_publications / CASE WHEN total_publications > 0 THEN total_publications END, 6) AS ai_publication_share, round(ai_patents / CASE WHEN total_patents > 0 THEN total_patents END, 6) AS ai_patent_share,
-  CASE WHEN m.eto_id IS NULL THEN 'unmatched' WHEN total_publications IS NULL OR total_publications <= 0 THEN 'zero_denominator' END AS ai_publication_share_reason,
-  CASE WHEN m.eto_id IS NULL THEN 'unmatched' WHEN total_patents IS NULL OR total_patents <= 0 THEN 'zero_denominator' END AS ai_patent_share_reason,
-  (ai_publications / CASE WHEN total_publications > 0 THEN total_publications END) IS NOT NULL AND (ai_patents / CASE WHEN total_patents > 0 THEN total_patents END) IS NOT NULL AS technology_complete
-FROM m LEFT JOIN core ON m.eto_id = core.eto_id"""
-)
+def _share_sql(name: str, num: str, den: str, matched: str) -> str:
+    return f"{num} / CASE WHEN {den} > 0 THEN {den} END AS {name}, CASE WHEN NOT ({matched}) THEN 'unmatched' WHEN {den} IS NULL OR {den} <= 0 THEN 'zero_denominator' END AS {name}_reason"
+
+
+_SHARES = {**inputs.TECHNOLOGY, **inputs.PEOPLE}
+_INPUTS_SQL = f"""m AS ({_ETO_SQL}), g AS (SELECT rank, gvkey, method AS wrds_match_method FROM ({_WRDS_SQL})), core AS (SELECT DISTINCT * FROM eto_core), {_FY},
+inp AS (SELECT m.rank, m.name, m.eto_id, m.method, g.gvkey, wrds_match_method, employees_wrds, {', '.join(_share_sql(n, a, b, 'm.eto_id IS NOT NULL' + (' AND g.gvkey IS NOT NULL' if n in inputs.PEOPLE else '')) for n, (a, b) in _SHARES.items())}
+  FROM m JOIN g USING (rank) LEFT JOIN core ON m.eto_id = core.eto_id LEFT JOIN fy ON g.gvkey = fy.gvkey)"""
+
+
+def _inputs(spark, d):
+    fy = lists.fundamentals_year(_t(spark, d, "fundamentals").distinct()).select("gvkey", inputs.headcount(F.col("emp")).alias("employees_wrds"))
+    wrds = _wrds(spark, d).select("rank", "gvkey", F.col("method").alias("wrds_match_method")).join(fy, "gvkey", "left")
+    return inputs.structured_inputs(_firms(spark, d).select("rank", "name"), _eto(spark, d).select("rank", "eto_id", "method"), _t(spark, d, "eto_core"), wrds, "rank")
+
+
+@query(f"WITH {_INPUTS_SQL} SELECT rank, name, eto_id, method, gvkey, wrds_match_method, employees_wrds, " + ", ".join(f"round({n}, 6) AS {n}, {n}_reason" for n in _SHARES) + ", ai_publication_share IS NOT NULL AND ai_patent_share IS NOT NULL AS technology_complete, tech_team1_worker_share IS NOT NULL AND ai_worker_share IS NOT NULL AS people_complete FROM inp")
 def structured_inputs(spark, d):
-    j = _eto(spark, d).join(_t(spark, d, "eto_core").distinct(), "eto_id", "left")
-    pub, pat = shares.ratio(F.col("ai_publications"), F.col("total_publications")), shares.ratio(F.col("ai_patents"), F.col("total_patents"))
-    matched = F.col("eto_id").isNotNull()
-    return j.select(
-        "rank", "name", "eto_id", "method", F.round(pub, 6).alias("ai_publication_share"), F.round(pat, 6).alias("ai_patent_share"), shares.reason(matched, F.col("total_publications")).alias("ai_publication_share_reason"),
-        shares.reason(matched, F.col("total_patents")).alias("ai_patent_share_reason"), (pub.isNotNull() & pat.isNotNull()).alias("technology_complete"),
-    )
+    flags = ["technology_complete", "people_complete"]
+    return _inputs(spark, d).select("rank", "name", "eto_id", "method", "gvkey", "wrds_match_method", "employees_wrds", *_r(*_SHARES), *(f"{n}_reason" for n in _SHARES), *flags)
+
+
+@query(f"WITH {_INPUTS_SQL} SELECT DISTINCT name AS company_name, method, eto_name, wrds_match_method, f.conm FROM inp JOIN (SELECT DISTINCT eto_id, eto_name FROM eto_core) e ON inp.eto_id = e.eto_id JOIN (SELECT DISTINCT gvkey, conm FROM fundamentals) f ON inp.gvkey = f.gvkey")
+def match_report(spark, d):
+    x = _inputs(spark, d).withColumnRenamed("name", "company_name")
+    return inputs.match_report(x, _t(spark, d, "eto_core"), _t(spark, d, "fundamentals")).distinct()
+
+
+@query(f"WITH {_FY}, u AS (SELECT gvkey, min(conm) AS company FROM fundamentals GROUP BY 1) SELECT company, fy.gvkey, fy.conm AS wrds_conm, employees_wrds, CASE WHEN fy.gvkey IS NULL THEN 'unmatched' ELSE 'gvkey' END AS wrds_match_method FROM u LEFT JOIN fy ON u.gvkey = fy.gvkey")
+def gvkey_match(spark, d):
+    u = _t(spark, d, "fundamentals").groupBy("gvkey").agg(F.min("conm").alias("company"))
+    return inputs.match_gvkey(u, lists.fundamentals_year(_t(spark, d, "fundamentals").distinct()).select("gvkey", "conm", "emp"))
 
 
 @query(
@@ -250,13 +267,16 @@ def _sec(spark, d):
 
 
 @query(
-    f"""WITH t AS (SELECT accession_number, item, count(*) FILTER (WHERE {_VALID}) AS n FROM (SELECT accession_number, item, trim(unnest({_SPLIT})) AS s FROM {_SEC}) GROUP BY ALL)
-SELECT item, count(*) AS n_filings, sum((n >= 5)::INT)::BIGINT AS n_parsed, sum(n)::BIGINT AS n_sentences FROM t GROUP BY item"""
+    f"""WITH t AS (SELECT accession_number, item, count(*) FILTER (WHERE {_VALID}) AS n FROM (SELECT accession_number, item, trim(unnest({_SPLIT})) AS s FROM {_SEC}) GROUP BY ALL),
+w AS (SELECT accession_number, min(n) AS lo, count(*) AS k FROM t GROUP BY 1), u AS (SELECT * FROM t UNION ALL SELECT accession_number, 'all', CASE WHEN k = 3 THEN lo ELSE 0 END FROM w)
+SELECT item, count(*) AS n_filings, sum((n >= 25)::INT)::BIGINT AS n_parsed, sum((n >= 5)::INT)::BIGINT AS n_with_five, sum(n)::BIGINT AS n_sentences FROM u GROUP BY item"""
 )
 def parse_coverage(spark, d):
     s = _sec(spark, d).select("accession_number", "item", F.explode(T.rough_sentences(F.col("text"))).alias("p")).select("accession_number", "item", F.trim("p").alias("s"))
     n = s.groupBy("accession_number", "item").agg(F.sum(T.is_sentence(F.col("s")).cast("int")).alias("n"))
-    return n.groupBy("item").agg(F.count("*").alias("n_filings"), F.sum((F.col("n") >= 5).cast("int")).alias("n_parsed"), F.sum("n").alias("n_sentences"))
+    every = n.groupBy("accession_number").agg(F.min("n").alias("lo"), F.count("*").alias("k")).select("accession_number", F.lit("all").alias("item"), F.when(F.col("k") == len(sections.ITEMS), F.col("lo")).otherwise(0).alias("n"))
+    over = lambda k: F.sum((F.col("n") >= k).cast("int"))
+    return n.unionByName(every).groupBy("item").agg(F.count("*").alias("n_filings"), over(25).alias("n_parsed"), over(5).alias("n_with_five"), F.sum("n").alias("n_sentences"))
 
 
 _GATES = filing_sql.gates("text", "item")
@@ -294,17 +314,33 @@ def duplication_audit(spark, d):
     return sections.duplication_audit(_sec(spark, d))
 
 
-@query()
+_LETTERS = "length(regexp_replace({0}, '[^\\p{{L}}]', '', 'g'))"
+_TIDY = (
+    "trim(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace({0}, '[\\s\\x{{a0}}]+', ' ', 'g')), '^[•●▪·⁌⁍⁃*]+ *', ''), ' *[•●▪·⁌⁍⁃] *', '. ', 'g'), '([.] *){{2,}}', '. ', 'g'))"
+)
+_KEPT = (
+    f"b <> '' AND NOT ({_LETTERS.format('b')} < 5 OR length(regexp_replace(b, '[^\\p{{Lu}}]', '', 'g')) > 0.7 * {_LETTERS.format('b')}) AND NOT (length(b) = 0 OR {_LETTERS.format('b')} < 0.5 * length(b) OR "
+    "(length(regexp_replace(b, '[^0-9]', '', 'g')) > 0.15 * length(b) AND len(regexp_extract_all(b, '[$(]?[0-9][0-9,.]*%?[)]?')) >= 3))"
+)
+_BLOCKS_SQL = f"""(SELECT section_id, unnest(bs) AS block, unnest(range(len(bs))) AS block_no FROM (SELECT section_id, CASE WHEN len(ps) = 0 THEN []::VARCHAR[] ELSE string_split(list_reduce(ps, lambda acc, b:
+  CASE WHEN NOT regexp_matches(acc, '[.!?:;][''")\\]]*$') AND regexp_matches(substr(b, 1, 1), '\\p{{Ll}}') THEN acc || ' ' || b ELSE acc || chr(30) || b END), chr(30)) END AS bs
+  FROM (SELECT section_id, list_filter(list_transform(string_split_regex(text, '\\n\\s*\\n'), lambda x: {_TIDY.format('x')}), lambda b: {_KEPT}) AS ps FROM {_SEC})))"""
+
+
+@query(f"SELECT section_id, block_no::INT AS block_no, block FROM {_BLOCKS_SQL}")
 def section_blocks(spark, d):
     return sections.section_blocks(_sec(spark, d), ["section_id"])
 
 
-@query()
+_VALID_SENTENCES = f"(SELECT section_id, s AS sentence, row_number() OVER (PARTITION BY section_id ORDER BY block_no, i) - 1 AS sentence_idx FROM (SELECT section_id, block_no, trim(unnest(ps)) AS s, unnest(range(len(ps))) AS i FROM (SELECT section_id, block_no, {_SPLIT.replace('text', 'block')} AS ps FROM {_BLOCKS_SQL})) WHERE {_VALID})"
+
+
+@query(f"SELECT section_id, sentence_idx::INT AS sentence_idx, sentence FROM {_VALID_SENTENCES}")
 def section_sentences(spark, d):
     return sections.section_sentences(_sec(spark, d), ["section_id"])
 
 
-@query()
+@query(f"SELECT section_id, sentence_idx::INT AS sentence_idx, (sentence_idx - coalesce(lag(sentence_idx) OVER (PARTITION BY section_id ORDER BY sentence_idx), -1) - 1)::INT AS elided FROM {_VALID_SENTENCES} WHERE {_HAS_AI.replace('lower(s)', 'lower(sentence)')}")
 def sentence_gaps(spark, d):
     s = sections.section_sentences(_sec(spark, d), ["section_id"])
     return sections.sentence_gaps(s.where(T.mentions(F.col("sentence"))), ["section_id"])
@@ -371,6 +407,40 @@ def dimension_features(spark, d):
     return out.withColumns({c: F.round(c, 6) for c in ("ai_sentence_share", "net_tone")})
 
 
+_AHEAD = _W.format(", ".join(repr(w) for w in scoring.AHEAD))
+_FLS_SQL = f"SELECT accession_number, item, p - n AS ignored, (p - n) / (p + n + 1e0) AS sentiment, a / (a + 1e0) AS ahead FROM (SELECT accession_number, item, {_POS} AS p, {_NEG} AS n, {_AHEAD} AS a FROM t WHERE {_HAS_AI})"
+
+
+def _scored_sentences(spark, d):
+    s = _sec(spark, d).select("accession_number", "item", F.explode(T.rough_sentences(F.col("text"))).alias("p")).select("accession_number", "item", F.trim("p").alias("s")).where(T.is_sentence(F.col("s")) & T.mentions(F.col("s")))
+    named = zip(("pos", "neu", "neg", "p_specific", "p_nonspecific", "p_not"), (*scoring.lexicon_tone(F.col("s")), *scoring.lexicon_outlook(F.col("s"))))
+    return s.withColumns(dict(named))
+
+
+_T_SQL = f"t AS (SELECT accession_number, item, s FROM (SELECT accession_number, item, trim(unnest({_SPLIT})) AS s FROM {_SEC}) WHERE {_VALID})"
+
+
+@query(f"WITH {_T_SQL} SELECT accession_number, count(*) AS n_ai, round(avg(ahead), 6) AS fls_score FROM ({_FLS_SQL}) WHERE item = 'item_1a' GROUP BY 1")
+def governance_outlook(spark, d):
+    g = D.TEXT_DIMENSIONS["governance"]
+    s = _scored_sentences(spark, d).where(F.col("item") == g.item).groupBy("accession_number").agg(F.count("*").alias("n_ai"), F.avg(g.value).alias("fls_score"))
+    return s.select("accession_number", "n_ai", *_r("fls_score"))
+
+
+@query(
+    f"""WITH {_T_SQL}, sc AS ({_FLS_SQL}), y AS (SELECT 'strategy' AS dimension, accession_number, sentiment AS y FROM sc WHERE item = 'item_1' UNION ALL SELECT 'operations', accession_number, sentiment FROM sc WHERE item = 'item_7' UNION ALL SELECT 'governance', accession_number, ahead FROM sc WHERE item = 'item_1a'),
+g AS (SELECT dimension, accession_number, count(*) AS n, avg(y) AS m, var_pop(y) AS v FROM y GROUP BY 1, 2),
+s AS (SELECT dimension, count(*) AS g, sum(n) AS nn, sum(n * n) AS n2, sum(n * m) AS s1, sum(n * m * m) AS q, sum(n * v) AS ssw, median(n) AS med, sum(n * v) FILTER (WHERE n > 1) / sum(n - 1) FILTER (WHERE n > 1) AS s2, var_samp(m) AS vm, avg(1e0 / n) AS inv FROM g GROUP BY 1),
+r AS (SELECT *, ssw / (nn - g) AS msw, greatest(((q - s1 * s1 / nn) / (g - 1) - ssw / (nn - g)) / ((nn - n2 / nn::DOUBLE) / (g - 1)), 1e-12) AS tau2 FROM s)
+SELECT dimension, g AS groups, nn::BIGINT AS n, med AS median_n, round(msw, 6) AS msw, round(tau2, 6) AS tau2, round(tau2 / (tau2 + msw), 4) AS icc, CASE WHEN tau2 > 1e-12 THEN round(msw / tau2, 3) END AS k, CASE WHEN vm - s2 * inv > 1e-12 THEN round(s2 / (vm - s2 * inv), 3) END AS k_moments_check FROM r"""
+)
+def tone_reliability_fit(spark, d):
+    f = D.tone_fit(_scored_sentences(spark, d))
+    # no spread between filings leaves no ratio
+    f = f.withColumns({"k": F.when(F.col("tau2") > 1e-12, F.col("k")), "k_moments_check": F.when(F.col("k_moments_check") < 1e9, F.col("k_moments_check"))})
+    return f.select("dimension", "groups", "n", "median_n", *_r("msw", "tau2"), *_r("icc", n=4), *_r("k", "k_moments_check", n=3))
+
+
 # --- missingness -------------------------------------------------------------------------------------------------------------
 _INDS = ["ai_publication_share", "ai_patent_share", "ai_worker_share", "tech_team1_worker_share"]
 
@@ -393,6 +463,23 @@ def missingness_table(spark, d):
     return r.select("indicator", "n", "n_defined", F.round(100.0 * (F.col("n") - F.col("n_defined")) / F.col("n"), 6).alias("pct_missing"), "n_unmatched", "n_zero_denominator")
 
 
+@query(
+    f"""WITH t AS (SELECT accession_number, item, s FROM (SELECT accession_number, item, trim(unnest({_SPLIT})) AS s FROM {_SEC}) WHERE {_VALID}),
+tot AS (SELECT accession_number, count(*) FILTER (WHERE item = 'item_7') AS n7, count(*) FILTER (WHERE item = 'item_7' AND {_HAS_AI}) AS n_ai FROM t GROUP BY 1),
+u AS (SELECT DISTINCT r.rank, f.accession_number FROM (SELECT DISTINCT rank, {_key('company')} AS k FROM fortune) r LEFT JOIN (SELECT DISTINCT accession_number, {_key('company_name')} AS k FROM filings WHERE form = '10-K' AND fiscal_year = 2024) f USING (k)),
+x AS (SELECT accession_number, CASE WHEN coalesce(n7, 0) >= 5 THEN 1 ELSE 0 END AS parsed, coalesce(n_ai, 0) AS n_ai FROM u LEFT JOIN tot USING (accession_number))
+SELECT 'net_tone' AS indicator, count(*) AS n, count(*) FILTER (WHERE parsed = 1 AND n_ai > 0 AND accession_number IS NOT NULL) AS n_defined, round(100e0 * (count(*) - count(*) FILTER (WHERE parsed = 1 AND n_ai > 0 AND accession_number IS NOT NULL)) / count(*), 6) AS pct_missing,
+  0::BIGINT AS n_zero_denominator, 0::BIGINT AS n_unmatched, count(*) FILTER (WHERE accession_number IS NOT NULL AND parsed = 1 AND n_ai = 0) AS n_no_ai_sentences, count(*) FILTER (WHERE accession_number IS NOT NULL AND parsed = 0) AS n_item_unparsed, count(*) FILTER (WHERE accession_number IS NULL) AS n_no_filing FROM x
+UNION ALL SELECT * FROM ({" UNION ALL ".join(f"SELECT '{i}', count(*), count(v), round(100e0 * (count(*) - count(v)) / count(*), 6), sum((v IS NULL AND m = 'zero_denominator')::INT)::BIGINT, sum((v IS NULL AND m = 'unmatched')::INT)::BIGINT, 0, 0, 0 FROM (SELECT {_num(i)} AS v, coalesce({i}_reason, '') AS m FROM (SELECT DISTINCT * FROM indicators))" for i in _INDS)})"""
+)
+def missing_mechanisms(spark, d):
+    f = _t(spark, d, "filings").where("form = '10-K' AND fiscal_year = 2024").select("accession_number", N.company_key(F.col("company_name")).alias("k")).distinct()
+    u = _t(spark, d, "fortune").select("rank", N.company_key(F.col("company")).alias("k")).distinct().join(f, "k", "left").select("rank", "accession_number").distinct()
+    feats = dimension_features(spark, d).select("accession_number", "item_parsed", "n_ai_sentences", "net_tone").dropDuplicates(["accession_number"])
+    text = shares.mechanism_counts(u.join(feats, "accession_number", "left"), [], {"net_tone": ("accession_number", "item_parsed", "n_ai_sentences")})
+    return text.unionByName(shares.mechanism_counts(_ind(spark, d), _INDS, {}))
+
+
 _Z = "coalesce({0}_reason = 'zero_denominator', false)"
 
 
@@ -551,19 +638,18 @@ def cronbach_alpha(spark, d):
 
 @query()
 def pca_variance(spark, d):
-    return spark.createDataFrame(stats.pca(_emb(spark, d, 8), [f"e{i}" for i in range(8)]))
+    return spark.createDataFrame(stats.pca(_emb(spark, d, 64), [f"e{i}" for i in range(64)]))
 
 
 @query()
 def kmo_bartlett(spark, d):
-    return spark.createDataFrame([tuple(stats.kmo_bartlett(_emb(spark, d), _EMB).values())], "n long, chi2 double, dof double, p double, kmo double")
+    return spark.createDataFrame([tuple(stats.kmo_bartlett(_emb(spark, d, 64), [f"e{i}" for i in range(64)]).values())], "n long, chi2 double, dof double, p double, kmo double")
 
 
 @query()
 def kmeans_profiles(spark, d):
-    scan = stats.kmeans_scan(_emb(spark, d, 8), "vec_id", [f"e{i}" for i in range(8)], range(2, 6), starts=2)
-    best = max((s for s in scan if s["k"] != 2), key=lambda s: s["silhouette"])
-    return stats.cluster_profiles(best["labels"], [f"e{i}" for i in range(8)])
+    cols = [f"e{i}" for i in range(64)]
+    return stats.cluster_profiles(D.best_k(stats.kmeans_scan(_emb(spark, d, 64), "vec_id", cols, starts=2))["labels"], cols)
 
 
 @query(f"WITH {_CUST_SQL}, q AS (SELECT acctbal AS x, total AS y FROM cust WHERE acctbal IS NOT NULL AND total IS NOT NULL), r AS (SELECT {_avg_rank('x')} AS a, {_avg_rank('y')} AS b FROM q) SELECT round(corr(a, b), 6) AS rho, count(*) AS n FROM r")
@@ -689,3 +775,87 @@ def filing_skips(spark, d):
 def modeling_frame(spark, d):
     scores = _t(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("outside"))
     return I.modeling_frame(_index(spark, d).select("c_custkey", *_r("linear", n=4)), scores, "c_custkey")
+
+
+# --- filings of a universe, sets, frames side by side ------------------------------------------------------------------------
+_U_SQL = f"""u AS (SELECT DISTINCT company, ticker, CASE WHEN lower(trim(ticker)) IN ('', 'nan', 'none', '-', '~') OR ticker IS NULL THEN NULL ELSE {_tick('ticker')} END AS t FROM fortune),
+f AS (SELECT DISTINCT lpad(trim(cik), 10, '0') AS cik, {_tick('ticker')} AS t, accession_number, fiscal_year, filing_date, form FROM filings),
+byt AS (SELECT t, min(cik) AS cik FROM f WHERE t <> '' GROUP BY 1 HAVING min(cik) = max(cik)), x AS (SELECT company, ticker, u.t, byt.cik FROM u LEFT JOIN byt ON u.t = byt.t),
+per AS (SELECT cik, count(*) FILTER (WHERE form = '10-K') AS e, count(*) FILTER (WHERE form = '10-K' AND fiscal_year = 2024) AS y FROM f GROUP BY 1)"""
+
+
+@query(f"WITH {_U_SQL} SELECT company AS company_name, ticker, x.cik, accession_number, fiscal_year, filing_date FROM x JOIN per USING (cik) JOIN (SELECT *, row_number() OVER (PARTITION BY cik ORDER BY filing_date DESC, accession_number DESC) AS r FROM f WHERE form = '10-K' AND fiscal_year = 2024) l ON x.cik = l.cik AND r = 1")
+def resolved_filings(spark, d):
+    u = _t(spark, d, "fortune").select("company", "ticker", "normalized_company_name")
+    return inputs.resolve_filings(u, _t(spark, d, "filings"), 2024)[0].select("company_name", "ticker", "cik", "accession_number", "fiscal_year", "filing_date").distinct()
+
+
+@query(f"WITH {_U_SQL} SELECT company, ticker, CASE WHEN t IS NULL THEN 'no ticker' WHEN x.cik IS NULL OR e IS NULL THEN 'lookup failed' WHEN e = 0 THEN 'only amendments' ELSE 'no filing of the year' END AS reason FROM x LEFT JOIN per USING (cik) WHERE coalesce(y, 0) = 0")
+def unresolved_filings(spark, d):
+    u = _t(spark, d, "fortune").select("company", "ticker", "normalized_company_name")
+    return inputs.resolve_filings(u, _t(spark, d, "filings"), 2024)[1].distinct()
+
+
+@query("SELECT cik FROM filings WHERE cik IS NOT NULL INTERSECT SELECT cik FROM sections")
+def shared_ciks(spark, d):
+    return inputs.in_both(_t(spark, d, "filings"), _t(spark, d, "sections"), "cik")
+
+
+@query("SELECT accession_number, f.form AS filing__form, r.n_chars AS raw__n_chars FROM (SELECT accession_number, max(form) AS form FROM filings GROUP BY 1) f FULL JOIN (SELECT accession_number, max(length(text)) AS n_chars FROM raw_text GROUP BY 1) r USING (accession_number)")
+def filings_beside_texts(spark, d):
+    f = _t(spark, d, "filings").groupBy("accession_number").agg(F.max("form").alias("form"))
+    r = _t(spark, d, "raw_text").groupBy("accession_number").agg(F.max(F.length("text")).alias("n_chars"))
+    return inputs.beside({"filing": f, "raw": r}, ["accession_number"])
+
+
+@query(f"WITH {_CUST_SQL} " + " UNION ALL ".join(f"SELECT '{n}' AS dimension, '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r, count(*) FILTER (WHERE {a} IS NOT NULL AND {b} IS NOT NULL) AS n FROM cust" for n, (a, b) in _DIMS.items()))
+def within_dimension_correlation(spark, d):
+    return D.within_correlations(_cust(spark, d), {n: tuple(c) for n, c in _DIMS.items()}).select("dimension", "a", "b", *_r("r"), "n")
+
+
+@query(f"WITH {_SCORED_SQL} SELECT c_mktsegment AS cluster, round(avg(linear), 4) AS mean_linear, count(*) AS n FROM ix JOIN (SELECT c_custkey, c_mktsegment FROM customer) USING (c_custkey) GROUP BY 1")
+def cluster_mean_index(spark, d):
+    x = _index(spark, d).join(_t(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("cluster")), "c_custkey")
+    return D.cluster_means(x, "linear").select("cluster", *_r("mean_linear", n=4), "n")
+
+
+# --- the eight ways to build the index -----------------------------------------------------------------------------------------
+_K = 7.5
+_SKEWED = "(abs(skewness({c})) > 2 AND kurtosis({c}) > 3.5)"
+
+
+def _treated_sql(src: str, out: str) -> str:
+    return f"{out} AS (SELECT c_custkey, n_sent, " + ", ".join(f"CASE WHEN (SELECT coalesce({_SKEWED.format(c=c)}, false) FROM {src}) THEN sqrt({c}) ELSE {c} END AS {c}" for c in _V_COLS) + f" FROM {src})"
+
+
+_V_COLS = ["n_orders", "total", "largest", "level"]
+_V_DIMS = {"a": ["n_orders", "level"], "b": ["total", "largest"]}
+_V_BASE = "v0 AS (SELECT c_custkey, c_mktsegment, coalesce(n_orders, 0) AS n_sent, n_orders, total, largest, acctbal + 1000 AS level FROM cust)"
+_V_FILL = "vm AS (SELECT c_mktsegment, " + ", ".join(f"median({c}) AS m_{c}, count({c}) AS k_{c}" for c in _V_COLS) + " FROM v0 GROUP BY 1), vf AS (SELECT c_custkey, n_sent, " + ", ".join(f"coalesce({c}, CASE WHEN k_{c} >= 5 THEN m_{c} END, (SELECT median({c}) FROM v0)) AS {c}" for c in _V_COLS) + " FROM v0 LEFT JOIN vm USING (c_mktsegment))"
+
+
+def _way_sql(name: str, src: str, times: float | None, norm: str = "({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ())", aggregate: str = "linear", coverage: bool = False) -> str:
+    norms = ", ".join(f"{norm.format(c=c, r=_avg_rank(c))} AS {c}" for c in _V_COLS)
+    w = {c: f"CASE WHEN {c} IS NULL THEN 0e0 ELSE {f'CASE WHEN n_sent > 0 THEN n_sent / (n_sent + {_K * times}) ELSE 0e0 END' if times and c == 'n_orders' else '1e0'} END" for c in _V_COLS}
+    dims = ", ".join(f"({' + '.join(f'coalesce({c}, 0) * {w[c]}' for c in cs)}) / nullif({' + '.join(w[c] for c in cs)}, 0) AS s_{n}, ({' + '.join(w[c] for c in cs)}) / 2e0 AS c_{n}" for n, cs in _V_DIMS.items())
+    by = {n: f"c_{n}" if coverage else f"(c_{n} > 0)::INT" for n in _V_DIMS}
+    mean = f"(s_a * {by['a']} + s_b * {by['b']}) / ({by['a']} + {by['b']}) * 100" if aggregate == "linear" else f"exp((ln(greatest(s_a, 0.01)) * {by['a']} + ln(greatest(s_b, 0.01)) * {by['b']}) / ({by['a']} + {by['b']})) * 100"
+    return f"SELECT c_custkey, '{name}' AS variant, CASE WHEN c_a > 0 AND c_b > 0 THEN {mean} END AS i FROM (SELECT c_custkey, {dims} FROM (SELECT c_custkey, n_sent, {norms} FROM {src}))"
+
+
+_WAYS_SQL = " UNION ALL ".join([
+    _way_sql("main", "vt", 1.0), _way_sql("coverage_weighted", "vt", 1.0, coverage=True), _way_sql("no_reliability", "vt", None), _way_sql("k_doubled", "vt", 2.0), _way_sql("no_treatment", "v0", 1.0),
+    _way_sql("rank_norm", "vt", 1.0, norm="({r} - 1) / (count({c}) OVER () - 1)"), _way_sql("geometric", "vt", 1.0, aggregate="geometric"), _way_sql("sector_median", "vft", None),
+])
+
+
+@query(f"WITH {_CUST_SQL}, {_V_BASE}, {_V_FILL}, {_treated_sql('v0', 'vt')}, {_treated_sql('vf', 'vft')} SELECT c_custkey, variant, round(i, 4) AS index FROM ({_WAYS_SQL})".replace(" AS index", ' AS "index"'))
+def index_variants(spark, d):
+    from ledgerloom.session import cut
+
+    c = cut(_cust(spark, d).withColumns({"n_sent": F.coalesce("n_orders", F.lit(0.0)), "level": F.col("acctbal") + 1000}).drop("acctbal"))
+    filled = c
+    for x in _V_COLS:
+        filled = shares.sector_median(filled, x, "c_mktsegment").drop(x).withColumnRenamed(f"{x}_filled", x)
+    made = D.index_variants(c, "c_custkey", _V_DIMS, {"n_orders": ("n_sent", _K)}, filled)
+    return made.select("c_custkey", "variant", F.round("index", 4).alias("index"))

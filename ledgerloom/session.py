@@ -7,6 +7,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+SMALL = 64 << 20  # half of what a file split holds by default
+
+
 def build_session(app: str = "ledgerloom", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators assume. ``conf`` overrides; dots in keys are written ``__``."""
     b = SparkSession.builder.appName(app)
@@ -36,6 +39,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if known:
         return known
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="ledgerloom_ck_"))
     return sc.getCheckpointDir()
 
@@ -48,7 +53,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over at least as many partitions as there are cores: a small table that lies in one file would keep all
-    but one core idle. A table in as many parts or more stays as it is."""
+    """``df`` over at least as many partitions as there are cores. Only a table smaller than that many blocks of
+    ``SMALL`` bytes is moved: it lies in few files and would keep most cores idle. A larger one has its partitions
+    from its files and is never shuffled for this."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    if df.rdd.getNumPartitions() >= cores or df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() > cores * SMALL:
+        return df
+    return df.repartition(cores)

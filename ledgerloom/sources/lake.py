@@ -71,6 +71,24 @@ class Lake:
             fs.delete(p, True)
         return len(steps)
 
+    def write_matrix(self, df: DataFrame) -> str:
+        """The composed matrix of the universe."""
+        path = f"{self.root}/data_clean/index/{self.universe}/matrix.parquet"
+        df.write.mode("overwrite").parquet(path)
+        return path
+
+    def write_scores(self, df: DataFrame) -> str:
+        """The index: one row per firm with scores, coverage, rank and cluster."""
+        path = f"{self.root}/data_clean/index/{self.universe}/scores.parquet"
+        df.write.mode("overwrite").parquet(path)
+        return path
+
+    def write_sample(self, sample: DataFrame, key: DataFrame, name: str) -> tuple[str, str]:
+        """A sample to be labelled as CSV, and beside it the key that tells where its rows come from."""
+        at = f"{self.root}/exports/{name}_key.parquet"
+        key.write.mode("overwrite").parquet(at)
+        return self.export_csv(sample, name), at
+
     def export_csv(self, df: DataFrame, name: str) -> str:
         path = f"{self.root}/exports/{name}"
         df.write.mode("overwrite").option("header", True).csv(path)

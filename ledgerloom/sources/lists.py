@@ -64,6 +64,11 @@ def fundamentals_year(df: DataFrame, fyear: int = 2024) -> DataFrame:
     return best.withColumns({"norm_ticker": ticker_form(F.col("tic")), "normalized_conm": company_key(F.col("conm")), "cik_int": plain_number(F.col("cik"))})
 
 
+def eto_core(spark: SparkSession, path: str) -> DataFrame:
+    """The organisations' table with the columns of ``ETO_CORE``, copies once."""
+    return csv(spark, path, ETO_CORE).distinct()
+
+
 def eto_tickers(df: DataFrame) -> DataFrame:
     return df.withColumn("norm_ticker", ticker_form(F.col("ticker")))
 
