@@ -65,6 +65,10 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.truncation_report(spread(read_table(spark, sf_dir, "sections")))
 
 
+def p6_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.deciding_levels(spread(read_table(spark, sf_dir, "sections")))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = survivors.survivors(read_table(spark, sf_dir, "fundamentals"))
     return s.where("n_records > 1").select("gvkey", F.col("fyear").cast("int").alias("fyear"), "record_id")

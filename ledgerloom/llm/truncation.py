@@ -5,9 +5,9 @@ words, numbers being ``0`` and longer capitalised words ``Xx`` (names say nothin
 without them the trigrams of a corpus stay few). Counted over all different texts: how often a word trigram stands inside a
 line and how often at the end of one, by the line's kind. The final trigram of each text is joined to these counts.
 A text is cut if its final trigram is frequent inside but almost never terminal; where the trigram is too rare to
-say, the final bigram decides, then the last word, then the last word's form. A last word seen nowhere else, in a
-place where the corpus has only known words, is the stump of a word; so is one that hardly ever stands inside a line but
-begins a word that follows the same two words elsewhere. A sign left in place of the rest (…) is a cut.
+say, the final bigram decides, then the last word, then the last word's form. A final trigram that known trigrams
+begin with, their last word being longer, is cut inside that word if the stump hardly ever stands inside a line; so is
+one whose last word is seen nowhere else, in a place where the corpus has only known words. A sign left in place of the rest (…) is a cut.
 """
 
 from __future__ import annotations
@@ -96,12 +96,12 @@ WITH wanted AS (
   JOIN place ON w.kind = place.kind AND w.a = place.a AND w.b = place.b
   LEFT JOIN stem ON w.kind = stem.kind AND w.a = stem.a AND w.b = stem.b AND w.c = stem.c
 ), judged AS (
-  SELECT *, CASE WHEN whole >= {rare} THEN 'stump' WHEN i3 + t3 >= {least} THEN 'trigram'
-      WHEN seen < {rare} - 1 AND (f = 'thai' AND form_unknown < 0.1 OR kind <> 'text' AND place_seen >= {least} AND place_unknown < 0.1 * place_seen) THEN 'stump'
+  SELECT *, CASE WHEN whole >= {rare} THEN 'begun trigram' WHEN i3 + t3 >= {least} THEN 'trigram'
+      WHEN seen < {rare} - 1 AND (f = 'thai' AND form_unknown < 0.1 OR kind <> 'text' AND place_seen >= {least} AND place_unknown < 0.1 * place_seen) THEN 'unknown word'
       WHEN i2 + t2 >= {least} AND i2 > 0 THEN 'bigram' WHEN i1 + t1 >= {least} AND i1 > 0 THEN 'word' ELSE 'form' END AS level
   FROM levels
 ), verdict AS (
-  SELECT kind, a, b, c, level, CASE level WHEN 'trigram' THEN t3 < {share} * (i3 + t3) WHEN 'stump' THEN true WHEN 'bigram' THEN t2 < {share} * (i2 + t2)
+  SELECT kind, a, b, c, level, CASE level WHEN 'trigram' THEN t3 < {share} * (i3 + t3) WHEN 'begun trigram' THEN true WHEN 'unknown word' THEN true WHEN 'bigram' THEN t2 < {share} * (i2 + t2)
     WHEN 'word' THEN t1 < {share} * (i1 + t1) ELSE t0 < {share} * (i0 + t0) END AS cut
   FROM judged
 )
@@ -119,9 +119,18 @@ def truncated(df: DataFrame, key: str = "section_id", text: str = "text", **kw)
     # the judge takes off a text's own end once, so each text may have one only
     df.select(F.col(text).alias("text")).distinct().createOrReplaceTempView(texts)
     # the counts feed every level, the finals both ends of the judging: each is computed once
-    cut(spark.sql(trigram_counts_sql(texts))).createOrReplaceTempView(counts)
-    cut(spark.sql(finals_sql(src))).createOrReplaceTempView(finals)
-    return spark.sql(judge_sql(counts, finals, **kw)).withColumnRenamed("k", key)
+    counted, final = cut(spark.sql(trigram_counts_sql(texts))), cut(spark.sql(finals_sql(src)))
+    counted.createOrReplaceTempView(counts)
+    final.createOrReplaceTempView(finals)
+    out = spark.sql(judge_sql(counts, finals, **kw)).withColumnRenamed("k", key)
+    for view in (src, texts, counts, finals):
+        spark.catalog.dropTempView(view)
+    return out
+
+
+def deciding_levels(df: DataFrame, key: str = "section_id", text: str = "text", **kw) -> DataFrame:
+    """``(level, n_texts, n_cut)``: what decided how many texts, and how many of them are cut."""
+    return truncated(df, key, text, **kw).distinct().groupBy("level").agg(F.count("*").alias("n_texts"), F.count_if("cut").alias("n_cut"))
 
 
 def truncation_report(df: DataFrame, key: str = "section_id", text: str = "text", source: str = "source", **kw) -> DataFrame:
