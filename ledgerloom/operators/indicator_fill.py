@@ -31,11 +31,12 @@ def fill_indicators(df: DataFrame, components: int = 4, rounds: int = 15) -> Dat
 
     A share is lost if it is no possible value (null, NaN, outside 0..2) and its reason names nothing; a patent
     reason is lost if the share is null and the reason names nothing. What the same firm's other years and the same
-    industry and year say enters the mixture as variables beside the row's own values. An empty table gives an
-    empty result. Filled shares stay within 0..2.
+    industry and year say enters the mixture as variables beside the row's own values. Rows with a null or repeated
+    record id are rows like others. An empty table gives an empty result. Filled shares stay within 0..2.
     """
-    id_ = "record_id"
-    rows = cut(df.distinct())
+    # rows are known by a number of their own: record ids may be null or stand for several rows
+    id_ = "_row"
+    rows = cut(df.distinct().withColumn(id_, F.monotonically_increasing_id()))
     lost = {
         **{f"{x}_share": share(x).isNull() & reason(x).isNull() for x in SHARES},
         "ai_patent_share_reason": F.col("ai_patent_share").isNull() & reason("ai_patent").isNull(),
@@ -71,7 +72,7 @@ def fill_indicators(df: DataFrame, components: int = 4, rounds: int = 15) -> Dat
         out = out.withColumn(k, F.when(F.col(f"{k}_was_filled"), F.least(F.greatest(F.col(f"{x}_filled"), F.lit(0.0)), F.lit(2.0))).otherwise(F.col(k)))
     k = "ai_patent_share_reason"
     out = out.withColumn(k, F.when(F.col(f"{k}_was_filled"), F.coalesce("patent_reason_filled", F.lit(REASONS[0]))).otherwise(F.col(k)))
-    return out.drop(*(f"{x}_filled" for x in SHARES), "patent_reason_filled")
+    return out.drop(*(f"{x}_filled" for x in SHARES), "patent_reason_filled", id_)
 
 
 def filled_cells(df: DataFrame) -> DataFrame:

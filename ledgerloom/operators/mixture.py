@@ -19,6 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+REST = "\x00rest"
+
+
 @dataclass
 class Mixture:
     """weight[k]; mean[k, p]; cov[k, p, p]; table[variable][k, level]."""
@@ -70,13 +73,15 @@ def _columns(b: pa.RecordBatch, num: Sequence[str], cat: Sequence[str], levels:
     cats = np.full((len(b), len(cat)), -1)
     for j, c in enumerate(cat):
         at = {v: i for i, v in enumerate(levels[j])}
-        cats[:, j] = [at.get(v, -1) for v in b.column(c).to_pylist()]
+        rest = at.get(REST, -1)  # what the rare levels share
+        cats[:, j] = [-1 if v is None else at.get(v, rest) for v in b.column(c).to_pylist()]
     return x, cats
 
 
 def fit_mixture(df: DataFrame, num: Sequence[str], cat: Sequence[str], components: int = 4, rounds: int = 15, tol: float = 1e-4, seed: int = 7, max_levels: int = 200) -> tuple[Mixture, list[list[str]]]:
-    """Fit on all rows of ``df``. Numbers are null or NaN where missing, categories null. A category keeps its
-    ``max_levels`` most frequent levels (a documented bound on the model, not on the rows); others count as missing."""
+    """Fit on all rows of ``df``. Numbers are null or NaN where missing, categories null. A category has a
+    table entry for each of its ``max_levels`` most frequent levels (a documented bound on the model, not on the rows);
+    all rarer ones share one more entry with its own statistics, so no row's value is taken as missing."""
     p = len(num)
     clean = [F.when(~F.isnan(c), F.col(c)) for c in num]
     stat = df.agg(F.count("*").alias("n"), *(f(x).alias(f"{a}{i}") for i, x in enumerate(clean) for a, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
@@ -87,8 +92,10 @@ def fit_mixture(df: DataFrame, num: Sequence[str], cat: Sequence[str], component
     levels, first = [], []
     for c in cat:
         top = df.where(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).limit(max_levels).collect()
-        levels.append([r[0] for r in top])
-        first.append(np.array([r["count"] for r in top], float))
+        every = df.where(F.col(c).isNotNull()).count() if len(top) == max_levels else 0
+        tail = every - sum(r["count"] for r in top)
+        levels.append([r[0] for r in top] + ([REST] if tail > 0 else []))
+        first.append(np.array([r["count"] for r in top] + ([tail] if tail > 0 else []), float))
     rng = np.random.default_rng(seed)
     spread = np.linspace(-1.5, 1.5, components) if components > 1 else np.zeros(1)
     m = Mixture(
@@ -153,7 +160,8 @@ def fill_mixture(df: DataFrame, m: Mixture, levels: list[list[str]], num: Sequen
                 cols.append(pa.array(exp[:, j], mask=~np.isnan(x[:, j])))
             for c in fill_cat:
                 j = list(cat).index(c)
-                best = (r @ m.table[j]).argmax(1) if len(levels[j]) else np.zeros(len(b), int)
+                known = m.table[j] * np.array([v != REST for v in levels[j]])  # a gap is filled with a level that has a name
+                best = (r @ known).argmax(1) if len(levels[j]) else np.zeros(len(b), int)
                 cols.append(pa.array([levels[j][i] if miss and levels[j] else None for i, miss in zip(best, cats[:, j] < 0)], pa.string()))
             yield pa.RecordBatch.from_arrays(cols, [key, *names])
 

@@ -51,3 +51,30 @@ def test_mixture_recovers_held_out_values(spark):
     assert np.mean([got[i]["c_filled"] == f"c{c[i]}" for i in np.flatnonzero(hide_c)]) > 0.8
     with pytest.raises(ValueError):
         fit_mixture(df.limit(0), ["x"], [])
+
+
+def test_rare_levels_share_an_entry_and_null_ids_stay(spark):
+    rng = np.random.default_rng(5)
+    data = [(i, float(rng.normal(0 if i % 3 else 5, 0.1)), "a" if i % 3 else f"rare{i}", None if i % 10 == 0 else "x") for i in range(300)]
+    df = spark.createDataFrame(data, "id long, v double, c string, d string")
+    m, levels = fit_mixture(df, ["v"], ["c", "d"], components=2, rounds=6, max_levels=1)
+    assert levels[0] == ["a", "\x00rest"] and abs(m.table[0][:, 1] @ m.weight - 1 / 3) < 0.05
+    out = fill_mixture(df, m, levels, ["v"], ["c", "d"], "id", ["v"], ["d"])
+    assert {r["d_filled"] for r in out.collect()} == {None, "x"}
+    twin = [row(None, "f1", 2020 + i, ai_publication=None if i == 2 else 0.2) for i in range(5)] + [row(7, "f2", 2020), row(7, "f2", 2021, ai_worker=None)]
+    got = fill_indicators(spark.createDataFrame(twin, SCHEMA), components=1, rounds=3)
+    assert got.count() == 7 and got.where("record_id IS NULL").count() == 5 and got.where("ai_publication_share_was_filled").count() == 1
+
+
+def test_fills_are_nearer_than_the_industrys_mean(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.read.parquet("/root/testdata/sf0.01/indicators.parquet").distinct()
+    known = F.col("ai_publication_share").between(0, 2) & F.col("ai_publication_share_reason").isNull()
+    hide = df.where(known).select("record_id", F.col("ai_publication_share").alias("true")).where("record_id % 10 = 3").dropDuplicates(["record_id"])
+    lost = df.join(hide, "record_id", "left").withColumn("ai_publication_share", F.when(F.col("true").isNull(), F.col("ai_publication_share"))).drop("true")
+    out = fill_indicators(lost).where("ai_publication_share_was_filled").join(hide, "record_id")
+    mean = df.where(known).groupBy("industry", "fiscal_year").agg(F.avg("ai_publication_share").alias("mean"))
+    r = out.join(mean, ["industry", "fiscal_year"]).agg(F.avg(F.abs(F.col("ai_publication_share") - F.col("true"))).alias("em"), F.avg(F.abs(F.col("mean") - F.col("true"))).alias("mean"), F.count("*").alias("n")).first()
+    print(r)
+    assert r["n"] > 50 and r["em"] < 0.5 * r["mean"]
