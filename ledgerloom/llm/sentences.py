@@ -207,16 +207,10 @@ def _lines(a: np.ndarray, cls: np.ndarray, nl: np.ndarray, first: np.ndarray) ->
     bullet = (body < nl) & (cls[inside] == C_BULLET)
     dash = (body < nl - 1) & np.isin(a[inside], [ord(c) for c in "-*–"]) & (cls[np.minimum(inside + 1, len(cls) - 1)] == C_SPACE)
     end = _skip(cls, nl - 1, _IS(C_SPACE), -1)
-    figure = np.isin(np.arange(16), (C_DIGIT,))
-    col = end.copy()
-    live = np.arange(len(col))
-    for _ in range(24):  # over the last column: digits and their signs
-        p = col[live]
-        ok = (p > start[live]) & (figure[cls[np.maximum(p, 0)]] | np.isin(a[np.maximum(p, 0)], [ord(c) for c in ".,%()$€£-–—"]))
-        live = live[ok]
-        if not len(live):
-            break
-        col[live] -= 1
+    # over the last column, digits and their signs, however long: back to the last character that is neither
+    inside_column = (cls == C_DIGIT) | np.isin(a, [ord(c) for c in ".,%()$€£-–—"])
+    other = np.maximum.accumulate(np.where(inside_column, -1, np.arange(len(cls))))
+    col = np.where(end > start, np.maximum(other[np.maximum(end, 0)], start), end)
     gap = (col < end) & (col > start) & (cls[np.maximum(col, 0)] == C_SPACE) & (cls[np.maximum(col - 1, 0)] == C_SPACE) & (cls[np.maximum(end, 0)] != C_TERM)
     tab = (col < end) & (col > start) & (a[np.maximum(col, 0)] == 9)
     return bullet | dash, gap | tab

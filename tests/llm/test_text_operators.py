@@ -28,6 +28,11 @@ def test_units(text, n):
     assert len(got) == n and "".join("".join(got).split()) == "".join(text.split())
 
 
+def test_long_columns_are_columns():
+    long = "1,234,567,890,123,456,789,012,345.67"
+    assert units(f"Total costs  12  {long}\nWe grew. Again.") == [f"Total costs  12  {long}", "We grew.", "Again."] and len(units("Total costs  12  34\nWe grew. Again.")) == 3
+
+
 def test_units_do_not_depend_on_neighbours_or_chunks():
     texts = [t for t, _ in CASES] * 3
     i, e = sentences.unit_ends(texts)
