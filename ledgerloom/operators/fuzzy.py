@@ -118,15 +118,13 @@ def merge_lists(base: DataFrame, other: DataFrame, threshold: float = 75.0, manu
 
     Both tables have ``row`` (a unique number) and ``name``. Null and blank names match nothing but by hand."""
     b, o = (cut(d.select("row", "name", merge_name(F.col("name")).alias("key"))) for d in (base, other))
-    hand, by_hand = [], b.sparkSession
-    for x, y in manual.items():  # a short fixed list: one row each
-        first = lambda d, part: d.agg(F.min(F.when(F.contains(F.lower("name"), F.lit(part.lower())), F.col("row")))).first()[0]
-        hand.append((first(b, x), first(o, y)))
+    found = lambda d, parts: d.agg(*(F.min(F.when(F.contains(F.lower("name"), F.lit(x.lower())), F.col("row"))).alias(f"_{i}") for i, x in enumerate(parts))).first() if parts else ()
+    hand = list(zip(found(b, list(manual)), found(o, list(manual.values()))))  # a short fixed list
     taken: dict[int, int] = {}
     for i, j in hand:
         if i is not None and j is not None and j not in taken.values():
             taken.setdefault(i, j)
-    done = by_hand.createDataFrame([(i, j, "manual", 100.0) for i, j in taken.items()], "base_row long, other_row long, how string, score double")
+    done = b.sparkSession.createDataFrame([(i, j, "manual", 100.0) for i, j in taken.items()], "base_row long, other_row long, how string, score double")
     free = lambda d, c: d.join(F.broadcast(done.select(F.col(c).alias("row"))), "row", "left_anti")
     nb, no = _numbered(free(b, "base_row").where("key <> ''")), _numbered(free(o, "other_row").where("key <> ''"))
     exact = cut(nb.select("key", "nth", F.col("row").alias("base_row")).join(no.select("key", "nth", F.col("row").alias("other_row")), ["key", "nth"]).select("base_row", "other_row", F.lit("exact").alias("how"), F.lit(100.0).alias("score")))

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.names import company_key, padded_id, ticker_form
 from ledgerloom.operators.resolve import cascade, demote_duplicates, first_by, key_values
+from ledgerloom.operators.sections import assemble_sections, structured_view
 from ledgerloom.operators.shares import ratio, reason
+from ledgerloom.session import cut
 
 # --- fixed values: a renamed firm by its key name and its id, checked by hand; tickers that are none ---
 MANUAL_ETO = {"everest": 2312}
@@ -135,3 +137,11 @@ def fetch_filings(filings: DataFrame, fetch: Callable[[str], tuple[dict[str, dic
             yield pd.DataFrame(rows, columns=["accession_number", "parser", "item", "text"])
 
     return filings.select("accession_number").distinct().mapInPandas(run, "accession_number string, parser string, item string, text string")
+
+
+def extract_items(filings: DataFrame, fetch: Callable[[str], tuple[dict[str, dict[str, str]], str]], parsers: list[str]) -> DataFrame:
+    """Fetched and assembled in one go: ``(accession_number, cik, item, source, text)`` of the filings (accession_number,
+    cik); of the parsers' views of an Item the longest valid one counts, equal ones in the order of ``parsers``."""
+    pages = cut(fetch_filings(filings, fetch))
+    raw = filings.select("accession_number", "cik").distinct().join(pages.where("parser = 'raw'").select("accession_number", "text"), "accession_number")
+    return assemble_sections(structured_view(pages.where("parser <> 'raw'"), parsers), raw)

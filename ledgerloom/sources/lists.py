@@ -200,6 +200,32 @@ def pdf_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, page int, line_no int, line string")
 
 
+def pdf_tables(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, page, table_no, row_no, cells)`` of the tables of PDF files, by whichever PDF library the workers have."""
+
+    def run(it):
+        try:
+            import pdfplumber
+        except ImportError as e:
+            raise RuntimeError("reading PDF needs pdfplumber on the workers") from e
+        import io
+
+        for pdf in it:
+            out = []
+            for p, raw in zip(pdf["path"], pdf["content"]):
+                with pdfplumber.open(io.BytesIO(raw)) as doc:
+                    out += [(p, i, t, r, [" ".join((c or "").split()) for c in row]) for i, page in enumerate(doc.pages) for t, rows in enumerate(page.extract_tables()) for r, row in enumerate(rows)]
+            yield pd.DataFrame(out, columns=["path", "page", "table_no", "row_no", "cells"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, page int, table_no int, row_no int, cells array<string>")
+
+
+def ranked_pdf_table(cells: DataFrame, columns: list[str]) -> DataFrame:
+    """Table rows of at least as many cells as ``columns`` (rank, ai_maturity_score and company_name among them) as text
+    columns, for ``ranked_rows``."""
+    return cells.where(F.size("cells") >= len(columns)).select(*(F.col("cells")[i].alias(c) for i, c in enumerate(columns)))
+
+
 def annotations(labels: DataFrame, key: DataFrame) -> DataFrame:
     """Labelled sample with its hidden key; a prediction is 1 for records drawn as positive, a gold label that is no
     number is null."""

@@ -50,10 +50,16 @@ def sentence_review(flagged: DataFrame, most: int = 5000) -> str:
     return page("AI sentences", "".join(out))
 
 
-def index_report(result: DataFrame, dims: list[str], most: int = 5000) -> str:
-    """Ranked firms with their dimension scores, and those without a rank with the dimensions they lack."""
+def index_report(result: DataFrame, dims: list[str], details: dict[str, list[str]] | None = None, most: int = 5000) -> str:
+    """Ranked firms with their dimension scores, and those without a rank with the dimensions they lack. ``details`` names
+    the columns behind a dimension: each ranked firm then opens to its scores, coverage and indicators."""
     lacking = F.array_join(F.filter(F.array(*(F.when(F.coalesce(f"coverage_{d}", F.lit(0.0)) == 0, d) for d in dims)), lambda x: x.isNotNull()), ", ")
     df = result.withColumn("lacks", lacking)
     ranked = _rows(df.where("rank IS NOT NULL").orderBy("rank", "company_name"), most)
     rest = _rows(df.where("rank IS NULL").orderBy("company_name"), most)
-    return page("Index", table(ranked, ["rank", "company_name", "index_0_100", *(f"score_{d}" for d in dims), "cluster_label"]) + "<h2>Excluded</h2>" + table(rest, ["company_name", "lacks"]))
+    below = ""
+    for r in ranked if details else []:
+        parts = [{"dimension": d, "score": r[f"score_{d}"], "coverage": r[f"coverage_{d}"], "indicator": c, "value": r[c]} for d in dims for c in details.get(d, [])]
+        below += f"<details><summary>{escape(str(r['rank']))}. {escape(r['company_name'])}</summary>{table(parts, ['dimension', 'score', 'coverage', 'indicator', 'value'])}</details>"
+    top = table(ranked, ["rank", "company_name", "index_0_100", *(f"score_{d}" for d in dims), "cluster_label"])
+    return page("Index", top + (f"<h2>Behind the scores</h2>{below}" if below else "") + "<h2>Excluded</h2>" + table(rest, ["company_name", "lacks"]))
