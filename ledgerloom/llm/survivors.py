@@ -52,11 +52,12 @@ def truth(recs: DataFrame, settled: float = 1e-3, most: int = 200) -> DataFrame:
     """``(gvkey, fyear, field, value, support)``: the value with the highest weighted vote of each field.
 
     A claim is backed by the votes of its bin and, for numbers, of the two bins beside it. A source's weight is the
-    negative log of the share of votes that its claims miss; weights move half way in each round, and rounds go on
-    until none moves by ``settled`` (an error if they don't settle within ``most``). Everything is summed per group,
+    negative log of the share of votes that its claims miss; weights move all the way to it, or half as far once they
+    no longer come closer, and rounds go on until none moves by ``settled`` (an error if they don't within ``most``). Everything is summed per group,
     bin and source first, so a group of any size is combined before the shuffle."""
     group = ["gvkey", "fyear", "field"]
-    facts = cut(claims(recs).groupBy(*group, "bin", "source").agg(F.count("*").alias("n")))
+    long = cut(claims(recs))
+    facts = cut(long.groupBy(*group, "bin", "source").agg(F.count("*").alias("n")))
     weights = cut(facts.select("source").distinct().withColumn("weight", F.lit(1.0)))
     near = F.when(F.col("field").isin(*FIELDS), F.array(*(F.col("bin") + i for i in (-1, 0, 1)))).otherwise(F.array("bin"))
     total = cut(facts.groupBy(*group, "source").agg(F.sum("n").alias("n")))
@@ -67,18 +68,20 @@ def truth(recs: DataFrame, settled: float = 1e-3, most: int = 200) -> DataFrame:
         every = total.join(w, "source").groupBy(*group).agg(F.sum(F.col("weight") * F.col("n")).alias("all"))
         return window.join(every, group).select(*group, "bin", (F.col("vote") / F.col("all")).alias("support"))
 
+    step, before = 1.0, float("inf")
     for _ in range(most):
         support = backed(weights)
         missed = facts.join(support, [*group, "bin"]).groupBy("source").agg(((F.sum((1 - F.col("support")) * F.col("n")) + 0.5) / (F.sum("n") + 1)).alias("error"))
-        new = cut(missed.join(weights, "source").select("source", ((F.greatest(-F.log("error"), F.lit(0.05)) + F.col("weight")) / 2).alias("weight"), F.col("weight").alias("old")))
+        new = cut(missed.join(weights, "source").select("source", (F.col("weight") + step * (F.greatest(-F.log("error"), F.lit(0.05)) - F.col("weight"))).alias("weight"), F.col("weight").alias("old")))
         moved = new.agg(F.max(F.abs(F.col("weight") - F.col("old")))).first()[0]
         weights = new.drop("old")
         if moved is None or moved < settled:
             break
+        step, before = step / 2 if moved > 0.9 * before else step, moved
     else:
         raise RuntimeError(f"source weights still move by {moved} after {most} rounds")
     # of the best backed values the one with most votes of its own, then the larger
-    own = claims(recs).groupBy(*group, "bin", "value", "source").agg(F.count("*").alias("n")).join(weights, "source").groupBy(*group, "bin", "value").agg(F.sum(F.col("weight") * F.col("n")).alias("vote"))
+    own = long.groupBy(*group, "bin", "value", "source").agg(F.count("*").alias("n")).join(weights, "source").groupBy(*group, "bin", "value").agg(F.sum(F.col("weight") * F.col("n")).alias("vote"))
     order = F.struct(F.round("support", 9), F.round("vote", 9), F.coalesce(F.col("value").try_cast("double"), F.lit(0.0)), "value")
     best = own.join(backed(weights), [*group, "bin"]).groupBy(*group).agg(F.max_by(F.struct("value", "support"), order).alias("b"))
     return best.select(*group, "b.value", "b.support")

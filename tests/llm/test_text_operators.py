@@ -108,7 +108,7 @@ def brute_truth(rows, settled):
     from collections import defaultdict
 
     near = lambda f, b: (b - 1, b, b + 1) if f in survivors.FIELDS else (b,)
-    w = {s: 1.0 for _, s, *_ in rows}
+    w, step, before = {s: 1.0 for _, s, *_ in rows}, 1.0, math.inf
     while True:
         own, every = defaultdict(float), defaultdict(float)
         for g, s, f, _, b in rows:
@@ -118,11 +118,12 @@ def brute_truth(rows, settled):
         new = {}
         for s in w:
             mine = [1 - support[g, f, b] for g, t, f, _, b in rows if t == s]
-            new[s] = (max(-math.log((sum(mine) + 0.5) / (len(mine) + 1)), 0.05) + w[s]) / 2
+            new[s] = w[s] + step * (max(-math.log((sum(mine) + 0.5) / (len(mine) + 1)), 0.05) - w[s])
         moved = max(abs(new[s] - w[s]) for s in w)
         w = new
         if moved < settled:
             return w
+        step, before = step / 2 if moved > 0.9 * before else step, moved
 
 
 def test_truth_equals_brute_force_and_codes_are_fields(spark):
