@@ -1,7 +1,7 @@
 """Garbled text from wrong character encoding (problem 10).
 
 Every distinct word of the corpus (runs of signs beyond ASCII, and words that hold such signs) is garbled under all
-encoding chains; the forms are hash-joined with the words that occur. A word is garbled if it is such a form of a
+encoding chains; the forms that pass a bitmap of the words' hashes are hash-joined with the words that occur. A word is garbled if it is such a form of a
 word that the corpus holds in more texts (copies of the garbled count once), or an unmistakable form of a word that it holds at all,
 and is replaced by that verified original. U+FFFD marks what a decoder could
 not read: garbled, and restored only where a chain still tells the original.
@@ -13,11 +13,13 @@ import re
 from collections.abc import Iterator
 from itertools import product
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.session import cut, spread
+from ledgerloom.session import cut
 
 # --- fixed values: encodings a text may be stored in, and read as ---
 STORED = "utf-8 cp1252 latin-1 cp1250 cp1251 koi8-r cp866 iso8859-15 iso8859-2 mac-roman cp437 cp850 mac-cyrillic iso8859-5 cp932 euc-jp gbk big5 euc-kr".split()
@@ -95,6 +97,21 @@ def document_tokens(df: DataFrame, key: str, text: str, *more: str) -> DataFrame
     return df.where(t.rlike(RUN)).select(key, *more, F.explode(F.array_distinct(F.concat(*parts))).alias("token"))
 
 
+# bits of the filter that tells which forms occur at all: 8 MB whatever the corpus
+FILTER_BITS = 26
+
+
+def word_filter(counts: DataFrame) -> np.ndarray:
+    """A bitmap of the hashes of ``counts.token``, of fixed size. A form whose bit is not set stands nowhere in the corpus;
+    one whose bit is set goes on to the join, so a full filter costs time and no result."""
+    at = F.pmod(F.xxhash64("token"), F.lit(1 << FILTER_BITS))
+    parts = counts.groupBy(F.shiftright(at, 15).cast("int").alias("bucket")).agg(F.bitmap_construct_agg(at.bitwiseAND(F.lit(32767))).alias("bits"))
+    out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    for r in parts.collect():  # at most 2 ** 11 rows of 4 KB
+        out[r["bucket"] * 4096 : (r["bucket"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
 def garbled_tokens(tokens: DataFrame) -> DataFrame:
     """``(token, original, chain, weak)``: the tokens that are garbled forms of more frequent ones, or unmistakable
     ones of any. ``tokens`` has one row for a token of a different text, with the number of ``copies`` of the text;
@@ -102,7 +119,11 @@ def garbled_tokens(tokens: DataFrame) -> DataFrame:
     null for a token with U+FFFD that no chain explains and for a form that spreads over several tokens. ``weak``
     forms are too short to prove anything by themselves; they hold where the same chain is proven nearby."""
 
+    counts = cut(tokens.groupBy("token").agg(F.count("*").alias("n"), F.sum("copies").alias("n_copies")))
+    bits = counts.sparkSession.sparkContext.broadcast(word_filter(counts))  # of fixed size
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there, mask = bits.value, (1 << FILTER_BITS) - 1
         for b in it:
             rows: dict[str, list] = {k: [] for k in ("form", "original", "chain", "longer", "weak", "sure", "n_original")}
             for w, n in zip(b.column("token").to_pylist(), b.column("n_copies").to_pylist()):
@@ -117,6 +138,9 @@ def garbled_tokens(tokens: DataFrame) -> DataFrame:
                     done.add((g, chain if short else ""))
                     whole = bool(_WORD.fullmatch(g))
                     for f in [g] if whole else [x for x in _WORD.findall(g) if sum(c > "\x7f" for c in x) >= 3]:
+                        h = xxhash.xxh64_intdigest(f.encode("utf-8", "surrogatepass"), 42) & mask
+                        if not there[h >> 3] >> (h & 7) & 1:
+                            continue  # no text holds this form
                         beyond = sum(c > "\x7f" for c in f)
                         longer = (len(f) > len(w) or not whole) and beyond >= 2
                         if cjk and len(f) < (6 if len(w) == 1 else 4):
@@ -128,9 +152,9 @@ def garbled_tokens(tokens: DataFrame) -> DataFrame:
             kinds = (pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), kinds)], list(rows))
 
-    counts = cut(tokens.groupBy("token").agg(F.count("*").alias("n"), F.sum("copies").alias("n_copies")))
     # few distinct words are much work: all cores share them
-    forms = spread(counts).mapInArrow(run, "form string, original string, chain string, longer boolean, weak boolean, sure boolean, n_original long")
+    cores = counts.sparkSession.sparkContext.defaultParallelism
+    forms = counts.repartition(max(cores, counts.rdd.getNumPartitions()), "token").mapInArrow(run, "form string, original string, chain string, longer boolean, weak boolean, sure boolean, n_original long")
     hit = cut(forms.join(counts, forms.form == counts.token).where(F.col("sure") | F.when(F.col("longer") | F.col("weak"), F.col("n_original") >= F.col("n")).otherwise(F.col("n_original") > 3 * F.col("n"))))
     # a word garbled twice is also a form of the word garbled once, which may stand in more texts than the sound one
     unsound = hit.where("sure").select(F.col("token").alias("original")).distinct().withColumn("_bad", F.lit(True))
