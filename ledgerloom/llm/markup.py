@@ -17,7 +17,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+
+from ledgerloom.session import cut
 
 # --- fixed values ---------------------------------------------------------------------------------------------
 TAGS = (
@@ -127,23 +129,32 @@ def _template(m: re.Match) -> str:
     return " ".join(re.sub(r"^([\w -]+?)\s*=\s*", r"\1: ", a) for a in args if a and not a.endswith("="))
 
 
+# without one of these signs a stretch of text holds no inline markup
+_SIGNS = re.compile(r"[<&\\\[\]{}`*_~]|''|-->")
+
+
 def _inline(s: str) -> str:
     """Inline markup to text. Notes stay in brackets, templates with their arguments; citation keys and labels go."""
-    s = re.sub(r"<!--.*?-->|<!--|-->", "", s, flags=re.S)
-    s = re.sub(r"<br\s*/?>", "\n", s, flags=re.I)
-    s = re.sub(r"<ref\b[^<>]*/>", "", s, flags=re.I)
-    s = re.sub(r"\s*<ref\b[^<>]*>(.*?)</ref>", r" (\1)", s, flags=re.I | re.S)
-    s = SCAN.sub(lambda m: "" if m.lastgroup == "tag" else m.group(), s)
+    if not _SIGNS.search(s):
+        return re.sub(r"[ \t\xa0]+", " ", s).strip()
+    if "<" in s or "-->" in s:
+        s = re.sub(r"<!--.*?-->|<!--|-->", "", s, flags=re.S)
+        s = re.sub(r"<br\s*/?>", "\n", s, flags=re.I)
+        s = re.sub(r"<ref\b[^<>]*/>", "", s, flags=re.I)
+        s = re.sub(r"\s*<ref\b[^<>]*>(.*?)</ref>", r" (\1)", s, flags=re.I | re.S)
+        s = SCAN.sub(lambda m: "" if m.lastgroup == "tag" else m.group(), s)
     while "{{" in s and (t := re.sub(r"\{\{([^{}]*)\}\}", _template, s)) != s:
         s = t
-    s = re.sub(r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]", r"\1", s)
-    s = re.sub(r"\[https?://[^\s\]]+\s*([^\]\n]*)\]", r"\1", s)
-    s = re.sub(r"!?\[([^\[\]\n]*)\]\((?!\s)[^()\s]*(?:\s+\"[^\"\n]*\")?\)", r"\1", s)
-    s = re.sub(r"!?\[([^\[\]\n]+)\]\[[^\[\]\n]*\]", r"\1", s)
-    s = re.sub(r"\\(?:cite[pt]?|label|ref)\*?\s*\{[^{}]*\}", "", s)
-    s = re.sub(r"\s*\\footnote\*?\s*\{([^{}]*)\}", r" (\1)", s)
-    s = re.sub(r"\\(?:emph|text[a-z]{2}|underline|url|mathrm|title|author|date)\*?\s*\{([^{}]*)\}", r"\1", s)
-    s = re.sub(r"\\(?:emph|text[a-z]{2}|underline|footnote)\*?\s*\{?", "", s)
+    if "[" in s:
+        s = re.sub(r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]", r"\1", s)
+        s = re.sub(r"\[https?://[^\s\]]+\s*([^\]\n]*)\]", r"\1", s)
+        s = re.sub(r"!?\[([^\[\]\n]*)\]\((?!\s)[^()\s]*(?:\s+\"[^\"\n]*\")?\)", r"\1", s)
+        s = re.sub(r"!?\[([^\[\]\n]+)\]\[[^\[\]\n]*\]", r"\1", s)
+    if "\\" in s:
+        s = re.sub(r"\\(?:cite[pt]?|label|ref)\*?\s*\{[^{}]*\}", "", s)
+        s = re.sub(r"\s*\\footnote\*?\s*\{([^{}]*)\}", r" (\1)", s)
+        s = re.sub(r"\\(?:emph|text[a-z]{2}|underline|url|mathrm|title|author|date)\*?\s*\{([^{}]*)\}", r"\1", s)
+        s = re.sub(r"\\(?:emph|text[a-z]{2}|underline|footnote)\*?\s*\{?", "", s)
     s = re.sub(r"~~|`+|\[\[|\]\]|\{\{|\}\}|'{2,5}(?=[^\s'])|(?<=[^\s'])'{2,5}", "", s)
     s = re.sub(r"(?<![\w*])\*{1,3}(?=[^\s*.,;:)])([^*\n]+?)(?<=[^\s*(])\*{1,3}(?![\w*])", r"\1", s)
     s = re.sub(r"(?<![\w_])_{1,3}(?=[^\s_])([^_\n]+?)(?<=[^\s_])_{1,3}(?![\w_])", r"\1", s)
@@ -220,12 +231,13 @@ def render(blocks: list[tuple[str, str]]) -> str:
     return "\n".join(lines)
 
 
-def recurring_subtrees(pages: DataFrame, host: str, page: str, min_pages: int = 5, share: float = 0.3) -> DataFrame:
+def recurring_subtrees(pages: DataFrame, host: str, page: str, min_pages: int = 5, share: float = 0.3, sizes_of: DataFrame | None = None) -> DataFrame:
     """``(host, h, n_pages, host_pages)``: subtrees on at least ``min_pages`` pages and ``share`` of the host's pages. Null
     hosts are one host. Pages and subtrees are counted by aggregates that combine before the shuffle, so a host may
     hold any share of the rows."""
     per = pages.select(host, page, F.explode(F.array_distinct(F.transform("subtrees", lambda s: s.h))).alias("h")).distinct().groupBy(host, "h").agg(F.count("*").alias("n_pages"))
-    sizes = pages.select(F.col(host).alias("_host"), page).distinct().groupBy("_host").agg(F.count("*").alias("host_pages"))
+    # a host's pages are counted without the subtrees
+    sizes = (sizes_of if sizes_of is not None else pages).select(F.col(host).alias("_host"), page).distinct().groupBy("_host").agg(F.count("*").alias("host_pages"))
     j = per.where(F.col("n_pages") >= min_pages).join(sizes, F.col(host).eqNullSafe(F.col("_host")))
     return j.where(F.col("n_pages") >= share * F.col("host_pages")).select(host, "h", "n_pages", "host_pages")
 
@@ -241,7 +253,8 @@ def _pages(src: DataFrame, page: str, host: str) -> DataFrame:
             trees = [[{"h": h, "s": s, "e": e} for h, s, e in subtrees(t)] for t in b.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(page).cast(arrow[0].type), b.column(host).cast(arrow[1].type), b.column("_version"), pa.array(trees, arrow[3].type)], schema=arrow)
 
-    return src.mapInArrow(parse, schema)
+    # hashes and places are small beside the texts; they are read several times and made once
+    return cut(src.mapInArrow(parse, schema))
 
 
 def _source(df: DataFrame, page: str, host: str, text: str) -> DataFrame:
@@ -250,8 +263,9 @@ def _source(df: DataFrame, page: str, host: str, text: str) -> DataFrame:
 
 def site_templates(df: DataFrame, host: str = "cik", page: str = "accession_number", text: str = "text", min_pages: int = 5, share: float = 0.3) -> DataFrame:
     """``(page, host, h, n_pages, host_pages)``: every page and the recurring subtrees that are deleted from it."""
-    pages = _pages(_source(df, page, host, text), page, host)
-    bad = recurring_subtrees(pages, host, page, min_pages, share).withColumnRenamed(host, "_b")
+    src = _source(df, page, host, text)
+    pages = _pages(src, page, host)
+    bad = recurring_subtrees(pages, host, page, min_pages, share, src).withColumnRenamed(host, "_b")
     on = pages.select(page, host, F.explode(F.array_distinct(F.transform("subtrees", lambda s: s.h))).alias("h")).distinct()
     return on.join(bad, ["h"]).where(F.col(host).eqNullSafe(F.col("_b"))).select(page, host, "h", "n_pages", "host_pages")
 
@@ -265,7 +279,7 @@ def clean_markup(df: DataFrame, host: str = "cik", page: str = "accession_number
     """
     src = _source(df, page, host, text)
     pages = _pages(src, page, host)
-    bad = recurring_subtrees(pages, host, page, min_pages, share).select(F.col(host).alias("_b"), "h")
+    bad = recurring_subtrees(pages, host, page, min_pages, share, src).select(F.col(host).alias("_b"), "h")
     drops = (
         pages.select(page, host, "_version", F.explode("subtrees").alias("t")).select(page, host, "_version", F.col("t.h").alias("h"), "t.s", "t.e")
         .join(bad, "h").where(F.col(host).eqNullSafe(F.col("_b"))).groupBy(F.col(page).alias("_p"), F.col("_version").alias("_v"), F.col("_b")).agg(F.collect_set(F.struct("s", "e")).alias("_drop"))
