@@ -60,6 +60,11 @@ def truth(recs: DataFrame, settled: float = 1e-3, most: int = 200) -> DataFrame:
     facts = cut(long.groupBy(*group, "bin", "source").agg(F.count("*").alias("n")))
     weights = cut(facts.select("source").distinct().withColumn("weight", F.lit(1.0)))
     near = F.when(F.col("field").isin(*FIELDS), F.array(*(F.col("bin") + i for i in (-1, 0, 1)))).otherwise(F.array("bin"))
+    # where all claims lie in one bin nothing depends on the weights: they only count as claims that are fully backed
+    spread = facts.groupBy(*group).agg(F.min("bin").alias("_lo"), F.max("bin").alias("_hi"))
+    split = cut(facts.join(spread, group).select(*facts.columns, (F.col("_lo") < F.col("_hi")).alias("_open")))
+    calm = cut(split.where("NOT _open").groupBy("source").agg(F.sum("n").alias("calm")))
+    facts = cut(split.where("_open").drop("_open"))
     total = cut(facts.groupBy(*group, "source").agg(F.sum("n").alias("n")))
 
     def backed(w: DataFrame) -> DataFrame:
@@ -71,8 +76,10 @@ def truth(recs: DataFrame, settled: float = 1e-3, most: int = 200) -> DataFrame:
     step, before = 1.0, float("inf")
     for _ in range(most):
         support = backed(weights)
-        missed = facts.join(support, [*group, "bin"]).groupBy("source").agg(((F.sum((1 - F.col("support")) * F.col("n")) + 0.5) / (F.sum("n") + 1)).alias("error"))
-        new = cut(missed.join(weights, "source").select("source", (F.col("weight") + step * (F.greatest(-F.log("error"), F.lit(0.05)) - F.col("weight"))).alias("weight"), F.col("weight").alias("old")))
+        missed = facts.join(support, [*group, "bin"]).groupBy("source").agg(F.sum((1 - F.col("support")) * F.col("n")).alias("missed"), F.sum("n").alias("claims"))
+        every = weights.join(missed, "source", "left").join(calm, "source", "left").na.fill(0, ["missed", "claims", "calm"])
+        every = every.withColumn("error", (F.col("missed") + 0.5) / (F.col("claims") + F.col("calm") + 1))
+        new = cut(every.select("source", (F.col("weight") + step * (F.greatest(-F.log("error"), F.lit(0.05)) - F.col("weight"))).alias("weight"), F.col("weight").alias("old")))
         moved = new.agg(F.max(F.abs(F.col("weight") - F.col("old")))).first()[0]
         weights = new.drop("old")
         if moved is None or moved < settled:
@@ -83,7 +90,7 @@ def truth(recs: DataFrame, settled: float = 1e-3, most: int = 200) -> DataFrame:
     # of the best backed values the one with most votes of its own, then the larger
     own = long.groupBy(*group, "bin", "value", "source").agg(F.count("*").alias("n")).join(weights, "source").groupBy(*group, "bin", "value").agg(F.sum(F.col("weight") * F.col("n")).alias("vote"))
     order = F.struct(F.round("support", 9), F.round("vote", 9), F.coalesce(F.col("value").try_cast("double"), F.lit(0.0)), "value")
-    best = own.join(backed(weights), [*group, "bin"]).groupBy(*group).agg(F.max_by(F.struct("value", "support"), order).alias("b"))
+    best = own.join(backed(weights), [*group, "bin"], "left").withColumn("support", F.coalesce("support", F.lit(1.0))).groupBy(*group).agg(F.max_by(F.struct("value", "support"), order).alias("b"))
     return best.select(*group, "b.value", "b.support")
 
 
