@@ -10,14 +10,17 @@ time; sums of similarities are all a round needs, so it runs as joins and aggreg
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from math import fsum, log, sqrt
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.names import GIVEN, Lexicon, core_words, distance_in_any_order, shortened, within
-from ledgerloom.session import cut
+from ledgerloom.session import cut, release
 
 
 def learn_lexicon(names: DataFrame, name: str = "name", relative: float = 0.25, floor: int = 7, share: float = 0.0002, together: float = 0.25) -> Lexicon:
@@ -31,7 +34,7 @@ def learn_lexicon(names: DataFrame, name: str = "name", relative: float = 0.25,
     other: in at least ``together`` of the families where the rarer one changes place with some entry, it is with the other.
     """
     split = F.udf(lambda n: sorted({w for w in core_words(n) if w not in GIVEN and len(w) > 1}), "array<string>", useArrow=True)
-    keys = cut(names.select(split(name).alias("w")).where(F.size("w") > 1).distinct())
+    keys = cut(names.select(F.array_join(split(name), " ").alias("w")).where("w LIKE '% %'").distinct()).select(F.split("w", " ").alias("w"))
     beside = keys.select(F.explode("w").alias("x"), "w").select("x", F.explode(F.array_distinct(F.transform(F.filter("w", lambda y: y != F.col("x")), lambda y: F.substring(y, 1, 2)))).alias("y"))
     per = beside.groupBy("x", "y").agg(F.count("*").alias("n")).groupBy("x").agg(F.count("*").alias("beside"))
     df = keys.select(F.explode("w").alias("x")).groupBy("x").agg(F.count("*").alias("df"))
@@ -77,46 +80,91 @@ def name_nodes(names: DataFrame, name: str = "name", lexicon: Lexicon | None = N
     return names.select(F.col(name).alias("name")).where(F.col("name").isNotNull()).distinct().mapInArrow(run, "name string, node string, line string, family string")
 
 
+def _letters(family: str) -> int:
+    """64 bits of a family's letters and digits: which there are, and which letters there are twice. An edit sets one bit at
+    most and clears one at most; the order of the words and the blanks say nothing."""
+    bits = 0
+    for c in set(family) - {" "}:
+        bits |= 1 << (ord(c) - 97 if c > "9" else ord(c) - 22)
+        if c > "9" and family.count(c) > 1:
+            bits |= 1 << (ord(c) - 61)
+    return bits
+
+
+def _grams(family: str, n: int) -> Counter:
+    """The n-grams of a family with their counts. They lie within words, so the order of the words says nothing."""
+    return Counter(p[i : i + n] for w in family.split(" ") for p in (f"#{w}#",) for i in range(max(len(p) - n + 1, 1)))
+
+
 def similar_nodes(nodes: DataFrame, threshold: float = 0.25, n: int = 3, typos: float = 0.25) -> DataFrame:
     """``(a, b, cosine, edits, s)`` with a < b for all nodes of one line whose families have a cosine of ``threshold``
     or more. ``s``, the square root of the cosine, is the similarity that clustering and linkage use. An exact check
-    follows: pairs more than ``typos`` edits per letter (4 at most) apart, in the order of words that suits best, are no
-    variants of one another. No pair is capped, and none is dropped before its cosine is known."""
-    d = cut(nodes.select("node", "line", "family").distinct().withColumn("id", F.xxhash64("node")))
-    # n-grams lie within words, so their order says nothing
-    word = d.select("id", "line", F.explode(F.split("family", " ")).alias("word")).select("id", "line", F.concat(F.lit("#"), "word", F.lit("#")).alias("p"))
-    grams = cut(
-        word.select("id", "line", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("p") - (n - 1), F.lit(1))), lambda i: F.substring("p", i, n))).alias("g"))
-        .groupBy("id", "line", "g").agg(F.count("*").alias("tf"))
-    )
-    df = grams.groupBy("g").agg(F.count("*").alias("df"))
-    # an n-gram that one node has alone is often a typo: rarity is smoothed so that it doesn't outweigh the rest
-    w = grams.join(df, "g").crossJoin(F.broadcast(d.agg(F.count("*").alias("N")))).withColumn("w", F.col("tf") * F.log(1 + F.col("N") / (F.col("df") + 5)))
-    norm = w.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    # n-grams of one node only meet no other; they count in the norm
-    v = cut(w.where("df > 1").join(norm, "id").select("id", "line", "g", (F.col("w") / F.col("norm")).alias("w")))
-    a, b = (v.select("line", "g", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "w"))) for x in "ab")
-    pairs = (
-        a.join(b, ["line", "g"]).where(F.col("id_a") < F.col("id_b"))
-        .groupBy("id_a", "id_b").agg(F.sum(F.col("w_a") * F.col("w_b")).alias("cosine")).where(F.col("cosine") >= threshold)
-    )
-    who = d.select("id", "node", "family")
-    both = pairs.join(who.select(F.col("id").alias("id_a"), F.col("node").alias("a"), F.col("family").alias("fa")), "id_a").join(who.select(F.col("id").alias("id_b"), F.col("node").alias("b"), F.col("family").alias("fb")), "id_b")
-    initials = F.element_at(F.split("a", "[|]"), -1), F.element_at(F.split("b", "[|]"), -1)
-    compatible = (initials[0] == initials[1]) | (initials[0] == "") | (initials[1] == "")
+    goes with it: pairs more than ``typos`` edits per letter (4 at most) apart, in the order of words that suits best, are no
+    variants of one another. No pair is capped. Nodes meet under the n-grams they share, the commonest of a node left out as
+    far as these can't reach ``threshold`` by themselves; a meeting ends at once if the letters of the two differ by more
+    than the edits allowed. The rest is decided where it meets, so only similar pairs are ever moved: what is written
+    grows with the nodes, not with their meetings."""
+    d = cut(nodes.select("node").distinct())
+    release(d)
+
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c: Counter = Counter()
+        for x in it:
+            for node in x.column(0).to_pylist():
+                c.update(_grams(node.split("|")[1], n).keys())
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["g", "df"])
+
+    # names are folded to 36 signs, so there are some 37 ** n n-grams at most, however many names
+    df = {r["g"]: r["df"] for r in d.mapInArrow(count, "g string, df long").groupBy("g").agg(F.sum("df").alias("df")).collect()}
+    total = d.count()
+
+    def vector(family: str) -> dict[str, float]:
+        """Weights of length 1, the rarest n-gram first."""
+        # an n-gram that one node has alone is often a typo: rarity is smoothed so that it doesn't outweigh the rest
+        w = {g: tf * log(1 + total / (df[g] + 5)) for g, tf in _grams(family, n).items()}
+        norm = sqrt(fsum(x * x for x in w.values()))
+        return {g: w[g] / norm for g in sorted(w, key=lambda g: (df[g], g))}
+
+    def spell(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in it:
+            rows = []
+            for node in x.column(0).to_pylist():
+                line, f, _ = node.split("|")
+                name, bits, most, rest = node[len(line) + 1 :], _letters(f), min(4, int(typos * len(f.replace(" ", "")))), 1.0
+                for g, w in vector(f).items():
+                    if rest < threshold * threshold - 1e-9:
+                        break
+                    rest -= w * w
+                    if df[g] > 1:  # what one node has alone meets no other
+                        rows.append((f"{g}|{line}", name, bits, most))
+            cols = list(zip(*rows)) if rows else [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int8()))], ["key", "name", "bits", "most"])
+
+    v = d.mapInArrow(spell, "key string, name string, bits long, most byte")
+    a, b = (v.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("name", "bits", "most"))) for x in "ab")
+    most = F.least("most_a", "most_b")
+    lacks = lambda x, y: F.bit_count(F.col(f"bits_{x}").bitwiseAND(F.bitwise_not(f"bits_{y}")))
+    meet = a.join(b, "key").where((F.col("name_a") < F.col("name_b")) & (lacks("a", "b") <= most) & (lacks("b", "a") <= most))
 
     def check(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = lru_cache(20_000)(vector)
         for x in it:
-            edits, s = [], []
-            for p, q, c in zip(*(x.column(k).to_pylist() for k in ("fa", "fb", "cosine"))):
-                most = min(4, int(typos * min(len(p.replace(" ", "")), len(q.replace(" ", "")))))
-                e = distance_in_any_order(p, q, most)
-                edits.append(e if e <= most else None)
-                s.append(min(c, 1.0) ** 0.5)
-            yield pa.RecordBatch.from_arrays([x.column("a"), x.column("b"), x.column("cosine"), pa.array(edits, pa.int32()), pa.array(s, pa.float64())], ["a", "b", "cosine", "edits", "s"])
-
-    ordered = both.where(compatible).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cosine", "fa", "fb")
-    return ordered.mapInArrow(check, "a string, b string, cosine double, edits int, s double").where(F.col("edits").isNotNull())
+            rows = []
+            for key, na, nb, most in zip(*(x.column(k).to_pylist() for k in ("key", "name_a", "name_b", "most"))):
+                (p, i), (q, j), (g, line) = na.split("|"), nb.split("|"), key.split("|")
+                if i and j and i != j:
+                    continue
+                u, v = known(p), known(q)
+                both = (h for h in u if h in v)
+                if next(both) != g:  # a pair counts where it meets first
+                    continue
+                c = fsum((u[g] * v[g], *(u[h] * v[h] for h in both)))
+                if c >= threshold and (e := distance_in_any_order(p, q, most)) <= most:
+                    rows.append((f"{line}|{na}", f"{line}|{nb}", c, e, min(c, 1.0) ** 0.5))
+            cols = list(zip(*rows)) if rows else [(), (), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.string(), pa.string(), pa.float64(), pa.int32(), pa.float64()))], ["a", "b", "cosine", "edits", "s"])
+
+    return meet.select("key", "name_a", "name_b", most.cast("int").alias("most")).mapInArrow(check, "a string, b string, cosine double, edits int, s double")
 
 
 def average_linkage(edges: DataFrame, threshold: float = 0.3) -> DataFrame:
@@ -125,6 +173,7 @@ def average_linkage(edges: DataFrame, threshold: float = 0.3) -> DataFrame:
     e = cut(edges.select("a", "b", "s"))
     member = cut(e.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("cluster", F.col("node")))
     while True:
+        release(e)
         size = member.groupBy("cluster").agg(F.count("*").alias("n"))
         avg = (
             e.join(size.select(F.col("cluster").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("cluster").alias("b"), F.col("n").alias("nb")), "b")
@@ -149,7 +198,7 @@ def average_linkage(edges: DataFrame, threshold: float = 0.3) -> DataFrame:
 def name_clusters(names: DataFrame, name: str = "name", cosine: float = 0.25, linkage: float = 0.3) -> DataFrame:
     """``(name, cluster)`` for every distinct name; placeholders and null names have no row, an unmatched name is a
     cluster of its own."""
-    nodes = cut(name_nodes(names, name))
+    nodes = cut(name_nodes(names, name).select("name", "node"))
     member = average_linkage(similar_nodes(nodes, cosine).select("a", "b", "s"), linkage)
     return nodes.join(member, "node", "left").select("name", F.coalesce("cluster", "node").alias("cluster"))
 

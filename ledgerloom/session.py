@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,6 +53,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(df: DataFrame) -> None:
+    """Delete shuffle files and checkpoints that nothing refers to any more. Spark does it when the driver happens to collect
+    its garbage; a driver with memory to spare does that late, and until then they all lie on the executors' disks."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over at least as many partitions as there are cores. Only a table smaller than that many blocks of
     ``SMALL`` bytes is moved: it lies in few files and would keep most cores idle. A larger one has its partitions

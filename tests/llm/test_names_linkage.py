@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.linkage import components, link, money, solve_by_component, solve_hinge_admm, ticker_key
 from ledgerloom.llm.names import Lexicon, distance, distance_in_any_order, shortened
-from ledgerloom.llm.variants import average_linkage, learn_lexicon, name_clusters, name_pairs
+from ledgerloom.llm.variants import average_linkage, learn_lexicon, name_clusters, name_pairs, similar_nodes
 
 LEX = Lexicon({"steel": "steel", "stl": "steel", "software": "software", "sftwr": "software", "logistics": "logistics", "insurance": "insurance", "pharma": "pharma"})
 
@@ -173,3 +173,53 @@ def test_ticker_and_figures_link_without_a_name(spark):
     g = spark.createDataFrame([("11", "Facebook Incorporated", "META", 901.0, 1.0), ("12", "Quorin Steel", "UMBF", 900.0, 12.0)], "gvkey string, conm string, tic string, at double, emp double")
     out = {(r["rank"], r["entity_id"]): r["confidence"] for r in link(f, e, t, a, g).collect()}
     assert out[1, "00000011"] >= 0.5 and out[2, "00000012"] < 0.5
+
+
+def shuffled_rows(spark):
+    """Rows written to shuffles so far in this session."""
+    jvm, store = spark.sparkContext._jvm, spark.sparkContext._jsc.sc().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_what_is_moved_grows_with_the_nodes(spark):
+    # all meet under the trigrams of a syllable, hardly any are alike
+    import random
+
+    random.seed(4)
+    families = {"strand" + "".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(1500)} | {"strandqwertzui", "strandqwertzuo"}
+    nodes = spark.createDataFrame([(f"steel|{f}|", "steel", f) for f in families], "node string, line string, family string")
+    before = shuffled_rows(spark)
+    pairs = similar_nodes(nodes).collect()
+    assert ("steel|strandqwertzui|", "steel|strandqwertzuo|") in {(r["a"], r["b"]) for r in pairs}
+    assert shuffled_rows(spark) - before < 40 * len(families)
+
+
+def test_similar_nodes_equal_all_pairs_compared(spark):
+    import random
+    from collections import Counter
+    from math import log, sqrt
+
+    random.seed(9)
+    words = ["dirkfel", "landtrick", "kexbund", "lorgrim", "walmick", "dravtond", "a1", "b", "umbrel", "qq"]
+
+    def typed(w):
+        i = random.randrange(len(w))
+        return random.choice([w, w, w[:i] + random.choice("aez19") + w[i + 1 :], w[:i] + w[i + 1 :] or w, w[:i] + w[i + 1 : i + 2] + w[i : i + 1] + w[i + 2 :], w + w[-1]])
+
+    keys = sorted({(random.choice(["steel", ""]), " ".join(sorted(typed(w) for w in random.sample(words, random.choice([1, 2, 2, 3])))), random.choice(["", "", "j", "k"])) for _ in range(260)})
+    grams = lambda f: Counter(p[i : i + 3] for w in f.split() for p in (f"#{w}#",) for i in range(max(len(p) - 2, 1)))
+    df = Counter(g for _, f, _ in keys for g in grams(f))
+    vec = {f: {g: t * log(1 + len(keys) / (df[g] + 5)) for g, t in grams(f).items()} for _, f, _ in keys}
+    norm = {f: sqrt(sum(x * x for x in v.values())) for f, v in vec.items()}
+    want = {}
+    for line, p, i in keys:
+        for other, q, j in keys:
+            a, b, most = f"{line}|{p}|{i}", f"{other}|{q}|{j}", min(4, int(0.25 * min(len(p.replace(" ", "")), len(q.replace(" ", "")))))
+            if line == other and a < b and (i == j or not i or not j):
+                c, e = sum(x * vec[q].get(g, 0) for g, x in vec[p].items()) / norm[p] / norm[q], distance_in_any_order(p, q, most)
+                if c >= 0.25 and e <= most:
+                    want[a, b] = (round(c, 9), e)
+    got = similar_nodes(spark.createDataFrame([(f"{x}|{f}|{i}", x, f) for x, f, i in keys], "node string, line string, family string")).collect()
+    assert len(want) > 100 and len(got) == len(want) and {(r["a"], r["b"]): (round(r["cosine"], 9), r["edits"]) for r in got} == want
