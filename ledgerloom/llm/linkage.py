@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.survivors import gvkey8
 from ledgerloom.llm.variants import name_nodes, similar_nodes
-from ledgerloom.session import cut
+from ledgerloom.session import cut, release
 
 
 def solve_hinge_admm(rules: DataFrame, rounds: int = 400, rho: float = 1.0, tol: float = 1e-3) -> DataFrame:
@@ -84,6 +84,7 @@ def components(pairs: DataFrame) -> DataFrame:
     both = cut(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     label = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
     while True:
+        release(label)
         around = both.join(label.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
         least = label.join(around, "node").select("node", F.least("component", "m").alias("new"), F.col("component").alias("old"))
         jump = label.select(F.col("node").alias("new"), F.col("component").alias("further"))
@@ -97,13 +98,13 @@ def solve_by_component(rules: DataFrame, ends: DataFrame, rounds: int = 400, rho
     """``solve_hinge_admm`` with the problem split where it falls apart: ``ends (var, a, b)`` names the two records of a
     value, and no rule joins values of different components of that graph. Components are solved to the end inside
     the partition they are sent to, many at a time; those of more than ``most`` rows of rules go through the joins."""
-    rules = cut(rules.select(F.xxhash64("rule").alias("rule"), F.xxhash64("var").alias("var"), "coef", "offset", "weight", F.col("var").alias("name")))
-    named = rules.select("var", "name").distinct()
+    # the rules are written once, as 64-bit ids with their component; the values' names stay in ``ends``
     of = ends.select(F.xxhash64("var").alias("var"), F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")).distinct()
     label = components(of).select(F.col("node").alias("a"), "component")
-    tagged = rules.drop("name").join(of.join(label, "a").select("var", "component"), "var")
-    size = tagged.groupBy("component").agg(F.count("*").alias("size"))
-    tagged = cut(tagged.join(size, "component"))
+    ids = rules.select(F.xxhash64("rule").alias("rule"), F.xxhash64("var").alias("var"), "coef", "offset", "weight")
+    tagged = cut(ids.join(of.join(label, "a").select("var", "component"), "var"))
+    size = cut(tagged.groupBy("component").agg(F.count("*").alias("size")))
+    release(tagged)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in it if len(b)]
@@ -114,14 +115,14 @@ def solve_by_component(rules: DataFrame, ends: DataFrame, rounds: int = 400, rho
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(z), pa.array(moved)], ["var", "value", "residual"])
 
     cores = tagged.sparkSession.sparkContext.defaultParallelism
-    small = tagged.where(F.col("size") <= most)
     # so many partitions that each holds about as much as the largest component may
-    total = small.count()
+    total = size.where(F.col("size") <= most).agg(F.sum("size")).first()[0] or 0
     n = max(cores, -(-total // most), 1)
-    out = small.repartition(n, "component").select("rule", "var", "coef", "offset", "weight").mapInArrow(run, "var long, value double, residual double")
-    large = tagged.where(F.col("size") > most).select("rule", "var", "coef", "offset", "weight")
-    if not large.isEmpty():
-        out = out.unionByName(_by_joins(large, rounds, rho, tol))
+    part = lambda which: tagged.join(size.where(which).select("component"), "component").select("rule", "var", "coef", "offset", "weight", "component")
+    out = part(F.col("size") <= most).repartition(n, "component").drop("component").mapInArrow(run, "var long, value double, residual double")
+    if not size.where(F.col("size") > most).isEmpty():
+        out = out.unionByName(_by_joins(part(F.col("size") > most).drop("component"), rounds, rho, tol))
+    named = ends.select(F.xxhash64("var").alias("var"), F.col("var").alias("name")).distinct()
     return out.join(named, "var").select(F.col("name").alias("var"), "value", "residual")
 
 
@@ -153,10 +154,12 @@ def link(fortune: DataFrame, eto_core: DataFrame, eto_ticker: DataFrame, eto_ali
         .unionByName(fundamentals.where(F.col("gvkey").isNotNull()).select(F.lit("g").alias("side"), gvkey8(F.col("gvkey")).alias("id"), F.col("conm").alias("name")))
         .distinct()
     )
-    nodes = cut(name_nodes(names))
+    nodes = cut(name_nodes(names).select("name", "node"))
     edges = similar_nodes(nodes).select("a", "b", "s")
     both = cut(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "s")).unionByName(nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).distinct().withColumn("s", F.lit(1.0))))
     at = cut(names.join(nodes.select("name", "node"), "name").select("side", "id", "node").distinct())
+    del names, nodes, edges
+    release(at)
     # candidates by name, from each firm's own spelling and those of its records
     side = lambda s, n: at.where(F.col("side") == s).select(F.col("id").alias(n), F.col("node").alias(f"node_{n}"))
 
@@ -174,6 +177,7 @@ def link(fortune: DataFrame, eto_core: DataFrame, eto_ticker: DataFrame, eto_ali
     fe = by_name("f", "e")
     tick_fe = ft.select("f", "tick").distinct().join(et, "tick").select("f", "e").distinct().withColumn("same_tick", F.lit(1))
     fe = cut(fe.join(tick_fe, ["f", "e"], "full").select("f", "e", F.coalesce("name_sim", F.lit(0.0)).alias("name_sim"), F.coalesce("same_tick", F.lit(0)).alias("same_tick")))
+    release(fe)
     fg = by_name("f", "g")
     tick_fg = ft.select("f", "tick").distinct().join(tick_g, "tick").select("f", "g").distinct().withColumn("same_tick", F.lit(1))
     best = lambda xs, y: F.array_max(F.transform(xs, lambda x: _near(x, y)))
@@ -182,6 +186,8 @@ def link(fortune: DataFrame, eto_core: DataFrame, eto_ticker: DataFrame, eto_ali
         .select("f", "g", F.coalesce("name_sim", F.lit(0.0)).alias("name_sim"), F.coalesce("same_tick", F.lit(0)).alias("same_tick"), best("ats", F.col("assets")).alias("assets_sim"), best("emps", F.col("staff")).alias("staff_sim"))
     )
     eg = cut(by_name("e", "g"))
+    del both, at
+    release(eg)
 
     var = lambda kind, a, b: F.concat_ws(":", F.lit(kind), a, b)
     fev, fgv, egv = fe.withColumn("var", var("fe", "f", "e")), fg.withColumn("var", var("fg", "f", "g")), eg.withColumn("var", var("eg", "e", "g"))
@@ -216,7 +222,9 @@ def link(fortune: DataFrame, eto_core: DataFrame, eto_ticker: DataFrame, eto_ali
         table = table.unionByName(r)
     ends = fev.select("var", F.concat(F.lit("f"), "f").alias("a"), F.concat(F.lit("e"), "e").alias("b")).unionByName(fgv.select("var", F.concat(F.lit("f"), "f").alias("a"), F.concat(F.lit("g"), "g").alias("b")))
     ends = ends.unionByName(egv.select("var", F.concat(F.lit("e"), "e").alias("a"), F.concat(F.lit("g"), "g").alias("b")))
+    release(tri)
     value = cut(solve_by_component(table, ends))
+    release(value)
     out = fev.join(value, "var").select(F.col("f").alias("rank"), F.lit("eto").alias("source"), F.col("e").alias("entity_id"), F.col("value").alias("confidence"))
     out = out.unionByName(fgv.join(value, "var").select(F.col("f").alias("rank"), F.lit("fundamentals").alias("source"), F.col("g").alias("entity_id"), F.col("value").alias("confidence")))
     return out.withColumn("rank", F.col("rank").cast("int"))

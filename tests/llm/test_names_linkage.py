@@ -223,3 +223,18 @@ def test_similar_nodes_equal_all_pairs_compared(spark):
                     want[a, b] = (round(c, 9), e)
     got = similar_nodes(spark.createDataFrame([(f"{x}|{f}|{i}", x, f) for x, f, i in keys], "node string, line string, family string")).collect()
     assert len(want) > 100 and len(got) == len(want) and {(r["a"], r["b"]): (round(r["cosine"], 9), r["edits"]) for r in got} == want
+
+
+def test_link_moves_no_more_than_the_firms_need(spark):
+    import random
+
+    random.seed(6)
+    names = sorted({"strand" + "".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=8)) + " steel" for _ in range(800)})
+    f = spark.createDataFrame([(i, n, None, None, None) for i, n in enumerate(names)], "rank int, company string, ticker string, assets string, employees string")
+    e = spark.createDataFrame([(i, n.upper()) for i, n in enumerate(names)], "eto_id long, eto_name string")
+    t, a = spark.createDataFrame([], "eto_id long, ticker string"), spark.createDataFrame([], "eto_id long, alias string")
+    g = spark.createDataFrame([], "gvkey string, conm string, tic string, at double, emp double")
+    before = shuffled_rows(spark)
+    found = {(r["rank"], int(r["entity_id"])) for r in link(f, e, t, a, g).where("confidence >= 0.5").collect()}
+    assert found == {(i, i) for i in range(len(names))}
+    assert shuffled_rows(spark) - before < 120 * len(names)
