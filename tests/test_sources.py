@@ -98,6 +98,50 @@ def test_merge_equals_choosing_in_turn(spark):
     assert {(r["base_row"], r["other_row"]): r["how"] for r in got} == want
 
 
+def _aligned(a: str, b: str) -> float:
+    x, y = " ".join(sorted(a.split())), " ".join(sorted(b.split()))
+    row = [0] * (len(y) + 1)
+    for p in x:
+        diag = 0
+        for j, q in enumerate(y):
+            diag, row[j + 1] = row[j + 1], diag + 1 if p == q else max(row[j + 1], row[j])
+    return 200.0 * row[-1] / (len(x) + len(y))
+
+
+@pytest.mark.parametrize("threshold", [75.0, 50.0])
+def test_similar_keys_are_all_found_in_parts(spark, monkeypatch, threshold):
+    import random
+
+    from ledgerloom.operators import fuzzy
+
+    monkeypatch.setattr(fuzzy, "_cells", lambda nx, ny, cores: (3, 2))
+    random.seed(5)
+    word = lambda: "".join(random.choice("abcde-") for _ in range(random.randint(1, 12)))
+    x = [" ".join(word() for _ in range(random.randint(1, 14))) for _ in range(60)] + ["a", "b", "é è"]
+    y = ["".join(c for c in n if random.random() < 0.8).strip() for n in x] + ["a", "ab", "a" * 300]
+    key = lambda xs: spark.createDataFrame([(n,) for n in {" ".join(n.split()) for n in xs} - {""}], "key string")
+    a, b = key(x), key(y)
+    want = {(r["key"], q["key"]): s for r in a.collect() for q in b.collect() if (s := _aligned(r["key"], q["key"])) >= threshold}
+    assert {(r["x"], r["y"]): r["score"] for r in fuzzy.similar_keys(a, b, threshold).collect()} == want and any(len(p) > 64 for p, _ in want)
+
+
+def test_names_that_share_most_letters_are_compared_in_time(spark):
+    import itertools
+    import random
+    import time
+
+    from ledgerloom.operators.fuzzy import similar_keys
+
+    random.seed(7)
+    names = sorted({f"{a}{b} {c}{d} technologies" for a, b, c, d in itertools.product(("tin", "kor", "vel", "mas", "dru", "pon", "shi"), repeat=4)})
+    x, y = random.sample(names, 1500), random.sample(names, 1500)
+    began = time.time()
+    got = {(r["x"], r["y"]): r["score"] for r in similar_keys(*(spark.createDataFrame([(n,) for n in d], "key string") for d in (x, y)), 90.0).collect()}
+    assert time.time() - began < 60
+    some = set(random.sample(x, 10))
+    assert {k: s for k, s in got.items() if k[0] in some} == {(n, m): s for n in some for m in y if (s := _aligned(n, m)) >= 90}
+
+
 def test_samples_are_stable(spark):
     df = spark.range(100).withColumn("g", (F.col("id") % 3).cast("string"))
     assert [r[0] for r in sample(df, "id", 5).collect()] == [r[0] for r in sample(df.repartition(7), "id", 5).collect()]
