@@ -6,7 +6,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -190,18 +190,21 @@ def similar_keys(b: DataFrame, o: DataFrame, threshold: float) -> DataFrame:
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     sides = x.select(F.lit(True).alias("base"), "key", "s", part(p).alias("p"), every(q).alias("q")).unionByName(y.select(F.lit(False).alias("base"), "key", "s", every(p).alias("p"), part(q).alias("q")))
 
-    def compared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got = [f for f in frames if len(f)]
-        if not got:
-            return
-        d = pd.concat(got)
-        own, other = (_Side(list(e["key"]), list(e["s"])) for e in (d[d["base"]], d[~d["base"]]))
-        if len(own.size) and len(other.size):
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: dict[bool, list[str]] = {True: [], False: []}
+        names: dict[bool, list[str]] = {True: [], False: []}
+        for r in batches:
+            for base, key, name in zip(*(c.to_pylist() for c in r.columns)):
+                keys[base].append(key)
+                names[base].append(name)
+        if keys[True] and keys[False]:
+            own, other = (_Side(keys[base], names[base]) for base in (True, False))
             for i, j, s in _similar(own, other, threshold):
-                yield pd.DataFrame({"x": [own.keys[k] for k in i], "y": [other.keys[k] for k in j], "score": s})
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array([own.keys[k] for k in i], pa.string()), pa.array([other.keys[k] for k in j], pa.string()), pa.array(s, pa.float64())], names=["x", "y", "score"])
 
     cell = (F.col("p") * q + F.col("q")).cast("int")
-    return sides.select("base", "key", "s", cell.alias("cell")).repartitionById(p * q, F.col("cell")).drop("cell").mapInPandas(compared, "x string, y string, score double")
+    return sides.select("base", "key", "s", cell.alias("cell")).repartitionById(p * q, F.col("cell")).drop("cell").mapInArrow(compared, "x string, y string, score double")
 
 
 def _vetoed(base: Column, other: Column, ruled_out) -> Column:
@@ -213,17 +216,18 @@ def _vetoed(base: Column, other: Column, ruled_out) -> Column:
 
 def in_turn(pairs: DataFrame) -> DataFrame:
     """``(base_row, other_row, score)``: the rows of ``other`` choose in their order, each the best row of ``base`` that is
-    left. Found by offers: every row offers itself to its best choice, which keeps the first in order and turns the
-    rest down for good; rows turned down try their next. With one order of precedence for all this has one outcome,
-    that of choosing in turn."""
+    left. Found by offers: every row offers itself to its best choice, which keeps the first in order and is lost for good
+    to all that come later; these try their next. With one order of precedence for all this has one outcome, that of
+    choosing in turn."""
     left = cut(pairs.select("base_row", "other_row", "score"))
+    n = left.count()
     while True:
         offer = left.groupBy("other_row").agg(F.max_by(F.struct("base_row", "score"), F.struct("score", -F.col("base_row"))).alias("o")).select("other_row", "o.*")
         kept = offer.groupBy("base_row").agg(F.min("other_row").alias("holder"))
-        down = cut(offer.join(kept, "base_row").where("other_row <> holder").select("base_row", "other_row"))
-        if down.isEmpty():
+        left = cut(left.join(kept, "base_row", "left").where("holder IS NULL OR other_row <= holder").select("base_row", "other_row", "score"))
+        before, n = n, left.count()
+        if n == before:
             return offer.select("base_row", "other_row", "score")
-        left = cut(left.join(down, ["base_row", "other_row"], "left_anti"))
 
 
 def merge_lists(base: DataFrame, other: DataFrame, threshold: float = 75.0, manual: dict[str, str] = MANUAL, ruled_out=RULED_OUT) -> DataFrame:

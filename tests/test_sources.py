@@ -125,6 +125,13 @@ def test_similar_keys_are_all_found_in_parts(spark, monkeypatch, threshold):
     assert {(r["x"], r["y"]): r["score"] for r in fuzzy.similar_keys(a, b, threshold).collect()} == want and any(len(p) > 64 for p, _ in want)
 
 
+def test_letters_in_another_order_are_no_likeness(spark):
+    from ledgerloom.operators.fuzzy import similar_keys
+
+    a, b = (spark.createDataFrame([(n,)], "key string") for n in ("abcdefghij", "jihgfedcba"))
+    assert similar_keys(a, b, 75.0).collect() == []
+
+
 def test_names_that_share_most_letters_are_compared_in_time(spark):
     import itertools
     import random
